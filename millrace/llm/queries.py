@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import find_leaks
 
+from millrace.llm.mixing import mix
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +26,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op10_mixing": op10_mixing,
         "op2_decontaminate": op2_decontaminate,
     }
