@@ -1,5 +1,7 @@
 """DuckDB statements for the queries of this subpackage that SQL can express."""
 
+from millrace.llm.secrets import KINDS
+
 OP2 = r"""
 WITH b AS (
   SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -23,5 +25,38 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+_FOUND = r"""
+  SELECT rid, {no} AS kind, '{kind}' AS name, {least} AS least, unnest(generate_series(1, len(m))) AS i, m, v, g
+  FROM (SELECT rid, regexp_extract_all(t, {p}, 0) AS m, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS g FROM d WHERE regexp_matches(t, {p}))
+"""
+
+OP1 = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(0)) AS owner, coalesce(lang, chr(0)) AS repo, coalesce(text, '') AS t FROM documents),
+f AS ("""
+    + " UNION ALL ".join(_FOUND.format(no=i, kind=k, least=least, group=group, p="'" + p.replace("'", "''") + "'") for i, (k, p, group, least) in enumerate(KINDS))
+    + r"""),
+s AS (
+  SELECT rid, kind, name, least, v[i] AS v, (list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0))::BIGINT AS "start", length(m[i]) AS n
+  FROM f),
+ok AS (
+  SELECT rid, kind, name, sha256(v) AS hash, "start", ("start" + n)::BIGINT AS "end"
+  FROM s WHERE length(v) >= least AND (kind < 3 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')))),
+alone AS (SELECT * FROM ok a WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM ok b WHERE b.rid = a.rid AND b.kind < 3 AND b."start" < a."end" AND b."end" > a."start")),
+own AS (SELECT hash, count(DISTINCT owner) AS n_owners FROM alone JOIN d USING (rid) GROUP BY hash),
+k AS (SELECT *, n_owners <= 2 AS live FROM alone JOIN own USING (hash) WHERE kind < 3 OR n_owners <= 2),
+g AS (
+  SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(name || ':' || "start" || ':' || "end", ',' ORDER BY "start", kind) FILTER (kind < 3) AS b,
+    string_agg(name || ':' || "start" || ':' || "end", ',' ORDER BY "start", kind) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN g USING (rid)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2}
+    return {"op1_secrets": OP1, "op2_decontaminate": OP2}

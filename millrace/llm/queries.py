@@ -9,6 +9,8 @@ from millrace.llm.decontaminate import find_leaks
 
 from millrace.llm.mixing import mix
 
+from millrace.llm.secrets import BASE_KINDS, KINDS, find_secrets
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,8 +32,30 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def _joined(spans: str, base_only: bool):
+    names = F.array(*[F.lit(k[0]) for k in KINDS])
+    kept = F.filter(spans, lambda s: s["kind"] < len(BASE_KINDS)) if base_only else F.col(spans)
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = find_secrets(_read(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return got.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(_joined("spans", True), 256).alias("base_sha256"),
+        _joined("spans", False).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter("spans", lambda s: ~s["live"])).cast("long").alias("n_copied"),
+    )
+
+
 def queries() -> dict:
     return {
+        "op1_secrets": op1_secrets,
         "op10_mixing": op10_mixing,
         "op2_decontaminate": op2_decontaminate,
     }
