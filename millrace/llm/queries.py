@@ -11,6 +11,8 @@ from millrace.llm.mixing import mix
 
 from millrace.llm.secrets import BASE_KINDS, KINDS, find_secrets
 
+from millrace.llm.quality import classify
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,8 +55,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
+        "op8_quality": op8_quality,
         "op1_secrets": op1_secrets,
         "op10_mixing": op10_mixing,
         "op2_decontaminate": op2_decontaminate,
