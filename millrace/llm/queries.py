@@ -13,6 +13,8 @@ from millrace.llm.secrets import BASE_KINDS, KINDS, find_secrets
 
 from millrace.llm.quality import classify
 
+from millrace.llm.urls import judge
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,8 +61,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
+        "op9_urls": op9_urls,
         "op8_quality": op8_quality,
         "op1_secrets": op1_secrets,
         "op10_mixing": op10_mixing,
