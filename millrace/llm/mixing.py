@@ -92,11 +92,12 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / SHARD_SLOTS)).cast("long")
     runs = sources.withColumn("shards", shards).where("slots > 0")
     runs = runs.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SPREAD).cast("long"))))
-    runs = runs.repartition("key", "lo")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, as few small rows make many slots
+    runs = runs.repartition(spread, "key", "lo")
     drawn = runs.withColumn("j", F.explode(F.sequence("lo", F.least(F.col("lo") + SPREAD, F.col("slots")) - 1)))
     drawn = drawn.groupBy("key", "blocks", F.pmod(F.xxhash64(F.lit(seed), "key", "j"), F.col("shards")).alias("shard")).agg(F.count("*").alias("n"))
     drawn = drawn.withColumn("first", F.sum("n").over(Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n"))
-    slots = drawn.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
+    slots = drawn.repartition(spread, "key", "shard").withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     salt = F.xxhash64(F.lit(seed), F.col("key"), F.floor(F.col("slot") / F.col("blocks")))
     slots = slots.withColumn("salt", salt).select("key", "shard", "slot", permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.col("salt")).alias("block"))
     return placed, sources, slots
