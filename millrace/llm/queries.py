@@ -15,6 +15,8 @@ from millrace.llm.quality import classify
 
 from millrace.llm.urls import judge
 
+from millrace.llm.repeats import remove_repeats
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -65,8 +67,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_read(spark, sf_dir, "pages"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op3_repeats": op3_repeats,
         "op9_urls": op9_urls,
         "op8_quality": op8_quality,
         "op1_secrets": op1_secrets,
