@@ -17,6 +17,8 @@ from millrace.llm.urls import judge
 
 from millrace.llm.repeats import remove_repeats
 
+from millrace.llm.tokens import tokenize
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,8 +73,13 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op7_tokens": op7_tokens,
         "op3_repeats": op3_repeats,
         "op9_urls": op9_urls,
         "op8_quality": op8_quality,
