@@ -19,6 +19,8 @@ from millrace.llm.repeats import remove_repeats
 
 from millrace.llm.tokens import tokenize
 
+from millrace.llm.html import extract_pages
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -77,8 +79,14 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize(_read(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = extract_pages(_read(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
 def queries() -> dict:
     return {
+        "op4_html": op4_html,
         "op7_tokens": op7_tokens,
         "op3_repeats": op3_repeats,
         "op9_urls": op9_urls,
