@@ -21,6 +21,8 @@ from millrace.llm.tokens import tokenize
 
 from millrace.llm.html import extract_pages
 
+from millrace.llm.jaccard import near_duplicates
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -84,8 +86,13 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
+        "op6_jaccard": op6_jaccard,
         "op4_html": op4_html,
         "op7_tokens": op7_tokens,
         "op3_repeats": op3_repeats,
