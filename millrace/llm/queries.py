@@ -23,6 +23,8 @@ from millrace.llm.html import extract_pages
 
 from millrace.llm.jaccard import near_duplicates
 
+from millrace.llm.embeddings import near_vectors
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,8 +92,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
+        "op5_embeddings": op5_embeddings,
         "op6_jaccard": op6_jaccard,
         "op4_html": op4_html,
         "op7_tokens": op7_tokens,
