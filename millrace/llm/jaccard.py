@@ -44,6 +44,7 @@ PERCENT = 80
 BAND = 1.5
 TILE = 2048
 FETCH_ROWS = 100_000
+DROP_ROWS = 400_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[9:14] = IS_WORD[32] = False
@@ -287,8 +288,8 @@ class _Join:
         return rows.repartition(parts, "sig", "ci", "cj").sortWithinPartitions("sig", "ci", "cj").mapInArrow(_cell_batches, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: its id, n_shingles, component_id (the least id reachable by links, its own included)."""
+def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """k, h, n, component_id of every document (h: hash of its text)."""
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     src = docs.select(docs[doc_id].alias("k"), text_key(t).alias("h"), t.alias("t"))
     job = _Join(src)
@@ -303,5 +304,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = job.classes.join(of, "sid", "left").select("sid", "two", "n", "k", F.coalesce("comp", "sid").alias("comp"), F.when(F.col("comp").isNull(), F.col("two")).alias("alone"))
     least = named.groupBy("comp", "alone").agg(F.min("k").alias("component_id"))
     named = named.join(least, named["comp"].eqNullSafe(least["comp"]) & named["alone"].eqNullSafe(least["alone"])).select("sid", "two", "n", "component_id")
-    out = job.sets.select("k", "n", "sid", "two").join(named, ["sid", "two", "n"], "left")
-    return out.select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+    out = job.sets.select("k", "h", "n", "sid", "two").join(named, ["sid", "two", "n"], "left")
+    return out.select("k", "h", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("k")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each document: its id, n_shingles, component_id (the least id reachable by links, its own included)."""
+    return _classes(docs, doc_id, text).select(F.col("k").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with their columns, less all but one of each class: the one of the least id stays (of rows of
+    one id the least text hash, of equal rows any). Documents without words all stay."""
+    got = _classes(docs, doc_id, text)
+    first = got.where("n > 0 and k <=> component_id").groupBy("component_id").agg(F.min("h").alias("first"), F.count("*").alias("rows"))
+    first = first.select(F.col("component_id").alias("c"), "first", "rows")
+    out = got.where("n > 0").join(first, got["component_id"].eqNullSafe(first["c"]))
+    out = table(out.where("not (k <=> component_id) or h <> first or rows > 1").select(F.col("k").alias("k0"), F.col("h").alias("h0"), (F.col("k").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first"))).alias("stays")).distinct(), "dropped")
+    gone = F.broadcast(out) if out.limit(DROP_ROWS + 1).count() <= DROP_ROWS else out  # checked; joined by shuffle beyond
+    names = docs.columns
+    h = text_key(F.coalesce(docs[text].cast("string"), F.lit("")))
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[doc_id].alias("k"), h.alias("h"))
+    both = src.join(gone, src["k"].eqNullSafe(gone["k0"]) & (src["h"] == gone["h0"]), "left")
+    cols = [f"c{i}" for i in range(len(names))]
+    whole = both.where("stays is null").select(*cols)
+    one = both.where("stays").dropDuplicates(["k", "h"]).select(*cols)  # rows that stand more than once
+    return whole.unionByName(one).toDF(*names)
