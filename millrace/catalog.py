@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from millrace.plans import text
+
 FLAGSHIP = "bm25_topk"
+MODULES = (text,)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in MODULES for k, f in m.registry.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.registry.oracles.items()}
