@@ -12,9 +12,10 @@ counting and lookup of occurrences through rank and select:
     (8 in a byte, most significant first).
 
 Encoding: byte-level BPE splits before every run of white space that follows
-something else, so a text is cut there, each distinct piece of a slice is given
-to the tokenizer once, and the pieces' ids are laid end to end. The cut is made
-only where the byte before is surely not part of a white space character.
+something else, and where letters, digits and other signs meet, so a text is cut
+there, each distinct piece is given to the tokenizer once while it is remembered,
+and the pieces' ids are laid end to end. A cut is made only where it surely
+changes nothing; slices with a special token's string are cut at white space only.
 
 Defined cases: null and empty texts are the end id alone; a null id comes first;
 documents of equal id are ordered by text hash, then text; a document longer
@@ -23,9 +24,11 @@ than a shard is a shard of its own; an empty table writes no shard.
 
 from __future__ import annotations
 
+import functools
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,15 @@ from millrace.llm.keys import text_key, work_dir
 SHARD_TOKENS = 1 << 20
 END = 0
 BLOCK = 512
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_500_000
 MAGIC = b"WMX1"
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[9:14] = _IS_SPACE[32] = True
+_KIND = np.full(256, 5, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other sign, 4 apostrophe, 5 not ASCII
+_KIND[:128] = 3
+_KIND[9:14] = _KIND[32] = 0
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[39] = 4
 
 
 def default_tokenizer() -> str:
@@ -162,10 +169,15 @@ class WaveletMatrix:
         return i
 
 
-def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where texts may be cut without a change of their ids; starts of texts that are not empty are among them."""
+def piece_starts(data: np.ndarray, off: np.ndarray, fine: bool = True) -> np.ndarray:
+    """Where texts may be cut without a change of their ids; starts of texts that are not empty are among them.
+
+    Before white space that follows something else; with `fine` also where ASCII (and Latin-1) letters, digits and
+    other signs meet, but not after an apostrophe, between it and another sign, or next to any other character.
+    """
     n = len(data)
-    space = _IS_SPACE[data]
+    kind = _KIND[data]
+    space = kind == 0
     cut = np.zeros(n, bool)
     cut[1:] = space[1:] & ~space[:-1]
     if n > 1 and (data >= 128).any():
@@ -173,6 +185,12 @@ def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         odd = at[data[at - 1] >= 128]  # white space beyond ASCII: C2 85, C2 A0, E1 9A 80, E2 80 .., E2 81 9F, E3 80 80
         two, three = data[odd - 2], data[np.maximum(odd - 3, 0)]
         cut[odd[(two == 0xC2) | (((two == 0x9A) | (two == 0x80) | (two == 0x81)) & (three >= 0xE1) & (three <= 0xE3))]] = False
+        lead = np.flatnonzero(data[:-1] == 0xC3)  # letters, but for the signs of multiplication and division
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+    if fine and n > 1:
+        a, b = kind[:-1], kind[1:]
+        cut[1:] |= (a != b) & (a > 0) & (b > 0) & (a < 4) & (b < 5) & ~((a == 3) & (b == 4))
     first = off[:-1][np.diff(off) > 0]
     cut[first] = True
     return np.flatnonzero(cut)
@@ -189,35 +207,48 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.levels = max(1, int(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.known: dict[str, np.ndarray] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self):
+        self.known: dict[str, int] = {}
+        self.flat, self.begin = array("I", [END]), array("q", [0, 1])  # piece 0 is the end id
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each text)."""
-        start = piece_starts(data, off)
+        whole = np.ascontiguousarray(data)
+        raw = whole.tobytes()
+        start = piece_starts(data, off, not any(x in raw for x in self.special))
         bounds = np.append(start, len(data)).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(whole)).dictionary_encode()
         distinct = words.dictionary.to_pylist()
+        if len(self.known) > CACHE_WORDS:
+            self._forget()
         known = self.known
         new = [x for x in distinct if x not in known]
-        if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = distinct
-            for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[x] = np.array(e.ids, np.uint32)
-        each = [known[x] for x in distinct] + [np.array([END], np.uint32)]
-        size = np.array([len(x) for x in each])
-        flat = np.concatenate(each)
-        begin = np.cumsum(size) - size
+        for z in range(0, len(new), 10_000):
+            some = new[z : z + 10_000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[x] = len(self.begin) - 1
+                self.flat.extend(e.ids)
+                self.begin.append(len(self.flat))
+        place = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
+        begin, flat = np.array(self.begin, np.int64), np.array(self.flat, np.uint32)
         rows = np.searchsorted(start, off)
-        index = np.insert(words.indices.to_numpy().astype(np.int64), rows[1:], len(distinct))
-        n = size[index]
+        index = np.insert(place[words.indices.to_numpy()], rows[1:], 0)
+        n = begin[index + 1] - begin[index]
         total = np.cumsum(n)
         ids = flat[np.repeat(begin[index] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
         ends = total[rows[1:] + np.arange(len(rows) - 1)]
         return ids, np.diff(np.concatenate([[0], ends]))
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, so what a task has encoded serves the next."""
+    return Encoder(path)
+
+
 _SHARD = "part int, shard int, levels int, n_tokens long, ids array<{kind}>, counts array<long>, file binary"
 
 
@@ -225,7 +256,7 @@ def _encode_batches(it, path: str, most: int):
     from pyspark import TaskContext
 
     part, shard = TaskContext.get().partitionId(), 0
-    encoder = Encoder(path)
+    encoder = _encoder(path)
     ids: list[np.ndarray] = []
     counts: list[np.ndarray] = []
     names: list[pa.Array] = []
