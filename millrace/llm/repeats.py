@@ -228,6 +228,7 @@ def repeated_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame
     kind = docs.schema["k"].dataType.simpleString()
     all_runs = table(docs.mapInArrow(_run_batches, f"bucket long, content long, size short, o short, k {kind}, h long, start long"), "runs")
     buckets = all_runs.groupBy("bucket").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1")).where("n > 1").select("bucket", (F.col("c0") != F.col("c1")).alias("mixed"))
+    buckets = table(buckets, "buckets")  # so that the join below deals both sides anew, and a hot bucket's runs can be split
     live = table(all_runs.join(buckets, "bucket"), "live")
     group = ["bucket", "content", "size", "o"]
     sets = live.groupBy(*group).agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "start")).alias("one"), F.first("mixed").alias("mixed"))
