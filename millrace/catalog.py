@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import text
+from millrace.plans import graphs, memories, statistics, text, usage
 
 FLAGSHIP = "bm25_topk"
-MODULES = (text,)
+MODULES = (text, memories, graphs, statistics, usage)
 
 
 def queries() -> dict:
