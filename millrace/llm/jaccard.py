@@ -14,12 +14,14 @@ band. Sets near a band's lower edge also list in the band below.
 Candidates never become all pairs of a group:
 
 1. Equal sets are one class. Signatures of one set only are dropped.
-2. Each signature's sets are compared with its least set; links found give
+2. Each signature's sets are compared with three of them; links found give
    components.
 3. Sets of one signature that are still in different components are compared in
    tiles, in memory, by a bound: parity sketches (bits counted modulo 2) can
    not differ in more bits than the sets differ in shingles. Signatures with the
-   same sets are compared once. Pairs that pass are verified on their texts.
+   same sets are compared once, and a pair of many signatures is given out at the
+   first of those that both sets' lists of their first FEW show. Pairs that pass
+   are verified on their texts.
 
 No pair of similar sets is lost at any step, and only verified pairs link.
 
@@ -44,6 +46,7 @@ PERCENT = 80
 BAND = 1.5
 TILE = 2048
 FETCH_ROWS = 100_000
+FEW = 8
 DROP_ROWS = 400_000
 
 IS_WORD = np.ones(256, bool)
@@ -175,10 +178,11 @@ def _filter_batches(it):
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
 
 
-def _tile_pairs(sid, comp, n, sk, side):
-    """Pairs of one cell in different components that may be similar."""
+def _tile_pairs(sid, comp, n, sk, side, sig=None, few=None):
+    """Pairs of one cell in different components that may be similar, less those that another signature gives out."""
     order = np.argsort(n, kind="stable")
     sid, comp, n, side = sid[order], comp[order], n[order], side[order]
+    lists = [frozenset(few[i]) for i in order.tolist()] if few is not None else None
     m = _matrix([sk[i] for i in order.tolist()])
     two_sided = side.min() != side.max()
     for lo in range(0, len(sid), 256):
@@ -193,6 +197,10 @@ def _tile_pairs(sid, comp, n, sk, side):
         for z in range(0, len(i), 1 << 16):
             a, b = i[z : z + (1 << 16)], j[z : z + (1 << 16)]
             good = _close(n[a], m[a], n[b], m[b])
+            if lists is not None:
+                for x in np.flatnonzero(good).tolist():
+                    both = lists[a[x]] & lists[b[x]]
+                    good[x] = not both or min(both) == sig
             yield np.minimum(sid[a], sid[b])[good], np.maximum(sid[a], sid[b])[good]
 
 
@@ -207,13 +215,13 @@ def _cell_batches(it):
         sid, comp, n, side = (np.array([r[c] for r in held], np.int64) for c in (0, 1, 2, 4))
         if comp.min() == comp.max():
             return
-        for a, b in _tile_pairs(sid, comp, n, [r[3] for r in held], side):
+        for a, b in _tile_pairs(sid, comp, n, [r[3] for r in held], side, key[0], [r[5] for r in held]):
             if len(a):
                 both = np.unique(np.stack([a, b]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     for batch in it:
-        columns = [batch.column(c).to_pylist() for c in ("sig", "ci", "cj", "sid", "comp", "n", "sketch", "tile")]
+        columns = [batch.column(c).to_pylist() for c in ("sig", "ci", "cj", "sid", "comp", "n", "sketch", "tile", "few")]
         for sig, ci, cj, *row in zip(*columns, strict=True):
             if (sig, ci, cj) != key:
                 yield from flush()
@@ -248,12 +256,19 @@ class _Join:
         self.classes = table(classes.select("sid", "two", "n", F.col("one.k").alias("k"), F.col("one.h").alias("h"), "sketch"), "classes")
 
     def shared(self) -> DataFrame:
-        """sig, sid, least (set of the signature), c (sets), tag (of the signature's sets): of signatures with two sets or more."""
+        """sig, sid, least, most, other (three sets of the signature), c (sets), tag (of the signature's sets): of signatures with two sets or more."""
         rows = self.sets.select("sid", F.explode("sigs").alias("sig"))
         w = Window.partitionBy("sig")
-        got = rows.select("sig", "sid", F.min("sid").over(w).alias("least"), F.max("sid").over(w).alias("most")).where("least <> most").distinct()
+        mixed = F.min(F.struct(F.xxhash64("sid"), "sid")).over(w)["sid"].alias("other")
+        got = rows.select("sig", "sid", F.min("sid").over(w).alias("least"), F.max("sid").over(w).alias("most"), mixed).where("least <> most").distinct()
         got = got.withColumn("c", F.count("*").over(w)).withColumn("tag", F.bit_xor(F.xxhash64("sid")).over(w))
-        return table(got.drop("most"), "shared")
+        return table(got, "shared")
+
+    @staticmethod
+    def stars(shared: DataFrame) -> DataFrame:
+        """Pairs a, b: each set with three sets of each of its signatures, as one may happen to be no near-duplicate."""
+        to = F.explode(F.array_distinct(F.array("least", "most", "other")))
+        return shared.select("sid", to.alias("a")).where("sid <> a").select(F.least("sid", "a").alias("a"), F.greatest("sid", "a").alias("b")).distinct()
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Of pairs a, b of sets: those that sizes and sketches allow."""
@@ -283,7 +298,8 @@ class _Join:
         rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         rows = rows.select("sig", F.least("tile", "other").alias("ci"), F.greatest("tile", "other").alias("cj"), "sid", "comp", "tile")
-        rows = rows.join(self.classes.select("sid", "n", "sketch"), "sid")
+        first = rows.select("sid", "sig").distinct().groupBy("sid").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FEW).alias("few"))
+        rows = rows.join(self.classes.select("sid", "n", "sketch"), "sid").join(first, "sid")
         parts = int(self.src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(parts, "sig", "ci", "cj").sortWithinPartitions("sig", "ci", "cj").mapInArrow(_cell_batches, "a long, b long").distinct()
 
@@ -294,8 +310,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     src = docs.select(docs[doc_id].alias("k"), text_key(t).alias("h"), t.alias("t"))
     job = _Join(src)
     shared = job.shared()
-    stars = shared.where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
-    links = job.links(job.near(stars))
+    links = job.links(job.near(job.stars(shared)))
     comps = components(links)
     more = job.links(job.cells(shared, comps))
     comps = components(links.unionByName(more))
