@@ -33,7 +33,7 @@ def greedy_pack(cands: DataFrame, group: str, budget: int) -> DataFrame:
     """group, spent, chosen, score of a density greedy. cands: group, id, tokens, score, density (null: rejected)."""
     kept = cands.where("density is not null")
     items = F.array_sort(F.collect_list(F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))))
-    return kept.groupBy(group).agg(items.alias("items")).select(group, greedy(F.col("items"), budget).alias("g")).select(group, "g.spent", "g.chosen", "g.score")
+    return kept.groupBy(group).agg(items.alias("_items")).select(group, greedy(F.col("_items"), budget).alias("_fold")).select(group, "_fold.spent", "_fold.chosen", "_fold.score")
 
 
 def singleton_rescue(cands: DataFrame, group: str, budget: int) -> DataFrame:
@@ -41,13 +41,13 @@ def singleton_rescue(cands: DataFrame, group: str, budget: int) -> DataFrame:
     kept = cands.where("density is not null")
     items = F.array_sort(F.collect_list(F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))))
     best = F.max(F.when((F.col("tokens") > 0) & (F.col("tokens") <= budget), F.struct(F.col("score").cast("double").alias("score"), (-F.col("id")).cast("long").alias("neg"), F.col("tokens").cast("long").alias("tokens"))))
-    rows = kept.groupBy(group).agg(items.alias("items"), best.alias("best")).withColumn("g", greedy(F.col("items"), budget))
-    rescue = F.col("best").isNotNull() & (F.col("best.score") > F.col("g.score"))
+    rows = kept.groupBy(group).agg(items.alias("_items"), best.alias("_best")).withColumn("_fold", greedy(F.col("_items"), budget))
+    rescue = F.col("_best").isNotNull() & (F.col("_best.score") > F.col("_fold.score"))
     return rows.select(
         group,
-        F.when(rescue, F.col("best.tokens")).otherwise(F.col("g.spent")).alias("spent"),
-        F.when(rescue, F.array(-F.col("best.neg"))).otherwise(F.col("g.chosen")).alias("chosen"),
-        F.when(rescue, F.col("best.score")).otherwise(F.col("g.score")).alias("score"),
+        F.when(rescue, F.col("_best.tokens")).otherwise(F.col("_fold.spent")).alias("spent"),
+        F.when(rescue, F.array(-F.col("_best.neg"))).otherwise(F.col("_fold.chosen")).alias("chosen"),
+        F.when(rescue, F.col("_best.score")).otherwise(F.col("_fold.score")).alias("score"),
         rescue.alias("rescued"),
     )
 
@@ -61,7 +61,7 @@ def submodular(rows: list[tuple], budget: int, penalty: float = 0.35) -> list[in
     left, chosen, spent = list(rows), [], 0
     while left:
         best, at = -1.0, -1
-        for i, (_, n, score, words) in enumerate(left):
+        for i, (_, n, score, words, *_) in enumerate(left):
             if n <= 0 or spent + n > budget:
                 continue
             gain = score - penalty * sum(_overlap(words, c[3]) for c in chosen)
@@ -78,12 +78,12 @@ def lazy_greedy(rows: list[tuple], budget: int, penalty: float = 0.35) -> list[i
     """As submodular, but gains are only brought up to date when they come to the top of a heap."""
     import heapq
 
-    heap = [(-score / n, i, 0) for i, (_, n, score, _) in enumerate(rows) if 0 < n <= budget]
+    heap = [(-score / n, i, 0) for i, (_, n, score, *_) in enumerate(rows) if 0 < n <= budget]
     heapq.heapify(heap)
     chosen, spent = [], 0
     while heap:
         gain, i, seen = heapq.heappop(heap)
-        key, n, score, words = rows[i]
+        _, n, score, words, *_ = rows[i]
         if spent + n > budget:
             continue
         if seen == len(chosen):
