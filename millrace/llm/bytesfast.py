@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = (4 << 20) - 64
+SLICE_BYTES = (2 << 20) - 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -55,7 +55,7 @@ def _powers(log_n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 (at least) of the hash base and of its inverse."""
-    return _powers(max(22, int(n - 1).bit_length()))
+    return _powers(max(21, int(n - 1).bit_length()))
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

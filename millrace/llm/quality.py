@@ -32,6 +32,7 @@ EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.2
 SCALE = 8.0
 THRESHOLD = 0.3
+SLICE = 1 << 20
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[9:14] = IS_WORD[32] = False
@@ -77,7 +78,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _rows(it):
     for batch in it:
         idx, val = [], []
-        for a, b, data, off in text_slices(batch, "t"):
+        for a, b, data, off in text_slices(batch, "t", SLICE):
             slots, valid, rows = features(data, off)
             for r in range(b - a):
                 lo, hi = rows[r], rows[r + 1]
@@ -144,13 +145,14 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> tuple[Dat
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**BITS + 1 numbers
     names = docs.columns
     out = fresh(names, "score")
-    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], docs[text].cast("string").alias("t"))
+    src = docs.select(*[docs[c].cast("string").alias(f"c{i}") if c == text else docs[c].alias(f"c{i}") for i, c in enumerate(names)])
+    column = f"c{names.index(text)}"
 
     def run(it):
         w = held.value
         for batch in it:
             parts = []
-            for _, _, data, off in text_slices(batch, "t"):
+            for _, _, data, off in text_slices(batch, column, SLICE):
                 slots, valid, rows = features(data, off)
                 per = np.zeros(slots.shape[1])
                 for s, ok in zip(slots, valid, strict=True):
@@ -159,9 +161,9 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> tuple[Dat
                 n = np.diff(rows)
                 z = float(w[-1]) + (total[rows[1:]] - total[rows[:-1]]) * SCALE / np.maximum(n, 1)
                 parts.append(1 / (1 + np.exp(-np.clip(z, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=[*batch.schema.names, "score"])
 
-    got = src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+    got = src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())]))
     return got.toDF(*names, out), out
 
 

@@ -13,7 +13,7 @@ counting and lookup of occurrences through rank and select:
 
 Encoding: byte-level BPE splits before every run of white space that follows
 something else, and where letters, digits and other signs meet, so a text is cut
-there, each distinct piece is given to the tokenizer once while it is remembered,
+there, each distinct piece (by 96 bits of hash) is given to the tokenizer once while it is remembered,
 and the pieces' ids are laid end to end. A cut is made only where it surely
 changes nothing; slices with a special token's string are cut at white space only.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesfast import text_slices
+from millrace.llm.bytesfast import U64, byte_values, mix, powers, text_slices
 from millrace.llm.keys import text_key, work_dir
 
 SHARD_TOKENS = 1 << 20
@@ -43,6 +43,7 @@ END = 0
 BLOCK = 512
 CACHE_WORDS = 1_500_000
 MAGIC = b"WMX1"
+V1, V2 = byte_values(31), byte_values(32)
 
 _KIND = np.full(256, 5, np.uint8)  # 0 white space, 1 letter, 2 digit, 3 other sign, 4 apostrophe, 5 not ASCII
 _KIND[:128] = 3
@@ -196,6 +197,33 @@ def piece_starts(data: np.ndarray, off: np.ndarray, fine: bool = True) -> np.nda
     return np.flatnonzero(cut)
 
 
+class _Known:
+    """Numbers of encoded pieces by two hashes of theirs, in sorted arrays of some 20 bytes a piece."""
+
+    def __init__(self):
+        self.levels = [tuple(np.zeros(0, t) for t in (U64, np.uint32, np.int64)) for _ in range(2)]  # large and seldom merged; small
+
+    def find(self, h: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        for kh, kv, number in self.levels:
+            if len(kh):
+                at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
+                same = (kh[at] == h) & (kv[at] == v)
+                out[same] = number[at[same]]
+        return out
+
+    def add(self, h: np.ndarray, v: np.ndarray, number: np.ndarray) -> None:
+        self.levels[1] = self._merged(self.levels[1], (h, v, number))
+        if len(self.levels[1][0]) > 200_000:
+            self.levels = [self._merged(*self.levels), tuple(x[:0] for x in self.levels[1])]
+
+    @staticmethod
+    def _merged(a, b):
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        order = np.argsort(both[0], kind="stable")
+        return tuple(x[order] for x in both)
+
+
 class Encoder:
     """Encodes slices of texts piece by piece, each distinct piece once while it is remembered."""
 
@@ -211,34 +239,43 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.flat, self.begin = array("I", [END]), array("q", [0, 1])  # piece 0 is the end id
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; number of ids of each text)."""
-        whole = np.ascontiguousarray(data)
-        raw = whole.tobytes()
+        n = len(data)
+        raw = data.tobytes()
         start = piece_starts(data, off, not any(x in raw for x in self.special))
-        bounds = np.append(start, len(data)).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(whole)).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        if len(self.known) > CACHE_WORDS:
+        end = np.append(start[1:], n) if len(start) else start
+        p, inv = powers(n + 1)
+        pair = []
+        for values in (V1, V2):
+            total = np.zeros(n + 1, U64)
+            np.cumsum(values[data] * p[:n], out=total[1:])
+            pair.append(mix((total[end] - total[start]) * inv[start] + (end - start).astype(U64)))
+        h, first, back = np.unique(pair[0], return_index=True, return_inverse=True)
+        v = (pair[1][first] >> U64(32)).astype(np.uint32)
+        if len(self.begin) > CACHE_WORDS:
             self._forget()
-        known = self.known
-        new = [x for x in distinct if x not in known]
-        for z in range(0, len(new), 10_000):
-            some = new[z : z + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[x] = len(self.begin) - 1
-                self.flat.extend(e.ids)
-                self.begin.append(len(self.flat))
-        place = np.fromiter((known[x] for x in distinct), np.int64, len(distinct))
+        place = self.known.find(h, v)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            number = len(self.begin) - 1
+            lo, hi = start[first[new]].tolist(), end[first[new]].tolist()
+            for z in range(0, len(new), 10_000):
+                some = [raw[x:y].decode() for x, y in zip(lo[z : z + 10_000], hi[z : z + 10_000], strict=True)]
+                for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False):
+                    self.flat.extend(e.ids)
+                    self.begin.append(len(self.flat))
+            place[new] = np.arange(number, number + len(new))
+            self.known.add(h[new], v[new], place[new])
         begin, flat = np.array(self.begin, np.int64), np.array(self.flat, np.uint32)
         rows = np.searchsorted(start, off)
-        index = np.insert(place[words.indices.to_numpy()], rows[1:], 0)
-        n = begin[index + 1] - begin[index]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(begin[index] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        index = np.insert(place[back], rows[1:], 0)
+        count = begin[index + 1] - begin[index]
+        total = np.cumsum(count)
+        ids = flat[np.repeat(begin[index] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         ends = total[rows[1:] + np.arange(len(rows) - 1)]
         return ids, np.diff(np.concatenate([[0], ends]))
 
