@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import evidence, graphs, memories, relational, statistics, text, usage
+from millrace.plans import evidence, graphs, memories, relational, selection, statistics, text, usage
 
 FLAGSHIP = "bm25_topk"
-MODULES = (text, memories, graphs, statistics, usage, evidence, relational)
+MODULES = (text, memories, graphs, statistics, usage, evidence, relational, selection)
 
 
 def queries() -> dict:

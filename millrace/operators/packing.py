@@ -116,7 +116,60 @@ def information_gain(rows: list[tuple], budget: int) -> list[int]:
     return [c[0] for c in chosen]
 
 
-SELECTORS = {"submodular": submodular, "lazy_greedy": lazy_greedy, "information_gain": information_gain}
+def value_of_information(rows: list[tuple], budget: int, least: float = 1e-6) -> list[int]:
+    """rows as for information_gain. Adds what changes the decision most per token, until that is under `least`."""
+    from math import log2
+
+    def entropy(p):
+        p = max(0.001, min(0.999, p))
+        return -p * log2(p) - (1 - p) * log2(1 - p)
+
+    weight = {"constraint": 0.35, "decision": 0.35, "failure": 0.25}
+    left, chosen, spent, utility = list(rows), [], 0, 0.5
+    while left and spent < budget:
+        now = min(utility, 0.95)
+        best, at = -1.0, -1
+        for i, (_, n, _, _, kind, _, confidence) in enumerate(left):
+            if n <= 0 or spent + n > budget:
+                continue
+            new = min(now + weight.get(kind, 0.10) * confidence, 1.0)
+            value = max(new - now, max(0.0, entropy(now) - entropy(new))) / n
+            if value > best:
+                best, at = value, i
+        if at < 0 or best < least:
+            break
+        chosen.append(left.pop(at))
+        spent += chosen[-1][1]
+        utility += 0.15 if chosen[-1][4] in ("decision", "constraint") else 0.05
+    return [c[0] for c in chosen]
+
+
+def noisy_or(items: Column, budget: int, target: float = 0.85, floor: int = 200) -> Column:
+    """items in order of value per token: array<struct<.., id, tokens, score>>. Takes what fits until the chance that
+    all are wrong, each by 1 - 0.8 score, is under 1 - target. Struct<spent, chosen, wrong, done>."""
+
+    def step(a, x):
+        n = F.greatest(F.lit(1), x["tokens"]).cast("long")
+        take = ~a["done"] & (a["spent"] + n <= budget)
+        spent, wrong = F.when(take, a["spent"] + n).otherwise(a["spent"]), F.when(take, a["wrong"] * (1 - x["score"] * 0.8)).otherwise(a["wrong"])
+        return F.struct(spent.alias("spent"), F.when(take, F.concat(a["chosen"], F.array(x["id"]))).otherwise(a["chosen"]).alias("chosen"), wrong.alias("wrong"), (a["done"] | (take & (1 - wrong >= target) & (spent >= floor))).alias("done"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("chosen"), F.lit(1.0).alias("wrong"), F.lit(False).alias("done"))
+    return F.aggregate(items, zero, step)
+
+
+def spend(items: Column, most: float, reserve: float = 0.4) -> Column:
+    """items in order: array<struct<.., cost, reserved>>; ordinary spending stops short of the reserves. Struct<spent, admitted, refused>."""
+
+    def step(a, x):
+        limit = F.when(x["reserved"], F.lit(most)).otherwise(F.lit(most * (1 - reserve)))
+        ok = a["spent"] + x["cost"] <= limit
+        return F.struct(F.when(ok, a["spent"] + x["cost"]).otherwise(a["spent"]).alias("spent"), (a["admitted"] + ok.cast("long")).alias("admitted"), (a["refused"] + (~ok).cast("long")).alias("refused"))
+
+    return F.aggregate(items, F.struct(F.lit(0.0).alias("spent"), F.lit(0).cast("long").alias("admitted"), F.lit(0).cast("long").alias("refused")), step)
+
+
+SELECTORS = {"value_of_information": value_of_information, "submodular": submodular, "lazy_greedy": lazy_greedy, "information_gain": information_gain}
 
 
 def select_by(cands: DataFrame, group: str, budget: int, selector, columns: tuple[str, ...] = ()) -> DataFrame:
