@@ -108,6 +108,7 @@ def pieces(placed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame
     times = slots.groupBy("key", "block").agg(F.count("*").alias("times"))
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)))))
     parts = parts.withColumn("lo", F.greatest(F.lit(0), F.col("block") * block - F.col("begin"))).withColumn("hi", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("begin")))
+    times = times.hint("merge")  # Spark takes what comes out of explode for as small as what goes in, and would broadcast it
     return parts.join(times, ["key", "block"], "left").select("key", "chunk", "rn", "doc_id", "h", "size", "lo", "hi", F.coalesce("times", F.lit(0)).alias("times"))
 
 
