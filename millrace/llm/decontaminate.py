@@ -32,7 +32,7 @@ from millrace.llm.keys import fresh, table, text_key
 
 WINDOW = 10
 K = 5
-BROADCAST_WINDOWS = 1 << 20
+BROADCAST_WINDOWS = 1 << 17
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True

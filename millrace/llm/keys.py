@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.sources.work import table, work_dir
+
+__all__ = ["fresh", "table", "text_key", "work_dir"]
+
 
 def fresh(df_columns: list[str], name: str) -> str:
     """name, with underscores before it until no column has it (case-blind)."""
@@ -16,28 +18,6 @@ def fresh(df_columns: list[str], name: str) -> str:
     return name
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, which is set to a local one only where it is unset, as in tests."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return conf or got.get()
-    if not conf:
-        import tempfile
-
-        conf = "file://" + tempfile.mkdtemp(prefix="millrace-")  # one machine: tests and examples
-    spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
-def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_key(text: Column) -> Column:
     """A 64-bit value of a text; with the document's id it names a row (rows equal in both are alike)."""
     return F.xxhash64(text)

@@ -11,7 +11,8 @@ of their id, leaves out every row whose crc32(id as text) mod 5 is 0, and runs
 in one task over that bounded sample. Scoring is one pass over all texts.
 
 Defined cases: null and empty texts score by the bias alone; a null id counts
-as held out; a document with several labels takes the largest; without any
+as held out; a document with several labels takes the largest, one
+of several texts the least; without any
 label of the training rows all scores are 0.5; repeated rows score alike.
 """
 
@@ -131,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     own = labels.select(labels[doc_id].alias("k"), labels[label].cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     some = own.groupBy("k").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64(F.col("k").cast("string"))).orderBy("o", "k").limit(train_rows)
     src = docs.select(docs[doc_id].alias("d"), docs[text].cast("string").alias("t"))
-    rows = src.join(F.broadcast(some), F.col("d") == F.col("k")).select("o", "y", "t")  # at most train_rows ids and labels
+    rows = src.join(F.broadcast(some), F.col("d") == F.col("k"))  # at most train_rows ids and labels
+    rows = rows.groupBy("o", "y").agg(F.min("t").alias("t"))  # one text for an id, however often it stands
     feats = rows.mapInArrow(_rows, "o long, y int, idx array<int>, val array<float>")
     got = feats.repartition(1).mapInArrow(_train, "slot int, weight double").collect()
     w = np.zeros((1 << BITS) + 1)
