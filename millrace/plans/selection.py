@@ -198,3 +198,179 @@ def reference_edges(t: Tables):
     d = t.documents.where("doc_id < 60").select(F.col("doc_id").alias("src"), F.explode(F.array_distinct(tok("text"))).alias("w"))
     n = t.benchmark.select(F.col("item_id").alias("dst"), F.get(F.filter(tok("text"), lambda x: F.length(x) >= 6), F.lit(0)).alias("w"))
     return d.join(n, "w").select("src", "dst").distinct()
+
+
+# ---- queries of a text, budgets and policies
+
+
+_TOKEN_SQL = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)"
+
+
+@registry.add(rf"""
+SELECT page_id, len(regexp_extract_all(url, '[a-z0-9_.-]+(?:/[a-z0-9_.-]+)+')) AS paths, len(regexp_extract_all(url, '[a-z0-9]+(?:-[a-z0-9]+)+')) AS identifiers, len(regexp_extract_all(url, '[0-9]+')) AS numbers,
+CASE WHEN regexp_matches(url, 'casino|bets|pills') THEN 'debug' WHEN regexp_matches(url, '/en/') THEN 'trace' WHEN regexp_matches(url, 'blog') THEN 'policy' ELSE 'lookup' END AS intent FROM pages
+""")
+def query_decomposition(t: Tables):
+    """Counts of paths, identifiers and numbers of a query, and its intent by the first rule that fits."""
+    u = F.col("url")
+    n = lambda p: F.regexp_count(u, F.lit(p)).cast("long")
+    intent = F.when(u.rlike("casino|bets|pills"), "debug").when(u.rlike("/en/"), "trace").when(u.rlike("blog"), "policy").otherwise("lookup")
+    return t.pages.select("page_id", n("[a-z0-9_.-]+(?:/[a-z0-9_.-]+)+").alias("paths"), n("[a-z0-9]+(?:-[a-z0-9]+)+").alias("identifiers"), n("[0-9]+").alias("numbers"), intent.alias("intent"))
+
+
+_PROFILES = [("trace", 0.10, 0.15, 0.25, 3), ("policy", 0.15, 0.25, 0.15, 2), ("debug", 0.20, 0.25, 0.20, 2)]
+
+
+@registry.add(
+    "WITH p AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d})" for n, a, b, c, d in _PROFILES) + ") AS v(intent, lexical, semantic, symbol, depth)), "
+    "q AS (SELECT page_id, CASE WHEN regexp_matches(url, 'casino|bets|pills') THEN 'debug' WHEN regexp_matches(url, '/en/') THEN 'trace' WHEN regexp_matches(url, 'blog') THEN 'policy' ELSE 'lookup' END AS intent FROM pages) "
+    "SELECT page_id, q.intent, coalesce(lexical, 0.2) AS lexical, coalesce(semantic, 0.2) AS semantic, coalesce(symbol, 0.2) AS symbol, coalesce(depth, 1) AS depth FROM q LEFT JOIN p ON p.intent = q.intent"
+)
+def routing_profile(t: Tables):
+    p = t.literal(_PROFILES, "intent string, lexical double, semantic double, symbol double, depth int")
+    return query_decomposition(t).select("page_id", "intent").join(F.broadcast(p), "intent", "left").fillna({"lexical": 0.2, "semantic": 0.2, "symbol": 0.2, "depth": 1})
+
+
+@registry.add(f"""
+WITH w AS (SELECT item_id, unnest(list_distinct({_TOKEN_SQL})) AS term FROM benchmark), f AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term) AS n FROM w),
+x AS (SELECT item_id, term AS v, 1.0::DOUBLE AS weight FROM f WHERE n <= 25 UNION ALL SELECT item_id, upper(term[1:1]) || term[2:], 0.9 FROM f WHERE n <= 10 UNION ALL SELECT item_id, term || 's', 0.65 FROM f WHERE n <= 10)
+SELECT item_id, v AS term, max(weight) AS weight FROM x GROUP BY ALL
+""")
+def query_expansion(t: Tables):
+    """At most 25 terms of a query, with casings and word forms of the first ten at less weight."""
+    from millrace.functions.text import tokens
+
+    w = t.benchmark.select("item_id", F.explode(tokens(F.col("text"))).alias("term"))
+    f = w.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(F.length("term")), "term")))
+    few = F.col("n") <= 10
+    v = F.array(F.struct(F.col("term").alias("v"), F.lit(1.0).alias("weight")), F.when(few, F.struct(F.concat(F.upper(F.substring("term", 1, 1)), F.expr("substring(term, 2)")).alias("v"), F.lit(0.9).alias("weight"))), F.when(few, F.struct(F.concat("term", F.lit("s")).alias("v"), F.lit(0.65).alias("weight"))))
+    x = f.where("n <= 25").select("item_id", F.explode(v).alias("x")).where("x is not null").select("item_id", "x.*")
+    return x.groupBy("item_id", F.col("v").alias("term")).agg(F.max("weight").alias("weight"))
+
+
+_CONCEPTS = [("the", "article"), ("that", "article"), ("and", "link"), ("with", "link"), ("licensed", "law")]
+
+
+@registry.add(f"WITH w AS (SELECT DISTINCT item_id, unnest({_TOKEN_SQL}) AS term FROM benchmark), c AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CONCEPTS) + ") AS v(term, concept)) SELECT item_id, concept, max(0.65)::DOUBLE AS weight FROM w JOIN c USING (term) GROUP BY ALL")
+def sparse_expansion(t: Tables):
+    """Concepts of a query's terms, at 0.65."""
+    from millrace.functions.text import tokens
+
+    c = t.literal(_CONCEPTS, "term string, concept string")
+    w = t.benchmark.select("item_id", F.explode(tokens(F.col("text"))).alias("term"))
+    return w.join(F.broadcast(c), "term").groupBy("item_id", "concept").agg(F.max(F.lit(0.65)).alias("weight"))
+
+
+@registry.add("""
+SELECT s_suppkey, CASE WHEN lower(s_name) = 'supplier#000000001' THEN 1.0 WHEN contains(lower(s_name), '00001') THEN 0.5 ELSE 0 END + CASE WHEN s_nationkey = 3 THEN 1.2 ELSE 0 END + CASE WHEN s_acctbal < 0 THEN 1.5 ELSE 0 END AS seed FROM supplier
+""".replace("END AS seed", "END::DOUBLE AS seed"))
+def seed_extraction(t: Tables):
+    """Seeds of a walk: a name met whole or in part, a changed place, a failure."""
+    n = F.lower("s_name")
+    s = F.when(n == "supplier#000000001", 1.0).when(n.contains("00001"), 0.5).otherwise(0.0) + F.when(F.col("s_nationkey") == 3, 1.2).otherwise(0.0) + F.when(F.col("s_acctbal") < 0, 1.5).otherwise(0.0)
+    return t.supplier.select("s_suppkey", s.alias("seed"))
+
+
+@registry.add("""
+WITH d AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, max(l_quantity) / 50 AS p FROM lineitem GROUP BY 1)
+SELECT l_suppkey, round(least(1.0, greatest(0.0, 0.50 * p + 0.20 * ln(1 + n) / ln(1 + (SELECT max(n) FROM d)) + 0.15 * least(1.0, 0.33 * r) + 0.15 * (CASE WHEN l_suppkey % 4 = 0 THEN 0.7 ELSE 0.4 END))), 6)::DOUBLE AS score FROM d
+""")
+def composite_score(t: Tables):
+    d = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), (F.max("l_quantity") / 50).alias("p"))
+    top = d.agg(F.max("n").alias("m"))
+    s = 0.50 * F.col("p") + 0.20 * F.log1p("n") / F.log1p("m") + 0.15 * F.least(F.lit(1.0), 0.33 * F.col("r")) + 0.15 * F.when(F.col("l_suppkey") % 4 == 0, 0.7).otherwise(0.4)
+    return d.crossJoin(F.broadcast(top)).select("l_suppkey", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 6).alias("score"))
+
+
+@registry.add(f"""
+WITH w AS (SELECT source, lang, doc_id, unnest(list_distinct({_TOKEN_SQL})) AS term FROM documents), q AS (SELECT * FROM w WHERE list_contains(['the','and','licensed','under','version','that','die','les'], term)),
+f AS (SELECT source, term, min(doc_id) AS first FROM q GROUP BY ALL), r AS (SELECT source, first, row_number() OVER (PARTITION BY source ORDER BY first, term) AS n FROM f)
+SELECT source, min(CASE WHEN n >= 4 THEN first END) AS rung, max(n) AS covered FROM r GROUP BY source
+""")
+def context_ladder(t: Tables):
+    """The first rung, documents in order of id, at which half of eight claims are covered."""
+    from millrace.functions.text import tokens
+
+    claims = ["the", "and", "licensed", "under", "version", "that", "die", "les"]
+    q = t.documents.select("source", "doc_id", F.explode(F.filter(tokens(F.col("text")), lambda x: x.isin(claims))).alias("term"))
+    f = q.groupBy("source", "term").agg(F.min("doc_id").alias("first"))
+    r = f.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("first", "term")))
+    return r.groupBy("source").agg(F.min(F.when(F.col("n") >= 4, F.col("first"))).alias("rung"), F.max("n").cast("long").alias("covered"))
+
+
+@registry.add("SELECT lower(trim(text)) = '' AS blank, count(*) AS n, count(DISTINCT lower(trim(text))) AS claims, count(*) - count(DISTINCT lower(trim(text))) AS duplicates FROM conversations GROUP BY 1")
+def duplicate_claims(t: Tables):
+    c = t.conversations.groupBy(F.lower(F.trim("text")).alias("claim")).agg(F.count("*").alias("n"))
+    return c.groupBy((F.col("claim") == "").alias("blank")).agg(F.sum("n").alias("n"), F.count("*").alias("claims"), (F.sum("n") - F.count("*")).alias("duplicates"))
+
+
+@registry.add("""
+WITH d AS (SELECT unnest(range(0, 11)) / 10::DOUBLE AS difficulty), c AS (SELECT unnest([1000, 2500, 5000, 10000, 16000, 24000, 32000]) AS ctx),
+x AS (SELECT difficulty, ctx, ctx / 1e6 * 3.0 + floor(3000 * (0.5 + difficulty) * (0.8 + 8000 / (ctx + 500.0::DOUBLE))) / 1e6 * 15.0 AS cost, least(1.0, difficulty * 0.4 * (2000 / (ctx + 1000.0::DOUBLE))) AS risk FROM d, c)
+SELECT difficulty, coalesce(arg_min(ctx, round(cost, 9)) FILTER (risk <= 0.10), arg_min(ctx, round(cost, 9))) AS ctx FROM x GROUP BY difficulty
+""")
+def joint_context_compute(t: Tables):
+    """The context size of the least cost of context and reasoning that meets the risk."""
+    x = t.literal([(d / 10.0, c) for d in range(11) for c in (1000, 2500, 5000, 10000, 16000, 24000, 32000)], "difficulty double, ctx int")
+    d, c = F.col("difficulty"), F.col("ctx")
+    cost = F.round(c / 1e6 * 3.0 + F.floor(3000 * (0.5 + d) * (0.8 + 8000 / (c + 500.0))) / 1e6 * 15.0, 9)
+    risk = F.least(F.lit(1.0), d * 0.4 * (2000 / (c + 1000.0)))
+    return x.select("difficulty", "ctx", cost.alias("cost"), risk.alias("risk")).groupBy("difficulty").agg(F.coalesce(F.min_by("ctx", F.when(F.col("risk") <= 0.10, F.col("cost"))), F.min_by("ctx", "cost")).alias("ctx"))
+
+
+@registry.add("""
+WITH s AS (SELECT o_orderkey, (o_orderkey % 10) / 10::DOUBLE AS conf, (o_orderkey % 7) / 7::DOUBLE AS risk FROM orders), a AS (SELECT o_orderkey, unnest(['answer', 'retrieve', 'verify', 'escalate']) AS action, unnest([0.0, 0.25 * (1 - conf), 0.5 * risk, 0.4 * (1 - conf) + 0.3 * risk]) AS gain, unnest([0.0, 0.05, 0.10, 0.20]) AS cost FROM s)
+SELECT o_orderkey, arg_max(action, (round(gain - cost, 9), action)) AS action, round(max(gain - cost), 6)::DOUBLE AS voi FROM a GROUP BY o_orderkey
+""")
+def best_action(t: Tables):
+    """The action of the largest value of information, less its cost."""
+    k = F.col("o_orderkey")
+    conf, risk = (k % 10) / F.lit(10.0), (k % 7) / F.lit(7.0)
+    row = lambda n, g, c: F.struct(F.round(g - c, 9).alias("voi"), F.lit(n).alias("action"))
+    a = F.array(row("answer", F.lit(0.0), 0.0), row("retrieve", 0.25 * (1 - conf), 0.05), row("verify", 0.5 * risk, 0.10), row("escalate", 0.4 * (1 - conf) + 0.3 * risk, 0.20))
+    return t.orders.select(k, F.array_max(a).alias("b")).select("o_orderkey", "b.action", F.round("b.voi", 6).alias("voi"))
+
+
+def _policy_rows(t: Tables):
+    return _ranked(t).select("semantic", "lexical", "affinity", "auth", "re", "risk", (F.col("id") % 5 == 0).alias("relevant"))
+
+
+@registry.add()
+def policy_fitness(t: Tables):
+    """Fitness of a generation of mutants; tested against a plain reading."""
+    from millrace.operators.policy import Policy, evaluate, mutate
+
+    pool = [Policy()] + [mutate(Policy(), i) for i in range(1, 7)]
+    return evaluate(_policy_rows(t), pool).select("policy", F.round("fitness", 6).alias("fitness"))
+
+
+@registry.add()
+def minimum_evidence_select(t: Tables):
+    from millrace.operators.policy import minimum_evidence
+    from millrace.plans.text import TERMS
+
+    needed = frozenset(TERMS[:4])
+    return P.select_by(_top(t), "source", 4000, lambda rows, budget: minimum_evidence(rows, needed, budget, 0.5))
+
+
+@registry.add("SELECT l_returnflag, count(DISTINCT l_partkey) AS exact FROM lineitem GROUP BY 1")
+def approximate_distinct(t: Tables):
+    """Sketched distinct counts, given as the exact count where the sketch is within five percent of it."""
+    s = t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("e"))
+    return s.select("l_returnflag", F.when(F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e") + 1, F.col("e")).otherwise(F.col("a")).alias("exact"))
+
+
+@registry.add("WITH n AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS kind FROM part), q AS (SELECT p_partkey FROM n WHERE ends_with(name, '7') AND contains(kind, 'econ')), f AS (SELECT p_partkey FROM n WHERE ends_with(name, '7')) SELECT p_partkey FROM q UNION ALL SELECT p_partkey FROM f WHERE NOT EXISTS (SELECT 1 FROM q)")
+def qualified_lookup(t: Tables):
+    """The last part of a name with its qualifier; without any such row, the last part alone."""
+    n = t.part.where(F.lower("p_name").endswith("7")).select("p_partkey", F.lower("p_type").contains("econ").alias("q"))
+    any_ = n.agg(F.coalesce(F.bool_or("q"), F.lit(False)).alias("some"))
+    return n.crossJoin(F.broadcast(any_)).where(F.col("q") | ~F.col("some")).select("p_partkey")
+
+
+@registry.add(f"SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest({_TOKEN_SQL}) AS term FROM documents) WHERE starts_with(term, 'licen') OR starts_with(term, 'vers') OR starts_with(term, 'onedas')")
+def prefix_token_search(t: Tables):
+    from millrace.functions.text import tokens
+
+    hit = F.exists(tokens(F.col("text")), lambda x: x.startswith("licen") | x.startswith("vers") | x.startswith("onedas"))
+    return t.documents.where(hit).select("doc_id")
