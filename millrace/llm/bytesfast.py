@@ -8,12 +8,17 @@ running sum, and then mixed; they are the same on every machine.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc
+except (OSError, AttributeError):
+    _trim = None
 SLICE_BYTES = (2 << 20) - 64
 
 
@@ -58,6 +63,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(21, int(n - 1).bit_length()))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def frugal(f):
+    """A batch function that gives the memory it has freed back to the system when its task ends: Python workers are
+    used again by later tasks, and what they keep counts for the executor."""
+
+    @functools.wraps(f)
+    def run(*a, **k):
+        try:
+            yield from f(*a, **k)
+        finally:
+            tidy()
+
+    return run
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column's bytes and n+1 offsets; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -27,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, grams, mix, text_slices
+from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, frugal, grams, mix, text_slices
 from millrace.llm.keys import fresh, table, text_key
+from millrace.sources.work import small_batches
 
 WINDOW = 10
 K = 5
@@ -62,6 +63,7 @@ def winnow(words: Words, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     return at, g[at]
 
 
+@frugal
 def _window_rows(it, text: str, key: str):
     """Benchmark windows: (length, window hash, k-gram hashes inside, item id or null)."""
     for batch in it:
@@ -155,6 +157,7 @@ def _scan(words: Words, index: _Index) -> tuple[np.ndarray, list[list[str]]]:
     return inside[words.rows[1:]] - inside[words.rows[:-1]], [sorted(items.get(r, ())) for r in range(rows)]
 
 
+@frugal
 def _scan_batches(it, text: str, index_b, keep: int):
     index = index_b.value
     for batch in it:
@@ -169,6 +172,7 @@ def _scan_batches(it, text: str, index_b, keep: int):
         yield pa.RecordBatch.from_arrays([*batch.columns[:keep], cat(n_words), cat(n_hit), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names[:keep], "n_words", "n_hit", "items"])
 
 
+@frugal
 def _fp_batches(it, text: str, sizes: list[int]):
     """For the joined way: each kept fingerprint with the windows around it."""
     for batch in it:
@@ -191,6 +195,7 @@ def _fp_batches(it, text: str, sizes: list[int]):
                 )
 
 
+@frugal
 def _count_batches(it):
     for batch in it:
         parts = [np.diff(Words(data, off, IS_WORD, VALUES).rows) for _, _, data, off in text_slices(batch, "t")]
@@ -202,6 +207,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     With keep_columns the three get underscores before their names where the documents have such columns.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     windows = benchmark_windows(benchmark, item_id, item_text)
     n = windows.limit(broadcast_windows + 1).count()

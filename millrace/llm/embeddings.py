@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesfast import frugal
 from millrace.llm.components import components
 from millrace.llm.keys import table
 
@@ -50,6 +51,7 @@ def describe(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> tuple[np.n
     return near, np.bitwise_or.reduce(np.uint64(1) << near.astype(np.uint64), axis=1)
 
 
+@frugal
 def _index_batches(it, held, prefix: int):
     pivots = held.value
     for batch in it:
@@ -119,6 +121,7 @@ def _cell(rows: list[tuple], pivot: int, shared: int, cosine: float):
     return cid[some], links[some], cid[apart], cid[forest.root[apart]]
 
 
+@frugal
 def _cell_batches(it, shared: int, cosine: float):
     held: list[tuple] = []
     key = None

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.bytesfast import frugal
 from millrace.llm.keys import table
 from millrace.llm.urls import host_of
 
@@ -234,6 +235,7 @@ def extract(page: str | None, path: str | None = None) -> tuple[str, str, int]:
     return " ".join(blocks[node.blocks[0] : node.blocks[1]]), node.path, node.mass
 
 
+@frugal
 def _vote_batches(it):
     for batch in it:
         got = [extract(h)[1:] for h in batch.column("html").to_pylist()]

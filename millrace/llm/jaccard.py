@@ -37,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, grams, mix, text_slices
+from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, frugal, grams, mix, text_slices
 from millrace.llm.components import components
 from millrace.llm.keys import table, text_key
+from millrace.sources.work import small_batches
 
 SHINGLE = 5
 PERCENT = 80
@@ -117,6 +118,7 @@ def most_differences(a, b):
     return (a + b) * (100 - PERCENT) // (100 + PERCENT)
 
 
+@frugal
 def _set_batches(it):
     seen: set[tuple] = set()
     for batch in it:
@@ -165,6 +167,7 @@ def _sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
+@frugal
 def _filter_batches(it):
     """Candidate pairs with sizes and sketches in; those that may be similar out."""
     for batch in it:
@@ -204,6 +207,7 @@ def _tile_pairs(sid, comp, n, sk, side, sig=None, few=None):
             yield np.minimum(sid[a], sid[b])[good], np.maximum(sid[a], sid[b])[good]
 
 
+@frugal
 def _cell_batches(it):
     """Rows sorted by cell (sig, i, j) in; pairs out. A cell has at most two tiles of sets."""
     held: list[tuple] = []
@@ -231,6 +235,7 @@ def _cell_batches(it):
     yield from flush()
 
 
+@frugal
 def _verify_batches(it):
     for batch in (whole.slice(z, 256) for whole in it for z in range(0, whole.num_rows, 256)):
         found = []
@@ -306,6 +311,7 @@ class _Join:
 
 def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """k, h, n, component_id of every document (h: hash of its text)."""
+    small_batches(docs.sparkSession)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     src = docs.select(docs[doc_id].alias("k"), text_key(t).alias("h"), t.alias("t"))
     job = _Join(src)

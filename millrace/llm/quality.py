@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, mix, text_slices
+from millrace.llm.bytesfast import LOWER, U64, Words, byte_values, frugal, mix, text_slices
 from millrace.llm.keys import fresh
+from millrace.sources.work import small_batches
 
 BITS = 18
 TRAIN_ROWS = 6000
@@ -76,6 +77,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return slots, np.stack([ok for _, ok in got]), w.rows
 
 
+@frugal
 def _rows(it):
     for batch in it:
         idx, val = [], []
@@ -112,6 +114,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = EPOCHS)
     return weights(z, n)
 
 
+@frugal
 def _train(it):
     rows = []
     for batch in it:
@@ -129,6 +132,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights fitted on at most train_rows labelled rows that are not held out."""
+    small_batches(docs.sparkSession)
     own = labels.select(labels[doc_id].alias("k"), labels[label].cast("int").alias("y")).where("k is not null and y in (0, 1)").where(~held_out(F.col("k")))
     some = own.groupBy("k").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64(F.col("k").cast("string"))).orderBy("o", "k").limit(train_rows)
     src = docs.select(docs[doc_id].alias("d"), docs[text].cast("string").alias("t"))
@@ -150,6 +154,7 @@ def score(docs: DataFrame, weights: np.ndarray, text: str = "text") -> tuple[Dat
     src = docs.select(*[docs[c].cast("string").alias(f"c{i}") if c == text else docs[c].alias(f"c{i}") for i, c in enumerate(names)])
     column = f"c{names.index(text)}"
 
+    @frugal
     def run(it):
         w = held.value
         for batch in it:

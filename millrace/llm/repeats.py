@@ -37,8 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesfast import SLICE_BYTES, U64, byte_values, column_bytes, mix, powers, text_slices
+from millrace.llm.bytesfast import SLICE_BYTES, U64, byte_values, column_bytes, frugal, mix, powers, text_slices
 from millrace.llm.keys import table, text_key
+from millrace.sources.work import small_batches
 
 LENGTH = 400
 GRAM = 201
@@ -98,6 +99,7 @@ def runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GR
     return row, start - off[row], size, at - start, g[at], content
 
 
+@frugal
 def _run_batches(it):
     for batch in it:
         for a, data, off, before in _pieces(batch, "t", LENGTH - 1):
@@ -109,6 +111,7 @@ def _run_batches(it):
             )
 
 
+@frugal
 def _cut_batches(it):
     """Bytes of the listed runs: text rows with arrays of runs in, a row for each run out."""
     for batch in it:
@@ -170,6 +173,7 @@ def _spans_of(hit: np.ndarray):
     return edge[::2], edge[1::2]
 
 
+@frugal
 def _refine_batches(it):
     """Rows sorted by bucket in; spans of repeated bytes of the rows marked alone out."""
     held: list[tuple] = []
@@ -208,6 +212,7 @@ def _refine_batches(it):
         yield pa.RecordBatch.from_arrays([pa.array(got[0], kind), *(pa.array(x, pa.int64()) for x in got[1:])], names=["k", "h", "lo", "hi"])
 
 
+@frugal
 def _window_batches(it):
     """Hot buckets: a row for each window."""
     for batch in it:
@@ -250,6 +255,7 @@ def repeated_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame
     return same.unionByName(refined).unionByName(widely), docs
 
 
+@frugal
 def _cut_out(it):
     for batch in it:
         data, off = column_bytes(batch.column("t"))
@@ -279,6 +285,7 @@ def _cut_out(it):
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", hot_runs: int = HOT_RUNS) -> DataFrame:
     """A row for each document: its id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay)."""
+    small_batches(docs.sparkSession)
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     src = docs.select(docs[doc_id].alias("k"), text_key(t).alias("h"), t.alias("t"))
     spans, src = repeated_spans(src, hot_runs)

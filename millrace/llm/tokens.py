@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesfast import U64, byte_values, mix, powers, text_slices
+from millrace.llm.bytesfast import U64, byte_values, frugal, mix, powers, text_slices
 from millrace.llm.keys import text_key, work_dir
+from millrace.sources.work import small_batches
 
 SHARD_TOKENS = 1 << 20
 END = 0
@@ -289,6 +290,7 @@ def _encoder(path: str) -> Encoder:
 _SHARD = "part int, shard int, levels int, n_tokens long, ids array<{kind}>, counts array<long>, file binary"
 
 
+@frugal
 def _encode_batches(it, path: str, most: int):
     from pyspark import TaskContext
 
@@ -323,6 +325,7 @@ def _encode_batches(it, path: str, most: int):
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode and write all documents in ascending order of their ids."""
+    small_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     t = F.coalesce(docs[text].cast("string"), F.lit(""))
     src = docs.select(docs[doc_id].alias("k"), text_key(t).alias("h"), t.alias("t"))
@@ -332,6 +335,7 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     ordered.mapInArrow(lambda it: _encode_batches(it, tokenizer, shard_tokens), _SHARD.format(kind=kind)).write.parquet(path)
 
 
+@frugal
 def _decode_batches(it):
     for batch in it:
         for i in range(batch.num_rows):
