@@ -89,9 +89,9 @@ def reverse_closure(t: Tables):
     return G.closure(e, t.literal([("s3",)], "id string"), 2)
 
 
-@registry.add(_TREE.replace("WITH e", "WITH RECURSIVE e") + ", p AS (SELECT [src, dst] AS path, dst AS tip FROM ed WHERE src = 'r1' UNION ALL SELECT list_append(path, dst), dst FROM p JOIN ed ON src = tip WHERE tip <> 'r2' AND len(path) <= 4 AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, '>') AS path FROM p WHERE tip = 'r2'")
+@registry.add(_TREE.replace("WITH e", "WITH RECURSIVE e") + ", p AS (SELECT [src, dst] AS path, dst AS tip FROM ed WHERE src = 'r1' UNION ALL SELECT list_append(path, dst), dst FROM p JOIN ed ON src = tip WHERE tip <> 'n6' AND len(path) <= 4 AND NOT list_contains(path, dst)) SELECT DISTINCT array_to_string(path, '>') AS path FROM p WHERE tip = 'n6'")
 def call_chains(t: Tables):
-    return G.simple_paths(_tree(t), "r1", "r2", 4).select(F.array_join("path", ">").alias("path"))
+    return G.simple_paths(_tree(t), "r1", "n6", 4).select(F.array_join("path", ">").alias("path"))
 
 
 @registry.add(_TREE + """, u AS (SELECT src, dst, weight FROM ed UNION ALL SELECT dst, src, weight FROM ed), s AS (SELECT 'n1' AS id, 1.0::DOUBLE AS score UNION ALL SELECT 'n2', 0.6),

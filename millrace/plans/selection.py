@@ -360,10 +360,10 @@ def approximate_distinct(t: Tables):
     return s.select("l_returnflag", F.when(F.abs(F.col("a") - F.col("e")) <= 0.05 * F.col("e") + 1, F.col("e")).otherwise(F.col("a")).alias("exact"))
 
 
-@registry.add("WITH n AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS kind FROM part), q AS (SELECT p_partkey FROM n WHERE ends_with(name, '7') AND contains(kind, 'econ')), f AS (SELECT p_partkey FROM n WHERE ends_with(name, '7')) SELECT p_partkey FROM q UNION ALL SELECT p_partkey FROM f WHERE NOT EXISTS (SELECT 1 FROM q)")
+@registry.add("WITH n AS (SELECT p_partkey, lower(p_name) AS name, lower(p_type) AS kind FROM part), q AS (SELECT p_partkey FROM n WHERE ends_with(name, 'bolt') AND contains(kind, 'econ')), f AS (SELECT p_partkey FROM n WHERE ends_with(name, 'bolt')) SELECT p_partkey FROM q UNION ALL SELECT p_partkey FROM f WHERE NOT EXISTS (SELECT 1 FROM q)")
 def qualified_lookup(t: Tables):
     """The last part of a name with its qualifier; without any such row, the last part alone."""
-    n = t.part.where(F.lower("p_name").endswith("7")).select("p_partkey", F.lower("p_type").contains("econ").alias("q"))
+    n = t.part.where(F.lower("p_name").endswith("bolt")).select("p_partkey", F.lower("p_type").contains("econ").alias("q"))
     any_ = n.agg(F.coalesce(F.bool_or("q"), F.lit(False)).alias("some"))
     return n.crossJoin(F.broadcast(any_)).where(F.col("q") | ~F.col("some")).select("p_partkey")
 
