@@ -121,3 +121,11 @@ def softmax_entropy(df: DataFrame, score: str, temperature: float = 1.0, by: lis
 def adaptive_k(n: Column, entropy: Column, k_min: int, k_max: int) -> Column:
     h = F.when(n > 1, F.least(F.lit(1.0), entropy / F.log(n.cast("double")))).otherwise(F.lit(None))
     return F.when(h.isNull(), k_min).otherwise(k_min + F.round((k_max - k_min) * h)).cast("long")
+
+
+def tiled(a: DataFrame, b: DataFrame, id_a: str, id_b: str, side: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self-join with a column tile: each pair of rows meets in just one of side * side tiles of its key."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    a = a.withColumn("_o", each).withColumn("tile", part(id_a) * side + F.col("_o")).drop("_o")
+    return a, b.withColumn("_o", each).withColumn("tile", F.col("_o") * side + part(id_b)).drop("_o")

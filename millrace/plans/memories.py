@@ -285,14 +285,17 @@ p AS (SELECT a.id AS a, b.id AS b, 0.85 * greatest(0.5, abs(a.w - b.w)) AS kappa
 SELECT a, b, round(kappa, 6)::DOUBLE AS kappa, CASE WHEN wa > wb THEN a WHEN wb > wa THEN b WHEN va >= vb THEN a ELSE b END AS winner FROM p WHERE kappa >= 0.42"""
 )
 def contradiction_pairs(t: Tables):
-    """Conflicting memories of one scope among a candidate list (the first 200), with the one that stands."""
-    m = memories(t).join(t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low")), "id").where("id < 200")
+    """Conflicting memories of one scope, with the one that stands: opposite polarities of a scope meet in tiles.
+
+    Each such pair is a row, so the rows grow with the square of a scope."""
+    m = memories(t).join(t.documents.select(F.col("doc_id").alias("id"), F.lower("text").alias("low")), "id")
     neg = F.lit(False)
     for x in _NEG:
         neg = neg | F.col("low").contains(x)
     m = m.select("id", "source", "valid_from", M.lookup(F.col("authority"), _W, 0.5).alias("w"), neg.alias("neg"))
     a, b = m.select("source", *[F.col(c).alias(f"{c}_a") for c in ("id", "w", "valid_from", "neg")]), m.select("source", *[F.col(c).alias(f"{c}_b") for c in ("id", "w", "valid_from", "neg")])
-    p = a.join(b, "source").where("id_a < id_b and neg_a <> neg_b").withColumn("kappa", 0.85 * F.greatest(F.lit(0.5), F.abs(F.col("w_a") - F.col("w_b")))).where("kappa >= 0.42")
+    a, b = R.tiled(a.withColumn("other", ~F.col("neg_a")), b.withColumn("other", F.col("neg_b")), "id_a", "id_b")
+    p = a.join(b, ["source", "other", "tile"]).where("id_a < id_b").withColumn("kappa", 0.85 * F.greatest(F.lit(0.5), F.abs(F.col("w_a") - F.col("w_b")))).where("kappa >= 0.42")
     win = F.when(F.col("w_a") > F.col("w_b"), F.col("id_a")).when(F.col("w_b") > F.col("w_a"), F.col("id_b")).when(F.col("valid_from_a") >= F.col("valid_from_b"), F.col("id_a")).otherwise(F.col("id_b"))
     return p.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("kappa", 6).alias("kappa"), win.alias("winner"))
 

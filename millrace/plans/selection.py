@@ -195,7 +195,7 @@ SELECT DISTINCT doc_id AS src, item_id AS dst FROM t JOIN n ON w = name
 def reference_edges(t: Tables):
     """Edges from a text to what it names, by an equi-join of tokens and names."""
     tok = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "), " "), lambda x: F.length(x) >= 2)
-    d = t.documents.where("doc_id < 60").select(F.col("doc_id").alias("src"), F.explode(F.array_distinct(tok("text"))).alias("w"))
+    d = t.documents.select(F.col("doc_id").alias("src"), F.explode(F.array_distinct(tok("text"))).alias("w"))
     n = t.benchmark.select(F.col("item_id").alias("dst"), F.get(F.filter(tok("text"), lambda x: F.length(x) >= 6), F.lit(0)).alias("w"))
     return d.join(n, "w").select("src", "dst").distinct()
 

@@ -274,10 +274,11 @@ SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE
 FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0
 """)
 def set_jaccard(t: Tables):
-    """Jaccard of the first documents of each language, for redundancy of a candidate list."""
-    p = t.documents.where("doc_id < 40").select("lang", "doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    """Jaccard of the documents of each language, in tiles. Each pair is a row, so the rows grow with the square of a language."""
+    p = t.documents.select("lang", "doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     a, b = p.select("lang", F.col("doc_id").alias("a"), F.col("t").alias("x")), p.select("lang", F.col("doc_id").alias("b"), F.col("t").alias("y"))
-    return a.join(b, "lang").where("a < b").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    a, b = R.tiled(a, b, "a", "b")
+    return a.join(b, ["lang", "tile"]).where("a < b").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
 _FUSE = f"""

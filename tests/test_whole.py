@@ -13,18 +13,18 @@ from tests.test_queries import DATA, plain
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 
 
-def same(spark, name, *cuts):
+def same(spark, name, *cuts, data=DATA):
     """The rows of a query, held against its DuckDB statement with the given cuts taken out of it."""
     sql = catalog.oracle_sql()[name]
     for old, new in cuts:
         sql = sql.replace(old, new)
     c = duckdb.connect()
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     r = c.execute(sql)
     columns = [d[0] for d in r.description]
     want = sorted((tuple(plain(x) for x in row) for row in r.fetchall()), key=repr)
-    got = sorted((tuple(plain(row[k]) for k in columns) for row in catalog.queries()[name](spark, DATA).collect()), key=repr)
+    got = sorted((tuple(plain(row[k]) for k in columns) for row in catalog.queries()[name](spark, data).collect()), key=repr)
     assert got == want
     return got
 
@@ -40,3 +40,10 @@ def test_verify_beyond_the_first_texts(spark):
     e = [(i, "other text") for i in range(500)] + [(700, "Green apples grow there"), (800, "green apples, not pears, grow here"), (900, "proven harmless"), (None, None)]
     got = {r["id"]: (r["status"], round(r["confidence"], 6)) for r in E.verify(c, spark.createDataFrame(e, "ord long, body string").repartition(3)).collect()}
     assert got == {1: ("CONTRADICTED", 1.0), 2: ("CONTRADICTED", 1.0), 3: ("UNKNOWN", 0.0), 4: ("UNKNOWN", 0.0), 5: ("CONTRADICTED", 0.666667)}
+
+
+@needs_tables
+@pytest.mark.parametrize("name, cut, data", [("contradiction_pairs", " AND a.id < 200 AND b.id < 200", "/root/testdata/sf0.01"), ("set_jaccard", " WHERE doc_id < 40", DATA), ("reference_edges", " WHERE doc_id < 60", DATA)])
+def test_pairs_are_of_the_whole_table(spark, name, cut, data):
+    got = same(spark, name, (cut, ""), data=data)
+    assert len(got) == len(set(got)) > 0
