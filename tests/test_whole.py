@@ -47,3 +47,35 @@ def test_verify_beyond_the_first_texts(spark):
 def test_pairs_are_of_the_whole_table(spark, name, cut, data):
     got = same(spark, name, (cut, ""), data=data)
     assert len(got) == len(set(got)) > 0
+
+
+_GRAPH = [(x, " WHERE c_custkey % 10 = 0") for x in ("ppr_5_iterations", "bfs_closure", "reverse_closure", "call_chains", "best_first_expansion")]
+
+
+@needs_tables
+@pytest.mark.parametrize("name, cut", [("token_bucket", " WHERE user_id % 5 = 0"), ("hierarchical_budget", " WHERE o_custkey % 3 = 0"), *_GRAPH])
+def test_no_key_is_left_out(spark, name, cut):
+    if name in catalog.oracle_sql():
+        assert cut in catalog.oracle_sql()[name]
+        same(spark, name, (cut, ""))
+
+
+@needs_tables
+def test_graph_weighs_all_customers(spark):
+    from millrace.plans.graphs import _tree
+    from millrace.registry import Tables
+
+    t = Tables(spark, DATA)
+    got = _tree(t).where("src like 'n%' and dst like 'r%'").agg({"weight": "sum"}).first()[0]
+    assert got == 0.5 * t.customer.count()
+
+
+@needs_tables
+def test_bootstrap_is_of_all_orders(spark):
+    import numpy as np
+
+    c = duckdb.connect()
+    v = np.array([float(x) for (x,) in c.execute(f"SELECT o_totalprice FROM '{DATA}/orders.parquet'").fetchall()])
+    r = catalog.queries()["bootstrap_ci"](spark, DATA).first()
+    half = 1.96 * v.std() / len(v) ** 0.5
+    assert r["lower"] < v.mean() < r["upper"] and 0.7 * 2 * half < float(r["upper"] - r["lower"]) < 1.5 * 2 * half
