@@ -41,16 +41,25 @@ e AS (SELECT 0::BIGINT AS n, [1200, 1200, 1200, 1200]::DOUBLE[] AS r UNION ALL S
 SELECT i AS player, round(r[i + 1], 4) AS rating FROM (SELECT arg_max(r, n) AS r FROM e), (SELECT unnest([0, 1, 2, 3]) AS i)
 """)
 def elo_ratings(t: Tables):
-    """Ratings after a sequence of matches: a fold in order over one tournament's matches."""
+    """Ratings after a sequence of matches: a fold in order over all of them.
+
+    Each step needs the ratings before it, so one task reads the sorted matches batch by batch and holds four numbers."""
     score = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).otherwise(0.5)
-    m = t.orders.where("o_orderkey <= 300").select(F.col("o_orderkey").alias("n"), (F.col("o_custkey") % 4).cast("int").alias("a"), ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 3) % 4).cast("int").alias("b"), score.alias("s"))
+    m = t.orders.select(F.col("o_orderkey").alias("n"), (F.col("o_custkey") % 4).cast("int").alias("a"), ((F.col("o_custkey") + 1 + F.col("o_orderkey") % 3) % 4).cast("int").alias("b"), score.alias("s"))
+
+    def play(batches):
+        import pyarrow as pa
 
-    def step(r, x):
-        gain = 32 * (x["s"] - 1 / (1 + F.pow(F.lit(10.0), (F.get(r, x["b"]) - F.get(r, x["a"])) / 400)))
-        return F.transform(r, lambda v, i: F.when(i == x["a"], v + gain).when(i == x["b"], v - gain).otherwise(v))
+        r = [1200.0] * 4
+        for batch in batches:
+            for a, b, s in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "s"))):
+                if a is not None and b is not None:
+                    gain = 32 * (s - 1 / (1 + 10 ** ((r[b] - r[a]) / 400)))
+                    r[a], r[b] = r[a] + gain, r[b] - gain
+        yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array(r)], ["player", "r"])
 
-    rows = m.agg(F.array_sort(F.collect_list(F.struct("n", "a", "b", "s"))).alias("m"))
-    return rows.select(F.posexplode(F.aggregate("m", F.array(*[F.lit(1200.0)] * 4), step)).alias("player", "r")).select("player", F.round("r", 4).alias("rating"))
+    rows = m.repartition(1).sortWithinPartitions("n", "a", "b", "s").mapInArrow(play, "player int, r double")
+    return rows.select("player", F.round("r", 4).alias("rating"))
 
 
 @registry.add("""

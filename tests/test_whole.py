@@ -79,3 +79,21 @@ def test_bootstrap_is_of_all_orders(spark):
     r = catalog.queries()["bootstrap_ci"](spark, DATA).first()
     half = 1.96 * v.std() / len(v) ** 0.5
     assert r["lower"] < v.mean() < r["upper"] and 0.7 * 2 * half < float(r["upper"] - r["lower"]) < 1.5 * 2 * half
+
+
+@needs_tables
+def test_elo_plays_all_matches(spark):
+    r, c = [1200.0] * 4, duckdb.connect()
+    for k, cust, st in c.execute(f"SELECT o_orderkey, o_custkey, o_orderstatus FROM '{DATA}/orders.parquet' ORDER BY 1").fetchall():
+        a, b, s = cust % 4, (cust + 1 + k % 3) % 4, {"F": 1.0, "O": 0.0}.get(st, 0.5)
+        gain = 32 * (s - 1 / (1 + 10 ** ((r[b] - r[a]) / 400)))
+        r[a] += gain
+        r[b] -= gain
+    got = {x["player"]: x["rating"] for x in catalog.queries()["elo_ratings"](spark, DATA).collect()}
+    assert got == pytest.approx(dict(enumerate(r)), abs=1e-3)
+
+
+@needs_tables
+def test_pareto_judges_all_suppliers(spark):
+    got = same(spark, "pareto_frontier", (" WHERE l_suppkey <= 200", ""), data="/root/testdata/sf0.1")
+    assert len(got) == 1000
