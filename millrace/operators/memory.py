@@ -104,6 +104,34 @@ def belief(prior: Column, events: Column) -> Column:
     return F.aggregate(events, prior, step)
 
 
+def believe(events: DataFrame, key: str, event: str, prior: float) -> DataFrame:
+    """key, evidence, posterior: `belief` after all events of each key. events lie in order, all of a key in one partition,
+    and are read batch by batch, so a key with many of them is never held as an array."""
+    e = F.col(event)
+    yes, no = lookup(e, {k: v[0] for k, v in LIKELIHOODS.items()}, OTHER_LIKELIHOOD[0]), lookup(e, {k: v[1] for k, v in LIKELIHOODS.items()}, OTHER_LIKELIHOOD[1])
+    rows = events.select(F.col(key), yes.cast("double").alias("yes"), no.cast("double").alias("no"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, n, p, started, kind = None, 0, prior, False, None
+        for batch in batches:
+            out: list[tuple] = []
+            kind = batch.schema.field(0).type
+            for k, y, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if not started or k != at:
+                    if started:
+                        out.append((at, n, p))
+                    at, n, p, started = k, 0, prior, True
+                p = max(0.01, min(0.99, p))
+                n, p = n + 1, max(0.001, min(0.999, y * p / (y * p + x * (1 - p))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kind), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], [key, "evidence", "posterior"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([n]), pa.array([p])], [key, "evidence", "posterior"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, evidence long, posterior double")
+
+
 def economics(kind: Column, reuse: Column, tokens: Column, age: Column) -> dict[str, Column]:
     h = lookup(kind, {k: v[0] for k, v in ECONOMICS.items()}, OTHER_ECONOMICS[0])
     value = lookup(kind, {k: v[1] for k, v in ECONOMICS.items()}, OTHER_ECONOMICS[1])

@@ -266,12 +266,11 @@ b AS (SELECT user_id, 0::BIGINT AS n, 0.5::DOUBLE AS p FROM (SELECT DISTINCT use
 SELECT user_id, max(n) AS evidence, round(arg_max(p, n), 6) AS posterior FROM b GROUP BY user_id"""
 )
 def bayes_belief(t: Tables):
-    """Belief about each user after their first forty events, in order of time."""
+    """Belief about each user after all their events, in order of time: a fold that holds one number for the user at hand."""
     kind = F.col("event_type")
     name = F.when(kind == "purchase", "user_decision").when(kind == "view", "git_diff_clean").when(kind == "click", "agent_inference").when(kind == "error", "test_fail").otherwise(kind)
-    e = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"), name.alias("e")).where("n <= 40")
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("n", "e"))).alias("a"))
-    return rows.select("user_id", F.size("a").cast("long").alias("evidence"), F.round(M.belief(F.lit(0.5), F.col("a.e")), 6).alias("posterior"))
+    e = t.events.select("user_id", "ts", "event_id", name.alias("e")).repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    return M.believe(e, "user_id", "e", 0.5).select("user_id", "evidence", F.round("posterior", 6).alias("posterior"))
 
 
 _NEG = ["not", "never", "avoid", "deprecated", "removed", "disabled", "don't", "no longer", "worthless", "licensed"]

@@ -97,3 +97,10 @@ def test_elo_plays_all_matches(spark):
 def test_pareto_judges_all_suppliers(spark):
     got = same(spark, "pareto_frontier", (" WHERE l_suppkey <= 200", ""), data="/root/testdata/sf0.1")
     assert len(got) == 1000
+
+
+@needs_tables
+def test_belief_folds_all_events(spark):
+    got = same(spark, "bayes_belief", (" WHERE n <= 40", ""))
+    c = duckdb.connect()
+    assert max(r[1] for r in got) == c.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM '{DATA}/events.parquet' GROUP BY user_id)").fetchone()[0] > 40
