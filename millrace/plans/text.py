@@ -80,7 +80,7 @@ WITH p AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM p, n WHERE df >= 5
 """)
 def inverse_document_frequency(t: Tables):
-    df = R.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+    df = R.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
     n = t.documents.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 

@@ -104,3 +104,9 @@ def test_belief_folds_all_events(spark):
     got = same(spark, "bayes_belief", (" WHERE n <= 40", ""))
     c = duckdb.connect()
     assert max(r[1] for r in got) == c.execute(f"SELECT max(n) FROM (SELECT count(*) AS n FROM '{DATA}/events.parquet' GROUP BY user_id)").fetchone()[0] > 40
+
+
+@needs_tables
+def test_idf_of_all_terms(spark):
+    got = same(spark, "inverse_document_frequency", (" WHERE df >= 5", ""))
+    assert len(got) == catalog.queries()["document_frequency"](spark, DATA).count()
