@@ -1,8 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of each source, documents in a fixed pseudorandom order, are one
-stream that is packed into blocks of `block` words. A source's target gives
-its number of output slots; each slot draws its output shard, so a source's
+stream that is packed into blocks of `block` words, the last of which may be
+part of one. A source's target gives its number of output slots, counted in
+blocks of the source's mean size (so that whole passes are whole) and at least
+one where the target is above 0; each slot draws its output shard, so a source's
 counts per shard are multinomial. Slots are numbered through the shards and
 mapped to blocks by pseudorandom permutations of the source's block indexes,
 one permutation for each pass over the source (swap-or-not rounds, which are
@@ -82,7 +84,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     base = docs.select(docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), F.coalesce(F.regexp_count(t, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(docs[doc_id], t).alias("h"))
     base = table(base.withColumn("key", _source_key(F.col("source"))).withColumn("chunk", F.pmod("h", F.lit(CHUNKS)).cast("int")), "sizes")
     sources = targets(base.groupBy("source", "key").agg(F.sum("size").alias("source_size")))
-    sources = table(sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("slots", F.round(F.col("target") / block).cast("long")), "sources")
+    sources = table(sources.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("slots", F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * F.col("blocks") / F.col("source_size")))).otherwise(0).cast("long")), "sources")
     own = Window.partitionBy("key", "chunk").orderBy("h", "doc_id", "size")
     chunks = base.groupBy("key", "chunk").agg(F.sum("size").alias("n"))
     chunks = chunks.withColumn("offset", F.sum("n").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).drop("n")

@@ -110,3 +110,14 @@ def test_belief_folds_all_events(spark):
 def test_idf_of_all_terms(spark):
     got = same(spark, "inverse_document_frequency", (" WHERE df >= 5", ""))
     assert len(got) == catalog.queries()["document_frequency"](spark, DATA).count()
+
+
+def test_small_sources_stay_in_the_mix(spark):
+    from millrace.llm import mixing
+
+    rows = [(1, "w " * 15, "a"), (2, "w " * 65, "b"), (3, "w " * 5000, "c"), (4, None, "d"), (5, "w " * 64, "e"), (6, "w " * 128, "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(d).collect()}
+    assert got[1]["target"] == 30 and got[1]["taken"] == 30 and got[2]["target"] == 130 and got[2]["taken"] == 130
+    assert got[4]["taken"] == 0
+    assert all(abs(r["taken"] - r["target"]) <= 96 and r["taken"] <= 2 * r["size"] for r in got.values())
