@@ -262,7 +262,7 @@ WITH q AS (SELECT ['red', 'wid', 'idg', 'dge', 'get'] AS q), p AS (SELECT p_part
 SELECT p_partkey, len(list_intersect(t, q)) AS matched, round(0.6 * len(list_intersect(t, q)) / 5 + CASE WHEN contains(lower(p_name), 'widget') THEN 0.15 ELSE 0 END, 6) AS score FROM p, q WHERE len(list_intersect(t, q)) > 0
 """)
 def trigram_match(t: Tables):
-    """Coverage and exactness of the trigram score (proximity is in functions.text's callers that need positions)."""
+    """Coverage and exactness of the trigram score; its 0.25 proximity part, which needs positions, is not built."""
     q = F.array(*[F.lit(x) for x in ("red", "wid", "idg", "dge", "get")])
     p = t.part.select("p_partkey", "p_name", F.size(F.array_intersect(T.trigrams(F.col("p_name")), q)).cast("long").alias("matched")).where("matched > 0")
     return p.select("p_partkey", "matched", F.round(0.6 * F.col("matched") / 5 + F.when(F.lower("p_name").contains("widget"), 0.15).otherwise(0.0), 6).alias("score"))
