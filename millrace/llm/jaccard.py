@@ -231,7 +231,7 @@ def _group_batches(it):
         new[1:] = sig[1:] != sig[:-1]
         new[0] = not goes_on
         first = np.flatnonzero(new)
-        hubs = np.concatenate([[last[1]] if goes_on else [], sid[first]]).astype(np.int64)
+        hubs = np.concatenate([np.array([last[1]] if goes_on else [], np.int64), sid[first]])
         hub = hubs[np.cumsum(new) - (0 if goes_on else 1)]
         fresh = np.ones(len(sig), bool)  # repeated rows
         fresh[1:] = new[1:] | (sid[1:] != sid[:-1])
@@ -243,7 +243,7 @@ def _group_batches(it):
         own = full.copy()
         if goes_on:
             own[0] &= waits
-        names = np.concatenate([[last[0]] if goes_on else [], sig[first]]).astype(np.int64)
+        names = np.concatenate([np.array([last[0]] if goes_on else [], np.int64), sig[first]])
         out.append((names[own], hubs[own], hubs[own]))
         waits = not full[-1] and (waits if goes_on and len(hubs) == 1 else True)
         last, at = (sig[-1], hub[-1]), sid[-1]
