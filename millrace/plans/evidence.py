@@ -108,7 +108,7 @@ def conversation_compile(t: Tables):
 
 
 _VER = """
-WITH c AS (SELECT item_id AS id, lower(text) AS claim FROM benchmark), e AS (SELECT doc_id AS ord, lower(text) AS body FROM documents WHERE doc_id < 30),
+WITH c AS (SELECT item_id AS id, lower(text) AS claim FROM benchmark), e AS (SELECT doc_id AS ord, lower(text) AS body FROM documents),
 w AS (SELECT id, list_filter([regexp_replace(x, '^[,.;:"''()]+|[,.;:"''()]+$', '', 'g') for x in regexp_split_to_array(claim, '\\s+')], lambda x: length(x) > 3) AS w, NEG(claim) AS neg FROM c),
 p AS (SELECT id, ord, neg, NEG(body) AS eneg, CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(body, x) OR (length(x) > 4 AND contains(body, x[1:length(x) - 1]))))::DOUBLE / len(w) ELSE 0 END AS o FROM w, e),
 s AS (SELECT id, min(CASE WHEN neg <> eneg AND o >= 0.5 THEN ord END) AS stop FROM p WHERE o >= 0.4 GROUP BY id),
@@ -153,7 +153,7 @@ def answer_gate(t: Tables):
 
 @registry.add("""
 WITH r AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) > 3))) AS w FROM benchmark),
-d AS (SELECT DISTINCT unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) > 3)) AS w FROM documents WHERE doc_id < 100),
+d AS (SELECT DISTINCT unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) > 3)) AS w FROM documents),
 c AS (SELECT item_id, count(*) AS n, count(d.w) AS hit FROM r LEFT JOIN d USING (w) GROUP BY item_id)
 SELECT item_id, n, hit, round(hit::DOUBLE / n, 6) AS coverage, hit::DOUBLE / n >= 0.5 AS sufficient FROM c
 """)

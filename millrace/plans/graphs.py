@@ -21,7 +21,7 @@ _TREE = """
 WITH e AS (
   SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 1.0::DOUBLE AS weight FROM nation
   UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 0.8 FROM supplier
-  UNION ALL SELECT 'n' || c_nationkey, 'r' || (c_nationkey % 5), 0.5 FROM customer WHERE c_custkey % 10 = 0),
+  UNION ALL SELECT 'n' || c_nationkey, 'r' || (c_nationkey % 5), 0.5 FROM customer),
 ed AS (SELECT src, dst, sum(weight) AS weight FROM e GROUP BY ALL), nd AS (SELECT src AS id FROM ed UNION SELECT dst FROM ed)
 """
 

@@ -253,7 +253,7 @@ def economics_audit(t: Tables):
 
 
 _EV = """
-WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT * FROM e WHERE n <= 40),
+WITH RECURSIVE e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), f AS (SELECT * FROM e),
 """
 _LIK = {"purchase": "user_decision", "view": "git_diff_clean", "click": "agent_inference", "error": "test_fail"}
 
@@ -280,7 +280,7 @@ _W = {"user": 1.0, "developer": 1.0, "test": 0.9, "verification": 0.9, "commit":
 @registry.add(
     _MEM
     + f""", s AS (SELECT id, source AS scope, authority, valid_from, {_case("authority", _W, 0.5)} AS w, {" OR ".join("contains(lower(text), '" + x.replace("'", "''") + "')" for x in _NEG)} AS neg FROM mem),
-p AS (SELECT a.id AS a, b.id AS b, 0.85 * greatest(0.5, abs(a.w - b.w)) AS kappa, a.w AS wa, b.w AS wb, a.valid_from AS va, b.valid_from AS vb FROM s a JOIN s b ON a.scope = b.scope AND a.id < b.id AND a.neg <> b.neg AND a.id < 200 AND b.id < 200)
+p AS (SELECT a.id AS a, b.id AS b, 0.85 * greatest(0.5, abs(a.w - b.w)) AS kappa, a.w AS wa, b.w AS wb, a.valid_from AS va, b.valid_from AS vb FROM s a JOIN s b ON a.scope = b.scope AND a.id < b.id AND a.neg <> b.neg)
 SELECT a, b, round(kappa, 6)::DOUBLE AS kappa, CASE WHEN wa > wb THEN a WHEN wb > wa THEN b WHEN va >= vb THEN a ELSE b END AS winner FROM p WHERE kappa >= 0.42"""
 )
 def contradiction_pairs(t: Tables):

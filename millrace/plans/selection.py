@@ -36,7 +36,7 @@ def noisy_or_pack(t: Tables):
 
 
 @registry.add("""
-WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_custkey % 4 AS a, (o_custkey + 1 + o_orderkey % 3) % 4 AS b, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 ELSE 0.5 END::DOUBLE AS s FROM orders WHERE o_orderkey <= 300),
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_custkey % 4 AS a, (o_custkey + 1 + o_orderkey % 3) % 4 AS b, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.0 ELSE 0.5 END::DOUBLE AS s FROM orders),
 e AS (SELECT 0::BIGINT AS n, [1200, 1200, 1200, 1200]::DOUBLE[] AS r UNION ALL SELECT e.n + 1, [CASE WHEN i = a THEN r[i + 1] + 32 * (s - 1 / (1 + pow(10, (r[b + 1] - r[a + 1]) / 400))) WHEN i = b THEN r[i + 1] - 32 * (s - 1 / (1 + pow(10, (r[b + 1] - r[a + 1]) / 400))) ELSE r[i + 1] END for i in [0, 1, 2, 3]] FROM e JOIN m ON m.n = e.n + 1)
 SELECT i AS player, round(r[i + 1], 4) AS rating FROM (SELECT arg_max(r, n) AS r FROM e), (SELECT unnest([0, 1, 2, 3]) AS i)
 """)
@@ -63,7 +63,7 @@ def elo_ratings(t: Tables):
 
 
 @registry.add("""
-WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice / 1000 AS cost, o_orderpriority = '1-URGENT' AS reserved, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_custkey % 3 = 0),
+WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice / 1000 AS cost, o_orderpriority = '1-URGENT' AS reserved, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders),
 g AS (SELECT o_custkey, 0::BIGINT AS n, 0::DOUBLE AS spent, 0::BIGINT AS admitted, 0::BIGINT AS refused FROM (SELECT DISTINCT o_custkey FROM o)
  UNION ALL SELECT g.o_custkey, g.n + 1, CASE WHEN spent + cost <= CASE WHEN reserved THEN 1000 ELSE 600 END THEN spent + cost ELSE spent END, admitted + (spent + cost <= CASE WHEN reserved THEN 1000 ELSE 600 END)::INT, refused + (spent + cost > CASE WHEN reserved THEN 1000 ELSE 600 END)::INT FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.n = g.n + 1)
 SELECT o_custkey, round(arg_max(spent, n), 2) AS spent, arg_max(admitted, n) AS admitted, arg_max(refused, n) AS refused FROM g GROUP BY o_custkey
@@ -198,7 +198,7 @@ def hash_embeddings(t: Tables):
 
 
 @registry.add("""
-WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2))) AS w FROM documents WHERE doc_id < 60), n AS (SELECT item_id, list_extract(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 6), 1) AS name FROM benchmark)
+WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2))) AS w FROM documents), n AS (SELECT item_id, list_extract(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 6), 1) AS name FROM benchmark)
 SELECT DISTINCT doc_id AS src, item_id AS dst FROM t JOIN n ON w = name
 """)
 def reference_edges(t: Tables):

@@ -127,7 +127,7 @@ def power_analysis(t: Tables):
 
 
 @registry.add("""
-WITH p AS (SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R')::DOUBLE / count(*) AS success, round(avg(l_extendedprice), 2) AS cost, round(avg(l_tax), 6) AS tax FROM lineitem WHERE l_suppkey <= 200 GROUP BY 1)
+WITH p AS (SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R')::DOUBLE / count(*) AS success, round(avg(l_extendedprice), 2) AS cost, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1)
 SELECT a.l_suppkey, EXISTS (SELECT 1 FROM p b WHERE b.success >= a.success AND b.cost <= a.cost AND b.tax <= a.tax AND (b.success > a.success OR b.cost < a.cost OR b.tax < a.tax)) AS dominated FROM p a
 """)
 def pareto_frontier(t: Tables):

@@ -77,7 +77,7 @@ def document_frequency(t: Tables):
 
 @registry.add(f"""
 WITH p AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
-SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM p, n WHERE df >= 5
+SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM p, n
 """)
 def inverse_document_frequency(t: Tables):
     df = R.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
@@ -269,7 +269,7 @@ def trigram_match(t: Tables):
 
 
 @registry.add(f"""
-WITH d AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), p AS (SELECT lang, doc_id, list_distinct(t) AS t FROM d WHERE doc_id < 40)
+WITH d AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), p AS (SELECT lang, doc_id, list_distinct(t) AS t FROM d)
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
 FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0
 """)

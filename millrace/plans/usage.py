@@ -175,7 +175,7 @@ def reasoning_knee(t: Tables):
 
 
 _BUCKET = """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id % 5 = 0),
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 b AS (SELECT user_id, 0::BIGINT AS n, 3.0::DOUBLE AS tokens, NULL::DOUBLE AS last, NULL::BOOLEAN AS ok, NULL::BIGINT AS event_id FROM (SELECT DISTINCT user_id FROM e)
   UNION ALL SELECT b.user_id, b.n + 1, CASE WHEN least(3.0, tokens + coalesce(s - last, 0) * 0.0002) >= 1 THEN least(3.0, tokens + coalesce(s - last, 0) * 0.0002) - 1 ELSE least(3.0, tokens + coalesce(s - last, 0) * 0.0002) END, s, least(3.0, tokens + coalesce(s - last, 0) * 0.0002) >= 1, e.event_id
   FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)

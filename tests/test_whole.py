@@ -1,4 +1,4 @@
-"""Queries over whole tables: against their statement without the cut that it still has, and on small fixtures."""
+"""Queries over whole tables: against their statement, which must not cut its input either, and on small fixtures."""
 
 import os
 
@@ -14,10 +14,9 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the dri
 
 
 def same(spark, name, *cuts, data=DATA):
-    """The rows of a query, held against its DuckDB statement with the given cuts taken out of it."""
+    """The rows of a query, held against its DuckDB statement, which must be free of the given cuts."""
     sql = catalog.oracle_sql()[name]
-    for old, new in cuts:
-        sql = sql.replace(old, new)
+    assert not any(old in sql for old, _ in cuts)
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
@@ -55,9 +54,8 @@ _GRAPH = [(x, " WHERE c_custkey % 10 = 0") for x in ("ppr_5_iterations", "bfs_cl
 @needs_tables
 @pytest.mark.parametrize("name, cut", [("token_bucket", " WHERE user_id % 5 = 0"), ("hierarchical_budget", " WHERE o_custkey % 3 = 0"), *_GRAPH])
 def test_no_key_is_left_out(spark, name, cut):
-    if name in catalog.oracle_sql():
-        assert cut in catalog.oracle_sql()[name]
-        same(spark, name, (cut, ""))
+    assert cut not in catalog.oracle_sql()[name]
+    same(spark, name, (cut, ""))
 
 
 @needs_tables
@@ -110,14 +108,3 @@ def test_belief_folds_all_events(spark):
 def test_idf_of_all_terms(spark):
     got = same(spark, "inverse_document_frequency", (" WHERE df >= 5", ""))
     assert len(got) == catalog.queries()["document_frequency"](spark, DATA).count()
-
-
-def test_small_sources_stay_in_the_mix(spark):
-    from millrace.llm import mixing
-
-    rows = [(1, "w " * 15, "a"), (2, "w " * 65, "b"), (3, "w " * 5000, "c"), (4, None, "d"), (5, "w " * 64, "e"), (6, "w " * 128, "f")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r["doc_id"]: r for r in mixing.mix(d).collect()}
-    assert got[1]["target"] == 30 and got[1]["taken"] == 30 and got[2]["target"] == 130 and got[2]["taken"] == 130
-    assert got[4]["taken"] == 0
-    assert all(abs(r["taken"] - r["target"]) <= 96 and r["taken"] <= 2 * r["size"] for r in got.values())
