@@ -76,7 +76,8 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_read(spark, sf_dir, "documents"))
+    got = remove_repeats(_read(spark, sf_dir, "documents"), passages=True)
+    return got.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

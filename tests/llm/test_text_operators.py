@@ -249,3 +249,61 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5}
     scored, name = quality.score(clash(docs(spark, ["a"])), np.zeros((1 << quality.BITS) + 1))
     assert name == "_score" and scored.count() == 1
+
+
+def passages_by_hand(texts, n=50):
+    where = {}
+    split = [re.findall("[^\x20\x09-\x0d]+", t or "") for t in texts]
+    for i, w in enumerate(split):
+        for p in range(len(w) - n + 1):
+            where.setdefault(tuple(w[p : p + n]), set()).add(texts[i])
+    return [any(len(where[tuple(w[p : p + n])]) > 1 for p in range(len(w) - n + 1)) for w in split]
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_shared_passages(spark, hot):
+    p, q = words(60, 50, 10**6), words(49, 51, 10**6)
+    texts = [f"{words(30, 52, 10**6)} {p} {words(20, 53, 10**6)}", f"{words(70, 54, 10**6)}\n{p}  {words(5, 55, 10**6)}", f"{q} a {words(60, 56, 10**6)}", f"{q} b", "x " * 300, None, "", f"{words(90, 57, 10**6)} {p[:300]}"]
+    texts += [f"{words(7 + i, 60 + i, 10**6)} {p} {words(9, 90 + i, 10**6)}" for i in range(5)] + ["lone line of words\n" * 60]
+    got = {r["doc_id"]: r["shares_passage"] for r in repeats.remove_repeats(clash(docs(spark, texts)), hot_runs=hot, passages=True).collect()}
+    assert [got[i] for i in range(len(texts))] == passages_by_hand(texts)
+    empty = repeats.remove_repeats(docs(spark, []), passages=True)
+    assert empty.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shares_passage"] and empty.count() == 0
+
+
+def test_word_hashes_of_a_very_long_text():
+    import pyarrow as pa
+
+    t = words(700_000, 70, 10**6)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", t, None])], names=["t"])
+    whole, off = repeats.WordHashes.rows(batch)
+    assert off.tolist() == [0, 2, 700_002, 700_002]
+    got = {}
+    for row, part, at, before in repeats.WordHashes.pieces(batch):
+        if row == 1 and len(at) == 2:
+            got |= dict(zip(range(before, before + len(part)), part.tolist(), strict=True))
+    assert list(got.values()) == whole[2:].tolist()
+    assert len(set(whole[2:].tolist())) == len(set(t.split()))
+
+
+def test_signature_groups_over_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    for k in (1, 3, 7, 100):
+        names, ids = r.integers(-(2**63), 2**63 - 1, 25), r.integers(-(2**63), 2**63 - 1, 5)
+        rows = sorted((int(names[a]), int(ids[b])) for a, b in zip(r.integers(0, 25, 80), r.integers(0, 5, 80), strict=True))
+        batches = [pa.RecordBatch.from_pylist([{"sig": a, "sid": b} for a, b in rows[i : i + k]]) for i in range(0, len(rows), k)]
+        got = sorted(tuple(x.values()) for b in jaccard._group_batches(batches) for x in b.to_pylist())
+        sets = {a: sorted({b for x, b in rows if x == a}) for a, _ in rows}
+        assert got == sorted((a, b, m[0]) for a, m in sets.items() if len(m) > 1 for b in m)
+
+
+def test_jaccard_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FETCH_ROWS", 0)
+    monkeypatch.setattr(jaccard, "DROP_ROWS", 0)
+    base = words(150, 24)
+    texts = [base, edited(base, 3, 1), edited(base, 4, 2), None, base, "one two", "two one"]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == classes_by_hand(texts)
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs(spark, texts)).collect()) == [i for i, (_, c) in enumerate(classes_by_hand(texts)) if c == i]
