@@ -13,7 +13,7 @@ from millrace.llm.secrets import BASE_KINDS, KINDS, find_secrets
 
 from millrace.llm.quality import classify
 
-from millrace.llm.urls import judge
+from millrace.llm.urls import judge, labelled_by_rules
 
 from millrace.llm.repeats import remove_repeats
 
@@ -72,7 +72,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return judge(pages, labelled=labelled_by_rules(pages))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,15 @@
 
 A rule names a host (all its subdomains too) and the start of a path; the
 longest rule that fits decides. The rest is judged by trees trained on labelled
-URLs. With no label table given, URLs are labelled by a word list over the host
-(BAD_WORDS); the trees see no words, only shape: lengths, depth, digit ratio,
-entropy, hyphens, parameter counts and smoothed block rates of the host's
-suffixes, so hosts that are not on the list are judged too.
+URLs: the query takes the URLs that a rule decides as the labelled ones
+(`labelled_by_rules`), so what the rules say of .org and .com is carried to hosts
+that they do not name; any table of labelled URLs can be passed instead. `judge`
+with no labels at all falls back on a word list over the host (BAD_WORDS).
+
+The features are built-in Columns: lengths, depth, digit ratios, entropy,
+hyphens, labels, parameter counts, and the smoothed block rates of the host's
+suffixes and of the path's first segment. The trees see no words. Only they run
+in Python, over Arrow batches of features.
 
 Training reads at most `train_rows` URLs, those of the smallest hash; every
 URL is scored.
@@ -19,11 +24,11 @@ allows all.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,35 +64,50 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def suffixes(host: str) -> tuple[str, str]:
-    parts = host.split(".")
-    return parts[-1], ".".join(parts[-3:])
+def labelled_by_rules(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
+    """url, y (1: block) of the URLs that a rule decides."""
+    u = pages[url].cast("string")
+    _, verdict = rule_for(host_of(u), path_of(u), rules)
+    return pages.select(u.alias("url"), (verdict == "block").cast("int").alias("y")).where("y is not null")
+
+
+def _count(text: Column, what: str) -> Column:
+    """Matches of a pattern of one character."""
+    return F.length(text) - F.length(F.regexp_replace(text, what, ""))
+
 
+def lexical(url: Column) -> dict[str, Column]:
+    """Numeric features of a URL; all 0 of one that is null or empty."""
+    u = F.coalesce(url, F.lit(""))
+    host, path = host_of(u), path_of(u)
+    query = F.regexp_extract(u, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    labels, chars = F.split(host, r"\."), F.split(host, "")
+    n = F.greatest(F.lit(1), F.length(host)).cast("double")
+    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+    entropy = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    some = F.length(host) > 0
+    out = {
+        "n_url": F.length(u), "n_host": F.length(host), "n_path": F.length(path), "depth": _count(path, "[/]"),
+        "digits": _count(u, "[0-9]") / F.greatest(F.lit(1), F.length(u)), "host_digits": _count(host, "[0-9]") / n,
+        "entropy": F.when(some, entropy).otherwise(0.0), "hyphens": _count(host, "[-]"), "labels": F.when(some, F.size(labels)).otherwise(0),
+        "longest": F.array_max(F.transform(labels, F.length)), "parameters": _count(query, "[=]"), "n_query": F.length(query),
+        "fragment": u.contains("#"), "secure": F.lower(F.substring(u, 1, 5)) == "https", "vowels": _count(host, "[aeiou]") / n,
+    }
+    return {k: c.cast("double") for k, c in out.items()}
 
-def lexical(url: str | None) -> list[float]:
-    url = url or ""
-    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url)
-    host, path, query = (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
-    labels = host.split(".")
-    n = max(1, len(host))
-    counts = Counter(host)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
-    digits = sum(ch.isdigit() for ch in url)
-    return [
-        float(len(url)), float(len(host)), float(len(path)), float(path.count("/")), digits / max(1, len(url)),
-        sum(ch.isdigit() for ch in host) / n, entropy, float(host.count("-")), float(len(labels)), float(max(map(len, labels))),
-        float(query.count("=")), float(len(query)), float("#" in url), float(url[:5].lower() == "https"),
-        sum(host.count(v) for v in "aeiou") / n,
-    ]
 
+def groups(url: Column) -> dict[str, Column]:
+    """What block rates are kept of: the host's last label and last three labels, the path's first segment."""
+    host = host_of(url)
+    return {"last": F.substring_index(host, ".", -1), "suffix": F.substring_index(host, ".", -3), "head": F.regexp_extract(path_of(url), "(?s)^/([^/]*)/", 1)}
 
-def matrix(urls, rates: dict[str, float], base: float) -> np.ndarray:
-    rows = []
-    for u in urls:
-        m = re.match(r"(?s).*?://([^/?#]*)", u or "")
-        a, b = suffixes(m[1].lower() if m else "")
-        rows.append([*lexical(u), rates.get("1" + a, base), rates.get("2" + b, base)])
-    return np.array(rows, np.float64).reshape(-1, 17)
+
+LEXICAL = ("n_url", "n_host", "n_path", "depth", "digits", "host_digits", "entropy", "hyphens", "labels", "longest", "parameters", "n_query", "fragment", "secure", "vowels")
+GROUPS = ("last", "suffix", "head")
+
+
+def _features(url: Column) -> list[Column]:
+    return [c.alias(k) for k, c in {**lexical(url), **groups(url)}.items()]
 
 
 class Trees:
@@ -150,39 +170,35 @@ class Trees:
 
 
 class Model:
-    """Suffix statistics and trees, fitted on labelled URLs (1: unwanted)."""
+    """Group rates and trees, fitted on features of labelled URLs (1: unwanted)."""
 
-    def __init__(self, urls: list[str], y: np.ndarray, seed: int = 1):
+    def __init__(self, x: pd.DataFrame, y: np.ndarray):
         self.base = float(y.mean()) if len(y) else 0.0
-        self.rates: dict[str, float] = {}
+        self.rates: dict[str, dict[str, float]] = {g: {} for g in GROUPS}
         self.trees = None
         if not len(y) or y.min() == y.max():
             return
-        half = np.random.default_rng(seed).random(len(y)) < 0.5  # rates come from one half, trees from the other
-        seen: dict[str, list[float]] = {}
-        for u, v, h in zip(urls, y, half, strict=True):
-            if h:
-                m = re.match(r"(?s).*?://([^/?#]*)", u or "")
-                a, b = suffixes(m[1].lower() if m else "")
-                for k in ("1" + a, "2" + b):
-                    s = seen.setdefault(k, [0.0, 0.0])
-                    s[0] += v
-                    s[1] += 1
-        self.rates = {k: (s + 4 * self.base) / (n + 4) for k, (s, n) in seen.items()}
-        rest = [u for u, h in zip(urls, half, strict=True) if not h]
-        if len(rest) and y[~half].min() < y[~half].max():
-            self.trees = Trees().fit(matrix(rest, self.rates, self.base), y[~half].astype(np.float64))
-
-    def predict(self, urls) -> np.ndarray:
-        if self.trees is None:
-            return np.zeros(len(urls))
-        return self.trees.predict(matrix(urls, self.rates, self.base))
+        half = np.array([zlib.crc32(u.encode()) & 1 for u in x["url"]], bool)  # rates come from one half, trees from the other
+        for g in GROUPS:
+            seen = pd.DataFrame({"g": x[g][half], "y": y[half]}).groupby("g")["y"].agg(["sum", "count"])
+            self.rates[g] = ((seen["sum"] + 4 * self.base) / (seen["count"] + 4)).to_dict()
+        rest = y[~half]
+        if len(rest) and rest.min() < rest.max():
+            self.trees = Trees().fit(self.matrix(x[~half]), rest.astype(np.float64))
+
+    def matrix(self, x: pd.DataFrame) -> np.ndarray:
+        rates = [x[g].map(self.rates[g]).fillna(self.base).to_numpy(np.float64) for g in GROUPS]
+        return np.column_stack([x[list(LEXICAL)].to_numpy(np.float64), *rates])
+
+    def predict(self, x: pd.DataFrame) -> np.ndarray:
+        return np.zeros(len(x)) if self.trees is None else self.trees.predict(self.matrix(x))
 
 
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """labelled: url, y. A bounded sample: the URLs of the smallest hash."""
-    rows = labelled.where("url is not null and y is not null").groupBy("url").agg(F.max("y").alias("y")).orderBy(F.xxhash64("url"), "url").limit(train_rows).collect()
-    return Model([r["url"] for r in rows], np.array([r["y"] for r in rows], np.int64))
+    rows = labelled.where("url is not null and y is not null").groupBy("url").agg(F.max("y").alias("y")).orderBy(F.xxhash64("url"), "url").limit(train_rows)
+    got = rows.select("url", "y", *_features(F.col("url"))).toPandas().sort_values("url", ignore_index=True)  # at most train_rows rows
+    return Model(got, got["y"].to_numpy(np.int64))
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS, cut: float = 0.5) -> DataFrame:
@@ -192,11 +208,14 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
         labelled = pages.select(u.alias("url"), host_of(u).rlike("|".join(BAD_WORDS)).cast("int").alias("y"))
     held = pages.sparkSession.sparkContext.broadcast(train(labelled, train_rows))  # trees and suffix rates of at most train_rows URLs
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(urls: pd.Series) -> pd.Series:
-        return pd.Series(held.value.predict(urls.where(urls.notna(), "").tolist()))
+    def scored(it):
+        for batch in it:
+            x = pa.Table.from_batches([batch]).select([*LEXICAL, *GROUPS]).to_pandas()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(held.value.predict(x), pa.float64())], names=[*kept, "score"])
 
     host, path = host_of(u), path_of(u)
     rule, verdict = rule_for(host, path, rules)
-    got = pages.select(pages[page_id], host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"), scored(u).alias("score"))
-    return got.select(page_id, "host", "path", "rule", F.coalesce("own", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"), "score")
+    rows = pages.select(pages[page_id].alias("id"), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"), *_features(u))
+    kept = ["id", "host", "path", "rule", "own"]
+    got = rows.mapInArrow(scored, T.StructType([*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))
+    return got.select(F.col("id").alias(page_id), "host", "path", "rule", F.coalesce("own", F.when(F.col("score") >= cut, "block").otherwise("allow")).alias("verdict"), "score")

@@ -43,6 +43,99 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def features_by_hand(url):
+    import math
+    import re
+    from collections import Counter
+
+    url = url or ""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(\?[^#]*)?", url)
+    host, path, query = (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
+    labels, n = (host.split(".") if host else []), max(1, len(host))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(host).values())
+    head = path.split("/")[1] if path.count("/") >= 2 else ""
+    return [
+        len(url), len(host), len(path), path.count("/"), sum(c.isdigit() for c in url) / max(1, len(url)), sum(c.isdigit() for c in host) / n, entropy, host.count("-"),
+        len(labels), max(map(len, labels), default=0), query.count("="), len(query), float("#" in url), float(url[:5].lower() == "https"), sum(host.count(v) for v in "aeiou") / n,
+    ], [host.split(".")[-1], ".".join(host.split(".")[-3:]), head]
+
+
+def test_url_features(spark):
+    rows = ["HTTPS://Www.A-b1.Example.com/en/12/x?q=1&r=a=b#top", "http://x", "", None, "no scheme", "http://h?x=/#y", "http://ä.org//", "a://b.c/de/", "http://1.2.3.4:80/9"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, url string")
+    f = {**urls.lexical(df["url"]), **urls.groups(df["url"])}
+    assert tuple(f) == urls.LEXICAL + urls.GROUPS
+    for r in df.select("url", *[c.alias(k) for k, c in f.items()]).collect():
+        numbers, names = features_by_hand(r["url"])
+        assert [r[k] for k in urls.LEXICAL] == pytest.approx(numbers), r["url"]
+        assert [r[k] or "" for k in urls.GROUPS] == names
+
+
+def trees_by_hand(x, y, rows):
+    """The same boosting, one row and one cut at a time."""
+    n, d = x.shape
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, urls.BINS + 1)[1:-1])) for f in range(d)]
+    bins = lambda r: [int((e < v).sum()) for e, v in zip(edges, r, strict=True)]
+    b = [bins(r) for r in x]
+    p = y.mean()
+    z, out = [np.log(p / (1 - p))] * n, [np.log(p / (1 - p))] * len(rows)
+
+    def grow(at, test, g, h, depth):
+        gs, hs = sum(g[i] for i in at), sum(h[i] for i in at)
+        best = (1e-9, None, None)
+        if depth < urls.DEPTH and len(at) >= 2 * urls.LEAF:
+            for f in range(d):
+                top = (-1.0, None)
+                for k in range(urls.BINS + 1):
+                    left = [i for i in at if b[i][f] <= k]
+                    gl, hl = sum(g[i] for i in left), sum(h[i] for i in left)
+                    gain = gl**2 / (hl + urls.L2) + (gs - gl) ** 2 / (hs - hl + urls.L2) - gs**2 / (hs + urls.L2) if urls.LEAF <= len(left) <= len(at) - urls.LEAF else -1
+                    if gain > top[0] + 1e-12:
+                        top = (gain, k)
+                if top[0] > best[0] + 1e-12:
+                    best = (top[0], f, top[1])
+        if best[1] is None:
+            for i in at:
+                z[i] += urls.RATE * gs / (hs + urls.L2)
+            for i in test:
+                out[i] += urls.RATE * gs / (hs + urls.L2)
+            return
+        _, f, k = best
+        for side in (True, False):
+            grow([i for i in at if (b[i][f] <= k) == side], [i for i in test if (bins(rows[i])[f] <= k) == side], g, h, depth + 1)
+
+    for _ in range(urls.TREES):
+        q = [1 / (1 + np.exp(-v)) for v in z]
+        grow(list(range(n)), list(range(len(rows))), [y[i] - q[i] for i in range(n)], [v * (1 - v) for v in q], 0)
+    return 1 / (1 + np.exp(-np.array(out)))
+
+
+def test_trees_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(urls, "TREES", 6)
+    monkeypatch.setattr(urls, "BINS", 8)
+    r = np.random.default_rng(13)
+    x = r.random((60, 3))
+    y = ((x[:, 0] + 0.3 * x[:, 1] + 0.1 * r.random(60)) > 0.6).astype(float)
+    rows = r.random((15, 3))
+    assert urls.Trees().fit(x, y).predict(rows) == pytest.approx(trees_by_hand(x, y, rows), abs=1e-9)
+
+
+def test_urls_learn_from_rules(spark):
+    import zlib
+
+    r = np.random.default_rng(6)
+    rows = [f"http://{'www.' * (i % 2)}h{r.integers(40)}.example.{('com', 'org', 'net')[i % 3]}/{('en', 'fr', 'de', 'es')[r.integers(4)]}/{r.integers(1000, 9999)}" for i in range(900)]
+    pages = spark.createDataFrame([*enumerate(rows), (900, rows[0]), (901, rows[0])], "page_id long, url string")
+    labelled = urls.labelled_by_rules(pages)
+    held = [(x["url"], x["y"]) for x in labelled.collect() if zlib.crc32(x["url"].encode()) % 5 == 0]
+    known = spark.createDataFrame([(x["url"], x["y"]) for x in labelled.collect() if zlib.crc32(x["url"].encode()) % 5], "url string, y int")
+    got = {x["url"]: x["score"] for x in urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), labelled=known).join(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string"), "page_id").collect()}
+    assert np.mean([(got[u] >= 0.5) == bool(y) for u, y in held]) > 0.9
+    whole = urls.judge(pages, labelled=labelled).collect()
+    assert len(whole) == 902 and len({x["verdict"] for x in whole if x["page_id"] in (0, 900, 901)}) == 1
+    assert {x["verdict"] for x in urls.judge(pages, labelled=labelled.limit(0)).collect() if x["rule"] is None} == {"allow"}
+
+
 def test_trees_hold_out():
     r = np.random.default_rng(3)
     x = r.random((1200, 5))
