@@ -2,8 +2,10 @@
 
 A page is read as a tree by a forgiving tag scanner. Parts that are never
 article (menus, headers and footers of the page, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are told by tag, role and the words of
-class and id, and are left out everywhere. The other containers are scored by
+forms, scripts, styles, reader comments) are told by tag, role and the names in
+class and id, and are left out everywhere. A name marks such a part if it says
+that and nothing else: `related-posts` does, `related-work` does not. Headers
+inside what is marked as article or main belong to it. The other containers are scored by
 the text they hold outside links, and each page votes for one generalised path
 (tags with their class words, digits as N). Spark counts the votes per host,
 pre-aggregated by (host, path); the winner of the host is then used to extract
@@ -37,24 +39,33 @@ from millrace.llm.urls import host_of
 BROADCAST_HOSTS = 100_000
 SALTS = 16
 HOLDS = 0.6
-MOST_DEPTH = 60  # containers nested deeper belong to the one at this depth, so paths stay short
 
 #: Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select option xmp noembed noframes".split())
 OUT = frozenset("nav footer aside form button fieldset label dialog menu head audio video canvas map".split()) | RAW
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("body article main section div td center".split())
-#: Words of class, id and role that mark what is not article, and what is.
+STARTS_INSIDE = frozenset(("article", "main"))
+#: Words of class, id and role that mark what is not article, those that do so outside an article only, those
+#: that say nothing beside them, and those that mark an article.
 OUT_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adslot adbox banner bottombar breadcrumb breadcrumbs byline-ads
-    comment comments commentlist consent cookie cookies disqus discussion footer form gdpr header hidden login masthead menu
+    """ad ads adv advert adverts advertisement advertising adslot adbox banner bottombar breadcrumb breadcrumbs
+    comment comments commentlist consent cookie cookies disqus discussion footer form gdpr hidden login menu
     menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall
     popup promo promoted promotion recommended related replies reply respond responses search share sharing sidebar sidenav
     signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets contentinfo
-    complementary alert warning-banner aside commentary-box teaser""".split()
+    complementary alert aside teaser""".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody post entry story".split())
+OUT_HEADS = frozenset("header masthead".split())
+FILLERS = frozenset(
+    """a all and area articles bar block bottom box button buttons by center col column container content cookie count default desktop field
+    fixed footer for from group head header holder icon icons info inner item items js large layout left left link links list
+    load main meta mobile module n of on outer page panel policy post posts primary recent right row secondary section side site slot
+    small stories sub tab tabs the thread title to top ul unit view wrap wrapper zone""".split()
+)
+ARTICLE_WORDS = frozenset("article articlebody post entry hentry story".split())
+ARTICLE_FILLERS = frozenset("area blog body box col column container content detail details full id inner layout main news page single text type view wrap wrapper".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s<>/]*(?:[^<>"']|"[^"<]*"|'[^'<]*')*+>|</?[a-zA-Z][^<>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -64,19 +75,46 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("blocks", "depth", "heading", "kids", "mass", "parent", "path", "semantic", "tag")
+    __slots__ = ("blocks", "heading", "inside", "kids", "mark", "mass", "parent", "semantic", "tag")
 
-    def __init__(self, tag, path, parent, semantic=False):
-        self.tag, self.path, self.parent, self.semantic = tag, path, parent, semantic
+    def __init__(self, tag, mark, parent, semantic=False):
+        self.tag, self.mark, self.parent, self.semantic = tag, mark, parent, semantic
         self.mass, self.heading, self.kids = 0, False, []
-        self.depth = parent.depth + 1 if parent is not None else 0
+        self.inside = semantic or tag in STARTS_INSIDE or (parent is not None and parent.inside)
         self.blocks: tuple[int, int] = (0, 0)
 
+    @property
+    def path(self) -> str:
+        """The generalised path: the marks of the containers from the root down to this one."""
+        marks, node = [], self
+        while node.parent is not None:
+            marks.append(node.mark)
+            node = node.parent
+        return ">".join(reversed(marks))
+
 
 def _words(value: str) -> list[str]:
     return [w for w in _SPLIT.split(_CAMEL.sub(r"\1 \2", value).lower()) if w]
 
 
+def _marks_out(names: list[str], inside: bool) -> bool:
+    """Does one of these names (of class, id or role) mark what is not article?"""
+    for name in names:
+        words = [w for w in _words(name) if not w.isdigit()]
+        said = [w for w in words if w in OUT_WORDS or (w in OUT_HEADS and not inside)]
+        if said and all(w in OUT_WORDS or w in OUT_HEADS or w in FILLERS for w in words):
+            return True
+    return False
+
+
+def _marks_article(names: list[str]) -> bool:
+    for name in names:
+        words = [w for w in _words(name) if not w.isdigit()]
+        if any(w in ARTICLE_WORDS for w in words) and all(w in ARTICLE_WORDS or w in ARTICLE_FILLERS for w in words):
+            return True
+    return False
+
+
 def parse(page: str) -> tuple[Node, list[str]]:
     """(root of the containers, blocks of text): a container's blocks are a range of the blocks."""
     root = Node("", "", None)
@@ -151,17 +189,17 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 end_block()
             continue
         if tag == "p" or (tag not in INLINE and stack and stack[-1][0] == "p"):
-            while stack and stack[-1][0] in INLINE and any(s[0] == "p" for s in stack[-8:]):
-                pop()  # an open paragraph ends where the next block begins
+            while open_tags["p"] and stack[-1][0] in INLINE:
+                pop()  # an open paragraph ends where the next block begins; only inline elements stand in one
             if stack and stack[-1][0] == "p":
                 pop()
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             pop()
         attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(token)} if " " in token or "\n" in token or "\t" in token else {}
         classes = _words(attrs.get("class", ""))
-        words = set(classes) | set(_words(attrs.get("id", ""))) | set(_words(attrs.get("role", "")))
-        inside = any(s[0] == "article" or s[1].semantic for s in stack[-6:]) or here.semantic
-        out = tag in OUT or (tag == "header" and not inside) or (bool(words & OUT_WORDS) and tag not in ("body", "html", "article", "main")) or "hidden" in token.lower().replace("overflow", "").split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".split() if attrs else []
+        inside = here.inside
+        out = tag in OUT or (tag == "header" and not inside) or (bool(names) and tag not in ("body", "html", "article", "main") and _marks_out(names, inside)) or "hidden" in token.lower().replace("overflow", "").split() or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         if tag not in INLINE:
             end_block()
         stack.append((tag, here, out))
@@ -170,9 +208,9 @@ def parse(page: str) -> tuple[Node, list[str]]:
             dropped += 1
         if tag == "a":
             links += 1
-        if tag in CONTAINERS and not dropped and here.depth < MOST_DEPTH:
+        if tag in CONTAINERS and not dropped:
             mark = re.sub(r"\d+", "N", ".".join(sorted(set(classes))))
-            node = Node(tag, f"{here.path}>{tag}" + (f".{mark}" if mark else ""), here, tag == "article" or bool(words & ARTICLE_WORDS))
+            node = Node(tag, tag + (f".{mark}" if mark else ""), here, tag == "article" or _marks_article(names))
             node.blocks = (len(blocks), len(blocks))
             here.kids.append(node)
             here = node
@@ -214,13 +252,10 @@ def vote(root: Node) -> Node:
 
 
 def _at(root: Node, path: str) -> list[Node]:
-    found, todo = [], [root]
-    while todo:
-        n = todo.pop()
-        if n.path == path:
-            found.append(n)
-        else:
-            todo += [k for k in reversed(n.kids) if path.startswith(k.path)]
+    """The containers at a path, in the page's order."""
+    found = [root]
+    for mark in path.split(">") if path else []:
+        found = [k for n in found for k in n.kids if k.mark == mark]
     return found
 
 

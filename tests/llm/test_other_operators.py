@@ -20,6 +20,48 @@ def test_html_parts():
     assert html.extract("<div>" * 5000 + "deep" + "</div>" * 5000)[0] == "deep"
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Body text here</p></article>', "Title Body text here"),
+        ('<main><div class="post-header"><h1>Title</h1></div><p>Body text here</p></main>', "Title Body text here"),
+        ('<article><p>One</p><section class="related-work"><p>Others did this</p></section></article>', "One Others did this"),
+        ('<article><div class="search-engine-history"><p>It began early</p></div><p>Then</p></article>', "It began early Then"),
+        ("<article><p>As <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "As x=1 holds"),
+        ('<body><div class="site-header">Logo</div><div id="page-footer">end</div><article><p>x</p><div class="related-posts">more</div><div class="comment-list">hi</div><div class="share-buttons">s</div></article>', "x"),
+        ("<div>" * 300 + '<article><header><h1>deep</h1></header>' + "<div>" * 100 + "<p>text</p>" + "</div>" * 400, "deep text"),
+        ("<article><p>" + "<b>" * 50 + "bold<p>next</article>", "bold next"),
+    ],
+)
+def test_html_keeps_content(page, text):
+    assert html.extract(page)[0] == text
+
+
+def test_html_votes_equal_a_plain_count(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        kind = r.choice(["content", "story-body", "text2"])
+        body = "".join(f"<p>{words(r.randrange(3, 30), i * 7 + j)}</p>" for j in range(r.randrange(1, 5)))
+        rows.append((i % 55, f"http://h{i % 4}.example/{i}", f'<body><nav>m</nav><div class="{kind} n{i}">{body}</div><div class="other">{words(r.randrange(0, 25), i)}</div></body>'))
+    rows += [(99, "http://h1.example/x", "<body><p>" + words(60_000, 1) + "</p></body>"), rows[0], rows[0]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts: dict[str, Counter] = {}
+    mass: Counter = Counter()
+    for _, u, h in rows:
+        host = u.split("/")[2]
+        _, path, n = html.extract(h)
+        counts.setdefault(host, Counter())[path] += 1
+        mass[host, path] += n
+    best = {host: max(c, key=lambda p: (c[p], mass[host, p], p)) for host, c in counts.items()}
+    got = html.extract_pages(pages).collect()
+    assert sorted((r["page_id"], r["text"], r["path"]) for r in got) == sorted((i, *html.extract(h, best[u.split("/")[2]])[:2]) for i, u, h in rows)
+    assert html.extract_pages(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bound", [100, 0])
 def test_html_consensus(spark, bound):
     odd = '<body><div class="content"><p>short</p></div><div class="box"><p>' + "a long teaser " * 30 + "</p></div></body>"
