@@ -58,5 +58,38 @@ FROM d LEFT JOIN g USING (rid)
 )
 
 
+_REACH = """
+r AS (SELECT rid, rid AS other FROM {rows} UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.other)
+"""
+
+OP5 = (
+    """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS e,
+    coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x <> 0)) > 0, false) AS fine
+  FROM embeddings),
+n AS MATERIALIZED (SELECT rid, label, len(e) AS d, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM v WHERE fine),
+l AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM n a JOIN n b ON a.label = b.label AND a.d = b.d AND a.rid <> b.rid WHERE list_inner_product(a.e, b.e) >= 0.93),"""
+    + _REACH.format(rows="v")
+    + """, c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.other GROUP BY r.rid), k AS (SELECT x AS rid, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN k USING (rid)
+"""
+)
+
+OP6 = (
+    r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g, least(5, len(w)) AS m FROM (SELECT rid, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS MATERIALIZED (
+  SELECT x, y FROM (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.m = b.m AND a.rid <> b.rid GROUP BY a.rid, b.rid) p
+  JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),"""
+    + _REACH.format(rows="d")
+    + """, c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1, "op2_decontaminate": OP2}
+    return {"op1_secrets": OP1, "op2_decontaminate": OP2, "op5_embeddings": OP5, "op6_jaccard": OP6}

@@ -186,6 +186,48 @@ def test_trees_hold_out():
     assert ((t.predict(x[800:]) > 0.5) == (y[800:] > 0.5)).mean() > 0.95
 
 
+@pytest.mark.parametrize("pivots, dim", [(None, 24), (200, 64), (900, 16)])
+def test_pivots_find_links(spark, pivots, dim):
+    """Pairs of cosine 0.93 to 0.96 among others that link with nothing: recall of the index."""
+    r = np.random.default_rng(dim)
+    a = r.normal(size=(500, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = r.normal(size=(500, dim))
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = r.uniform(0.931, 0.96, (500, 1))
+    m = np.concatenate([a, c * a + np.sqrt(1 - c * c) * z, r.normal(size=(500, dim))])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    links = ((u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)).sum(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(m)], "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_vectors(df, pivots=pivots).collect()}
+    assert all(got[i] <= links[i] for i in range(len(m)))  # nothing below the cosine
+    assert sum(got.values()) >= 0.98 * links.sum() >= 900
+
+
+@pytest.mark.parametrize("name", ["op5_embeddings", "op6_jaccard"])
+def test_queries_equal_sql(spark, name, tmp_path):
+    import duckdb
+
+    from millrace.llm.oracles import oracle_sql
+    from millrace.llm.queries import queries
+
+    r = np.random.default_rng(11)
+    v = r.normal(size=(8, 12))
+    rows = [(i, [float(x) for x in v[i % 8] + 0.05 * r.normal(size=12)], f"l{i % 3}") for i in range(60)] + [(60, None, "l0"), (61, [0.0] * 12, "l0"), (62, [float("nan")] * 12, "l1"), (63, [1.0], None), (5, [float(x) for x in v[5]], "l2"), (64, [], "l1")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = [words(40, 1), words(40, 1) + " x", "A b C d e f g", "a b c d e f h", None, "", "one two", "One  two", "y " * 50, words(300, 2), words(298, 2) + " q r"]
+    docs(spark, texts + texts[:3]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    for t in ("embeddings", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    q = c.execute(oracle_sql()[name])
+    names = [x[0] for x in q.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(q.fetchall(), key=repr) == sorted((tuple(x[n] for n in names) for x in got.collect()), key=repr)
+
+
 @pytest.mark.parametrize("tile", [1024, 5])
 def test_embeddings(spark, tile):
     r = np.random.default_rng(4)
