@@ -50,7 +50,7 @@ from millrace.sources.work import small_batches
 LENGTH = 400
 GRAM = 201
 HOT_RUNS = 4096
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 V1, V2 = byte_values(5), byte_values(6)
 POS = U64((1 << 22) - 1)
 WORDS, WORD_GRAM = 50, 13
