@@ -144,6 +144,20 @@ def value_of_information(rows: list[tuple], budget: int, least: float = 1e-6) ->
     return [c[0] for c in chosen]
 
 
+def by_utility(rows: list[tuple], budget: int, utility) -> list[int]:
+    """At each step the item that adds most to the caller's utility (a function of a list of rows) per token, until none adds."""
+    left, chosen, spent, now = list(rows), [], 0, utility([])
+    while left:
+        gains = [(utility([*chosen, r]) - now) / max(1, r[1]) if r[1] <= budget - spent else -1.0 for r in left]
+        at = max(range(len(left)), key=lambda i: (gains[i], -i))
+        if gains[at] <= 0:
+            break
+        chosen.append(left.pop(at))
+        spent += chosen[-1][1]
+        now = utility(chosen)
+    return [c[0] for c in chosen]
+
+
 def noisy_or(items: Column, budget: int, target: float = 0.85, floor: int = 200) -> Column:
     """items in order of value per token: array<struct<.., id, tokens, score>>. Takes what fits until the chance that
     all are wrong, each by 1 - 0.8 score, is under 1 - target. Struct<spent, chosen, wrong, done>."""

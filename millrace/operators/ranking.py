@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import all_tokens, tokens
+from millrace.sources.work import table
 
 K1, B = 1.5, 0.75
 RRF_K = 60.0
@@ -44,19 +45,47 @@ def bm25_l(tf, dlen, avg, k1=K1, b=B, delta=0.5) -> Column:
     return c * (k1 + 1) / (c + k1)
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
+def _counts(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """key, dlen, n (array of the counts of the query's terms): texts are read and cut into tokens once, and this is
+    written, a few numbers a document."""
+    t = docs.select(F.col(key).alias("key"), all_tokens(F.col(text)).alias("t")).select("key", F.size("t").alias("dlen"), F.filter("t", lambda x: x.isin(query)).alias("t"))
+    return table(t.select("key", "dlen", F.array(*[F.size(F.filter("t", _is(q))) for q in query]).alias("n")), "counts")
+
+
+def _stats(counts: DataFrame, query: list[str]) -> DataFrame:
+    """One row: doc_count, avg_len, df (array by term of the query)."""
+    df = F.array(*[F.count_if(F.col("n")[i] > 0) for i in range(len(query))])
+    return counts.agg(F.count("*").alias("doc_count"), (F.sum("dlen") / F.count("*")).alias("avg_len"), df.alias("df"))
+
+
+def term_hits(docs: DataFrame, key: str, text: str, query: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, term, tf, dlen of the postings of the query's terms; one row of doc_count, avg_len; term, df)."""
+    c = _counts(docs, key, text, query)
+    s = _stats(c, query)
+    names = F.array(*[F.lit(q) for q in query])
+    hits = c.select("key", "dlen", F.explode(F.arrays_zip(names.alias("term"), F.col("n").alias("tf"))).alias("x")).select("key", "dlen", "x.term", "x.tf").where("tf > 0")
+    df = s.select(F.explode(F.arrays_zip(names.alias("term"), F.col("df").alias("df"))).alias("x")).select("x.term", "x.df").where("df > 0")
+    return hits, s.select("doc_count", "avg_len"), df
+
+
 def lexical_scores(docs: DataFrame, key: str, text: str, query: list[str], formula=bm25) -> DataFrame:
     """key, score of the documents that hold a term of the query (its distinct tokens).
 
-    Only postings of the query's terms are kept, so what is shuffled is a few rows
-    a document; document frequencies are counted from them.
+    A document's counts of the terms are one array, so scoring shuffles nothing: only one row of statistics goes round.
     """
-    stats = corpus_stats(docs, text)
-    t = docs.select(F.col(key).alias("key"), all_tokens(F.col(text)).alias("t")).select("key", F.size("t").alias("dlen"), F.filter("t", lambda x: x.isin(query)).alias("t"))
-    hits = t.select("key", "dlen", F.explode("t").alias("term")).groupBy("key", "dlen", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most as many rows as the query has terms
-    rows = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row
-    tf, dlen, avg = F.col("tf").cast("double"), F.col("dlen").cast("double"), F.col("avg_len")
-    return rows.groupBy("key").agg(F.sum(idf(F.col("doc_count"), F.col("df")) * formula(tf, dlen, avg)).alias("score"))
+    if not query:
+        return docs.select(F.col(key).alias("key"), F.lit(0.0).alias("score")).limit(0)
+    c = _counts(docs, key, text, query)
+    rows = c.where(F.exists("n", lambda x: x > 0)).crossJoin(F.broadcast(_stats(c, query)))  # one row
+    dlen, avg, score = F.col("dlen").cast("double"), F.col("avg_len"), F.lit(0.0)
+    for i in range(len(query)):
+        tf = F.col("n")[i].cast("double")
+        score = score + F.when(tf > 0, idf(F.col("doc_count"), F.col("df")[i]) * formula(tf, dlen, avg)).otherwise(0.0)
+    return rows.select("key", score.alias("score"))
 
 
 def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
