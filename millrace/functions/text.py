@@ -65,3 +65,49 @@ def cosine(a: Column, b: Column) -> Column:
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     d = norm(a) * norm(b)
     return F.when(d == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / d)))
+
+
+#: Words of a query by what they are, and endings of files.
+STOP_WORDS = "a an the in on at by for to of from with is are was were be been being that this those these it its their and or as into if out up".split()
+ACTIONS = "attach attaches exclude excludes excluding hydrate hydrates filter filters trace tracing debug verify verifies check inspect build compile route block blocks deny denies prevent prevents".split()
+GENERIC = "find where show tell what does how logic code file files project projects thing things why which when who look explain about implement implementation details example give want need work system operations pattern related handled handles".split()
+FILE_ENDINGS = "go py ts tsx js json md yaml yml proto sh sql rs c cpp h".split()
+#: Classes in the order in which a search prefers them, from 1.
+TOKEN_CLASSES = ("PATH/FILENAME", "SYMBOL", "ENTITY", "IDENTIFIER", "TECHNICAL_TERM", "ACTION", "GENERIC", "STOPWORD")
+
+
+def _is_symbol(runs: Column) -> Column:
+    """Is one of these runs of letters, digits and underscores in mixed case, or a name with a digit?"""
+    plain = lambda r: ~r.contains("_")
+    first = lambda r: F.substring(r, 1, 1)
+    starts_low = lambda r: first(r).between("a", "z")
+    starts_high = lambda r: first(r).between("A", "Z")
+    capitals = lambda r: F.length(r) - F.length(F.regexp_replace(r, "[A-Z]", ""))
+    camel = lambda r: plain(r) & starts_low(r) & (capitals(r) > 0)
+    pascal = lambda r: plain(r) & starts_high(r) & (capitals(r) > 1) & ~r.rlike("[A-Z]([A-Z]|$)")
+    numbered = lambda r: (starts_low(r) | starts_high(r) | r.startswith("_")) & r.rlike("[0-9]")
+    return F.exists(runs, lambda r: camel(r) | pascal(r) | numbered(r))
+
+
+def token_class(token: Column) -> Column:
+    """One of TOKEN_CLASSES for a token of a query."""
+    low = F.lower(token)
+    ending = F.regexp_extract(low, r"[a-z0-9_.-]\.([a-z]+)$", 1)
+    dotted = F.size(F.filter(F.split(token, "-"), lambda c: c.rlike(r"(^|[^A-Za-z0-9_])[A-Za-z_]\w*\.[A-Za-z_]"))) > 0
+    high = F.substring(token, 1, 1).between("A", "Z") & (F.length(token) >= 2)
+    acronym = F.exists(F.split(token, "[^A-Za-z0-9_]+"), lambda r: r.rlike("^[A-Z]{2,6}$")) & ~token.isin("AND", "THE", "FOR", "NOT")
+    return (
+        F.when(low.isin(STOP_WORDS), "STOPWORD")
+        .when(token.contains("/") | ending.isin(FILE_ENDINGS), "PATH/FILENAME")
+        .when(dotted | _is_symbol(F.split(token, "[^A-Za-z0-9_]+")), "SYMBOL")
+        .when(high & ~low.isin(GENERIC) & ~low.isin(ACTIONS), "SYMBOL")
+        .when(acronym, "ENTITY")
+        .when(token.contains("_") | token.contains("-"), "IDENTIFIER")
+        .when(low.isin(ACTIONS), "ACTION")
+        .when(low.isin(GENERIC), "GENERIC")
+        .otherwise("TECHNICAL_TERM")
+    )
+
+
+def token_priority(cls: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(c) for c in TOKEN_CLASSES]), cls)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import all_tokens, tokens
-from millrace.sources.work import table
+from millrace.sources.work import spread, table
 
 K1, B = 1.5, 0.75
 RRF_K = 60.0
@@ -18,6 +18,14 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return t.groupBy("key", "dlen", "term").agg(F.count("*").alias("tf"))
 
 
+def term_counts(docs: DataFrame, text: str) -> DataFrame:
+    """term, df (documents that hold it), cf (times it stands). A document's terms are sorted within the row, so the first
+    of each run counts the document: one shuffle, of partial sums."""
+    t = spread(docs.select(F.col(text).alias("text"))).select(F.array_sort(all_tokens(F.col("text"))).alias("t"))
+    each = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).alias("new")))
+    return t.select(F.explode(each).alias("x")).groupBy("x.term").agg(F.sum("x.new").alias("df"), F.count("*").alias("cf"))
+
+
 def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     """One row: doc_count, total_len, avg_len."""
     n = F.size(all_tokens(F.col(text)))
@@ -52,7 +60,8 @@ def _is(term: str):
 def _counts(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
     """key, dlen, n (array of the counts of the query's terms): texts are read and cut into tokens once, and this is
     written, a few numbers a document."""
-    t = docs.select(F.col(key).alias("key"), all_tokens(F.col(text)).alias("t")).select("key", F.size("t").alias("dlen"), F.filter("t", lambda x: x.isin(query)).alias("t"))
+    t = spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", all_tokens(F.col("text")).alias("t"))
+    t = t.select("key", F.size("t").alias("dlen"), F.filter("t", lambda x: x.isin(query)).alias("t"))
     return table(t.select("key", "dlen", F.array(*[F.size(F.filter("t", _is(q))) for q in query]).alias("n")), "counts")
 
 
@@ -93,13 +102,26 @@ def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
 
 
 def ranks(df: DataFrame, tie: str, *scores: str, by: str | None = None) -> DataFrame:
-    """A 1-based rank column <score>_rank for each score, ties by `tie`."""
+    """A 1-based rank column <score>_rank for each score, ties by `tie`; with no `by`, over all rows."""
     for s in scores:
-        w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(F.desc(s), F.asc(tie))
-        df = df.withColumn(f"{s}_rank", F.row_number().over(w))
+        if by:
+            df = df.withColumn(f"{s}_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(s), F.asc(tie))))
+        else:
+            df = global_rank(df, f"{s}_rank", F.desc(s), F.asc(tie))
     return df
 
 
+def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """A 1-based rank over all rows without a task that holds them all: ranges of the order go to tasks, rows are numbered
+    in each, and the rows of the ranges before (a few numbers) are added."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    r = table(r.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "ranges")
+    counts = r.groupBy("_part").agg(F.count("*").alias("_c"))  # a row for each range
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    return r.join(F.broadcast(before), "_part").withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_part", "_n", "_before")
+
+
 def rrf(*rank_columns: Column, k: float = RRF_K) -> Column:
     out = F.lit(0.0)
     for r in rank_columns:
@@ -152,6 +174,25 @@ def adaptive_k(n: Column, entropy: Column, k_min: int, k_max: int) -> Column:
     return F.when(h.isNull(), k_min).otherwise(k_min + F.round((k_max - k_min) * h)).cast("long")
 
 
+def similar_sets(rows: DataFrame, group: str, key: str, terms: str, percent: int) -> DataFrame:
+    """a, b, jaccard of pairs (a < b) of one group whose sets of terms have a Jaccard of `percent` or more.
+
+    Prefix filter: of a set of n terms in order of document frequency, rarest first, the first n - ceil(n * percent /
+    100) + 1 hold a term of every set similar to it, so only sets that share one of those are compared.
+    """
+    x = table(rows.where(F.size(terms) > 0).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(terms).alias("t"), F.size(terms).alias("n")), "sets")
+    each = x.select("k", F.explode("t").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    order = each.join(df, "term").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
+    first = x.select("g", "k", "n").join(order, "k").select("g", "k", "n", F.explode(F.slice("o", 1, F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("o"))
+    first = table(first.select("g", "k", "n", F.col("o.term").alias("term")), "prefixes")
+    a, b = (first.select("g", "term", F.col("k").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    pairs = a.join(b, ["g", "term"]).where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+    ta, tb = (x.select(F.col("k").alias(c), F.col("t").alias(f"t{c}")) for c in "ab")
+    both = pairs.join(ta, "a").join(tb, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), (F.size("ta") + F.size("tb")).alias("m"))
+    return both.where(100 * F.col("i") >= percent * (F.col("m") - F.col("i"))).select("a", "b", (F.col("i") / (F.col("m") - F.col("i"))).alias("jaccard"))
+
+
 def tiled(a: DataFrame, b: DataFrame, id_a: str, id_b: str, side: int = 8) -> tuple[DataFrame, DataFrame]:
     """Both sides of a self-join with a column tile: each pair of rows meets in just one of side * side tiles of its key."""
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")

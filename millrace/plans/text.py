@@ -72,7 +72,7 @@ def corpus_statistics(t: Tables):
 
 @registry.add(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term")
 def document_frequency(t: Tables):
-    return R.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return R.term_counts(t.documents, "text")
 
 
 @registry.add(f"""
@@ -80,7 +80,7 @@ WITH p AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest
 SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM p, n
 """)
 def inverse_document_frequency(t: Tables):
-    df = R.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"))
+    df = R.term_counts(t.documents, "text").drop("cf")
     n = t.documents.agg(F.count("*").alias("n"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
@@ -92,7 +92,7 @@ SELECT round(sum(ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) *
 """)
 def max_query_score(t: Tables):
     q = t.literal([(x,) for x in TERMS], "term string")
-    df = R.postings(t.documents, "doc_id", "text").where(F.col("term").isin(TERMS)).groupBy("term").agg(F.count("*").alias("df"))
+    _, _, df = R.term_hits(t.documents, "doc_id", "text", TERMS)
     n = t.documents.agg(F.count("*").alias("n"))
     rows = q.join(df, "term", "left").crossJoin(F.broadcast(n))
     return rows.agg(F.round(F.sum(R.idf(F.col("n"), F.coalesce("df", F.lit(0))) * 2.5), 6).alias("max_score"))
@@ -227,23 +227,30 @@ def posting_gaps(t: Tables):
     return p.select("term", "doc_id", (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0))).alias("gap"))
 
 
-@registry.add("""
-WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(html, '[^A-Za-z0-9_.-]+')) AS token FROM pages)
-SELECT token, CASE WHEN list_contains(['a','an','the','in','on','at','by','for','to','of','from','with','is','are','was','were','be','been','being','that','this','those','these','it','its','their','and','or','as','into','if','out','up'], lower(token)) THEN 'STOPWORD'
-  WHEN contains(token, '/') OR regexp_matches(token, '(?i)^[a-z0-9_.-]+\\.(go|py|ts|tsx|js|json|md|yaml|yml|proto|sh|sql|rs|c|cpp|h)$') THEN 'PATH/FILENAME'
-  WHEN regexp_matches(token, '^[A-Za-z_][A-Za-z0-9_]*(\\.[A-Za-z_][A-Za-z0-9_]*)+$') OR regexp_matches(token, '^[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+$') OR regexp_matches(token, '^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$') OR regexp_matches(token, '^[A-Za-z_][a-zA-Z0-9_]*[0-9]+[a-zA-Z0-9_]*$') OR regexp_matches(token, '^[A-Z].') THEN 'SYMBOL'
-  WHEN regexp_matches(token, '[_-]') THEN 'IDENTIFIER' ELSE 'TECHNICAL_TERM' END AS token_class
-FROM w WHERE length(token) >= 2
-""".replace("\\\\", "\\"))
+_RUN = "list_filter(regexp_split_to_array(token, '[^A-Za-z0-9_]+'), lambda r: {0})"
+_CAPS = "(length(r) - length(regexp_replace(r, '[A-Z]', '', 'g')))"
+_HEAD = "substr(r, 1, 1)"
+_WORD_IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@registry.add(f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(html, '[^A-Za-z0-9_.-]+')) AS token FROM pages),
+c AS (SELECT token, CASE WHEN lower(token) IN {_WORD_IN(T.STOP_WORDS)} THEN 'STOPWORD'
+  WHEN contains(token, '/') OR regexp_extract(lower(token), '[a-z0-9_.-]\\.([a-z]+)$', 1) IN {_WORD_IN(T.FILE_ENDINGS)} THEN 'PATH/FILENAME'
+  WHEN len(list_filter(string_split(token, '-'), lambda c: regexp_matches(c, '(^|[^A-Za-z0-9_])[A-Za-z_]\\w*\\.[A-Za-z_]'))) > 0 THEN 'SYMBOL'
+  WHEN len({_RUN.format(f"NOT contains(r, '_') AND {_HEAD} BETWEEN 'a' AND 'z' AND {_CAPS} > 0")}) > 0 THEN 'SYMBOL'
+  WHEN len({_RUN.format(f"NOT contains(r, '_') AND {_HEAD} BETWEEN 'A' AND 'Z' AND {_CAPS} > 1 AND NOT regexp_matches(r, '[A-Z]([A-Z]|$)')")}) > 0 THEN 'SYMBOL'
+  WHEN len({_RUN.format(f"({_HEAD} BETWEEN 'a' AND 'z' OR {_HEAD} BETWEEN 'A' AND 'Z' OR {_HEAD} = '_') AND regexp_matches(r, '[0-9]')")}) > 0 THEN 'SYMBOL'
+  WHEN substr(token, 1, 1) BETWEEN 'A' AND 'Z' AND lower(token) NOT IN {_WORD_IN(T.GENERIC)} AND lower(token) NOT IN {_WORD_IN(T.ACTIONS)} THEN 'SYMBOL'
+  WHEN len({_RUN.format("regexp_matches(r, '^[A-Z]{2,6}$')")}) > 0 AND token NOT IN ('AND', 'THE', 'FOR', 'NOT') THEN 'ENTITY'
+  WHEN contains(token, '_') OR contains(token, '-') THEN 'IDENTIFIER' WHEN lower(token) IN {_WORD_IN(T.ACTIONS)} THEN 'ACTION' WHEN lower(token) IN {_WORD_IN(T.GENERIC)} THEN 'GENERIC' ELSE 'TECHNICAL_TERM' END AS token_class
+FROM w WHERE length(token) >= 2)
+SELECT token, token_class, list_position({list(T.TOKEN_CLASSES)}, token_class)::BIGINT AS priority FROM c
+""")
 def token_class(t: Tables):
-    """Class of every distinct token of the pages."""
-    #: Stop words.
-    stop = "a an the in on at by for to of from with is are was were be been being that this those these it its their and or as into if out up".split()
+    """Class and priority of every distinct token of the pages."""
     w = t.pages.select(F.explode(F.split("html", "[^A-Za-z0-9_.-]+")).alias("token")).distinct().where(F.length("token") >= 2)
-    x = F.col("token")
-    symbol = x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$") | x.rlike("^[A-Z][a-z0-9]+([A-Z][a-z0-9]+)+$") | x.rlike("^[a-z][a-z0-9]*([A-Z][a-z0-9]*)+$") | x.rlike("^[A-Za-z_][a-zA-Z0-9_]*[0-9]+[a-zA-Z0-9_]*$") | x.rlike("^[A-Z].")
-    c = F.when(F.lower(x).isin(stop), "STOPWORD").when(x.contains("/") | x.rlike(r"(?i)^[a-z0-9_.-]+\.(go|py|ts|tsx|js|json|md|yaml|yml|proto|sh|sql|rs|c|cpp|h)$"), "PATH/FILENAME")
-    return w.select("token", c.when(symbol, "SYMBOL").when(x.rlike("[_-]"), "IDENTIFIER").otherwise("TECHNICAL_TERM").alias("token_class"))
+    return w.withColumn("token_class", T.token_class(F.col("token"))).withColumn("priority", T.token_priority(F.col("token_class")))
 
 
 @registry.add("""
@@ -269,16 +276,13 @@ def trigram_match(t: Tables):
 
 
 @registry.add(f"""
-WITH d AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), p AS (SELECT lang, doc_id, list_distinct(t) AS t FROM d)
-SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard
-FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0
+WITH d AS (SELECT doc_id, lang, {_TOK} AS t FROM documents), p AS (SELECT lang, doc_id, list_distinct(t) AS t FROM d),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS m FROM p a JOIN p b ON a.lang = b.lang AND a.doc_id < b.doc_id WHERE len(a.t) > 0 AND len(b.t) > 0 AND 4 * least(len(a.t), len(b.t)) >= 3 * greatest(len(a.t), len(b.t)))
+SELECT a, b, round(i::DOUBLE / (m - i), 6) AS jaccard FROM j WHERE 4 * i >= 3 * (m - i)
 """)
 def set_jaccard(t: Tables):
-    """Jaccard of the documents of each language, in tiles. Each pair is a row, so the rows grow with the square of a language."""
-    p = t.documents.select("lang", "doc_id", T.tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    a, b = p.select("lang", F.col("doc_id").alias("a"), F.col("t").alias("x")), p.select("lang", F.col("doc_id").alias("b"), F.col("t").alias("y"))
-    a, b = R.tiled(a, b, "a", "b")
-    return a.join(b, ["lang", "tile"]).where("a < b").select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    """Pairs of documents of a language that decide alike: a Jaccard of their tokens of 0.75 or more."""
+    return R.similar_sets(t.documents.select("lang", "doc_id", T.tokens(F.col("text")).alias("t")), "lang", "doc_id", "t", 75).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 _FUSE = f"""

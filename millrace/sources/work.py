@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, which is set to a local one only where it is unset, as in tests."""
+    """The shared folder: spark.checkpoint.dir, which is set to a local one only where it is unset and the master is local, as in tests."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     got = spark.sparkContext._jsc.sc().getCheckpointDir()
     if got.isDefined():
         return conf or got.get()
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a shared folder for intermediate tables")
         conf = "file://" + tempfile.mkdtemp(prefix="millrace-")  # one machine: tests and examples
     spark.sparkContext.setCheckpointDir(conf)
     return conf
@@ -28,6 +30,13 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to as many tasks as there are cores, where it is read from fewer files than that; else as it is. For columns
+    that are costly to work on: a table of one file and one row group would be one task's."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Hold Arrow batches of this session to a few thousand rows: documents are long, and a batch is held several times."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -161,3 +161,90 @@ def test_entry_survives_without_the_removable_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_symbols_by_keyword(spark):
+    text = "\n".join(["func (s *Store) Load(x int) {", "  type Node struct {", "export async function run$1(", "class Foo:", "export class Bar {", "  def go_on(self):", "public static class Baz {", "private enum Kind {", "interface Shape", "functional(x)", "typed struct", "  return class", "type Alias = int"])
+    d = spark.createDataFrame([("a.x", text)], "p string, t string")
+    got = [(r["line"], r["kind"], r["name"]) for r in evidence.symbols(d, "p", "t").orderBy("line").collect()]
+    want = ["Load", "Node", "run$1", "Foo", "Bar", "go_on", "Baz", "Kind", "Shape"]
+    kinds = ["function", "type", "function", "class", "class", "function", "type", "type", "type"]
+    assert got == [(i + 1, k, n) for i, (k, n) in enumerate(zip(kinds, want, strict=True))]
+
+
+def test_token_classes(spark):
+    from millrace.functions import text as T
+
+    want = {"the": "STOPWORD", "a/b": "PATH/FILENAME", "main.go": "PATH/FILENAME", "os.path": "SYMBOL", "fooBar": "SYMBOL", "FooBar": "SYMBOL", "v2": "SYMBOL", "Bunker": "SYMBOL", "HTTP": "SYMBOL", "WHO": "ENTITY", "snake_case": "IDENTIFIER", "kebab-case": "IDENTIFIER", "verify": "ACTION", "explain": "GENERIC", "cache": "TECHNICAL_TERM", "9.5": "TECHNICAL_TERM"}
+    d = spark.createDataFrame([(k,) for k in want], "x string")
+    c = T.token_class(d["x"])
+    got = {r["x"]: (r["c"], r["p"]) for r in d.select("x", c.alias("c"), T.token_priority(c).alias("p")).collect()}
+    assert {k: v[0] for k, v in got.items()} == want
+    assert got["a/b"][1] == 1 and got["the"][1] == 8 and got["cache"][1] == 5
+
+
+def test_similar_sets_lose_no_pair(spark):
+    import random
+
+    from millrace.operators import ranking
+
+    r = random.Random(3)
+    sets = [{r.randrange(30) for _ in range(r.randrange(1, 12))} for _ in range(80)]
+    sets += [s | {99} for s in sets[:20]] + [set()]
+    d = spark.createDataFrame([(i % 2, i, sorted(map(str, s))) for i, s in enumerate(sets)], "g int, k long, t array<string>")
+    got = {(x["a"], x["b"]): x["jaccard"] for x in ranking.similar_sets(d, "g", "k", "t", 75).collect()}
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and i % 2 == j % 2 and a and b and 100 * len(a & b) >= 75 * len(a | b)}
+    assert got == pytest.approx(want) and want
+
+
+def test_global_rank_is_row_number(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.operators import ranking
+
+    d = spark.range(500).select("id", (F.col("id") * 7919 % 50).alias("score"))
+    got = {r["id"]: r["score_rank"] for r in ranking.ranks(d, "id", "score").collect()}
+    order = sorted(range(500), key=lambda i: (-(i * 7919 % 50), i))
+    assert got == {i: n + 1 for n, i in enumerate(order)}
+
+
+def test_selection_by_utility():
+    from itertools import combinations
+
+    from millrace.operators import packing
+
+    rows = [(1, 3, 0.0, frozenset("abc")), (2, 2, 0.0, frozenset("cd")), (3, 4, 0.0, frozenset("efgh")), (4, 1, 0.0, frozenset("a")), (5, 9, 0.0, frozenset("xyz"))]
+    cover = lambda rs: float(len(frozenset().union(*(r[3] for r in rs)))) if rs else 0.0
+    got = packing.by_utility(rows, 8, cover)
+    by = {r[0]: r for r in rows}
+    assert sum(by[i][1] for i in got) <= 8 and len(set(got)) == len(got)
+    best = max(cover(s) for n in range(5) for s in combinations(rows, n) if sum(r[1] for r in s) <= 8)
+    assert cover([by[i] for i in got]) >= 0.6 * best and packing.by_utility([], 8, cover) == []
+
+
+def test_max_score_prunes_nothing_of_the_top(spark):
+    import random
+
+    from millrace.operators import retrieval
+
+    r = random.Random(5)
+    hits = [(k, t, r.random() * m) for k in range(60) for t, m in (("a", 3.0), ("b", 2.0), ("c", 1.0)) if r.random() < 0.6]
+    h = spark.createDataFrame(hits, "key int, term string, weight double")
+    b = spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "term string, most double")
+    want = {}
+    for k, _, w in hits:
+        want[k] = want.get(k, 0.0) + w
+    top = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:5]
+    got = sorted(((x["key"], x["score"]) for x in retrieval.max_score_topk(h, b, 5).collect()), key=lambda x: (-x[1], x[0]))[:5]
+    assert [g[0] for g in got] == [x[0] for x in top] and [g[1] for g in got] == pytest.approx([x[1] for x in top])
+
+
+def test_globs():
+    import re
+
+    from millrace.operators import retrieval
+
+    hit = lambda p, x: re.search(retrieval.glob(p), x) is not None
+    assert hit("vendor", "vendor/a.go") and hit("vendor/", "vendor") and not hit("vendor", "vendored/a")
+    assert hit("**/x?.go", "a/b/x1.go") and hit("**/x?.go", "x1.go") and not hit("**/x?.go", "a/x12.go")
+    assert hit("a/*.py", "a/b.py") and not hit("a/*.py", "a/c/b.py") and hit("a/**", "a/c/b.py")
