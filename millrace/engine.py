@@ -52,12 +52,13 @@ class Engine:
         s = R.top_k(R.lexical_scores(m, "id", "content", query_terms(task)), "score", "key", k)  # at most k rows
         return m.join(F.broadcast(s.withColumnRenamed("key", "id")), "id").orderBy(F.desc("score"), "id")
 
-    def rank(self, task: str, revision: int, changed: DataFrame | None = None) -> DataFrame:
-        """Candidates with fused score and density (null: rejected), cut to the CANDIDATES best by lexical score."""
+    def rank(self, task: str, revision: int, changed: DataFrame | None = None, candidates: int = CANDIDATES) -> DataFrame:
+        """Candidates with fused score and density (null: rejected), cut to the best `candidates` by lexical score: memories
+        beyond are not weighed, however fresh and trusted."""
         terms = query_terms(task)
         m = self.memories()
         lex = R.lexical_scores(m, "id", "content", terms).withColumnRenamed("key", "id")
-        top = R.top_k(lex, "score", "id", CANDIDATES)
+        top = R.top_k(lex, "score", "id", candidates)
         m = m.join(F.broadcast(top), "id").withColumn("tokens", T.estimate_tokens(F.col("content")))
         changed = changed if changed is not None else self.spark.createDataFrame([], "path string, status string")
         m = M.staleness(m.fillna({"location": "", "scope": "", "valid_from": revision}), changed, revision)

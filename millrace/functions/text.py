@@ -111,3 +111,27 @@ def token_class(token: Column) -> Column:
 
 def token_priority(cls: Column) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in TOKEN_CLASSES]), cls)
+
+
+def trigram_score(text: Column, query: Column) -> Column:
+    """Struct of score and matched: 0.60 coverage, 0.25 proximity and 0.15 for a text that holds some of the query's trigrams."""
+    low = F.lower(F.trim(text))
+    at = F.filter(F.transform(query, lambda g: F.call_function("instr", low, g)), lambda p: p > 0)
+    gaps = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(at) - 1)), lambda i: F.try_element_at(at, i + 1) - F.try_element_at(at, i))
+    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + F.when(g.between(1, 5), 1 / g).otherwise(0.0))
+    score = 0.6 * F.size(at) / F.size(query) + F.when(F.size(at) > 1, 0.25 * near / (F.size(at) - 1)).otherwise(0.0) + 0.15
+    return F.struct(F.size(at).cast("long").alias("matched"), F.round(score, 6).alias("score"))
+
+
+def varint(n: Column) -> Column:
+    """A number from 0 as hexadecimal bytes of seven bits each, the lowest first, the high bit set on all but the last."""
+    n = n.cast("long")
+    size = F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
+    byte = lambda i: F.call_function("shiftright", n, 7 * i).bitwiseAND(F.lit(127)) + F.when(i < size - 1, 128).otherwise(0)
+    return F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), "")
+
+
+def entropy(counts: Column) -> Column:
+    """Shannon entropy in bits of an array of counts."""
+    total = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(counts, F.lit(0.0), lambda s, x: s - F.when(x > 0, x / total * F.log2(x / total)).otherwise(0.0))

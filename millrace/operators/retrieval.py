@@ -264,3 +264,27 @@ def max_score_topk(hits: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
     least = per.orderBy(F.desc("_s")).limit(k).agg(F.when(F.count("*") == k, F.min("_s")).otherwise(0.0).alias("_least"))
     live = per.crossJoin(F.broadcast(left)).crossJoin(F.broadcast(least)).where(F.col("_s") + F.col("_left") >= F.col("_least")).select("key")
     return h.join(live, "key", "left_semi").groupBy("key").agg(F.sum("weight").alias("score"))
+
+
+def prefer(df: DataFrame, choice: Column) -> DataFrame:
+    """The rows of the best choice (an integer, the lowest) that any row has: one look-up that falls back on the next."""
+    rows = df.withColumn("_choice", choice).where(F.col("_choice").isNotNull())
+    best = rows.agg(F.min("_choice").alias("_best"))  # one row
+    return rows.join(F.broadcast(best), F.col("_choice") == F.col("_best")).drop("_choice", "_best")
+
+
+def by_basename(nodes: DataFrame, name: str) -> DataFrame:
+    """Nodes whose file has this name, whatever the case; sources before tests."""
+    base = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
+    return prefer(nodes.where(base == name.lower()), F.when(F.col("path").endswith("_test.go"), 1).otherwise(0))
+
+
+def by_path(nodes: DataFrame, path: str) -> DataFrame:
+    """Nodes at a path or below it, else those whose path holds it."""
+    return prefer(nodes, F.when((F.col("path") == path) | F.col("path").startswith(path + "/"), 0).when(F.col("path").contains(path), 1))
+
+
+def by_package(nodes: DataFrame, package: str) -> DataFrame:
+    """Nodes in a folder whose name ends so, or in a file of that name."""
+    p = F.lower("path")
+    return nodes.where(p.contains(package.lower() + "/") | p.contains("/" + package.lower() + "."))

@@ -310,3 +310,46 @@ def max_score_topk(t: Tables):
     bounds = df.crossJoin(F.broadcast(stats)).select("term", (idf * (R.K1 + 1)).alias("most"))
     s = V.max_score_topk(rows, bounds, 20)
     return R.top_k(s.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")), "score", "doc_id", 20)
+
+
+@registry.add(f"WITH {_N}, b AS (SELECT *, CASE WHEN path LIKE '%\\_test.go' ESCAPE '\\' THEN 1 ELSE 0 END AS c FROM n WHERE lower(regexp_extract(path, '([^/]*)$', 1)) = 'f7.go') SELECT id, path FROM b WHERE c = (SELECT min(c) FROM b)")
+def basename_lookup(t: Tables):
+    return V.by_basename(_nodes(t), "F7.go").select("id", "path")
+
+
+@registry.add(f"WITH {_N}, b AS (SELECT 'pkg3' AS q, id, path, CASE WHEN path = 'pkg3' OR starts_with(path, 'pkg3/') THEN 0 WHEN contains(path, 'pkg3') THEN 1 END AS c FROM n UNION ALL SELECT '/f1', id, path, CASE WHEN path = '/f1' OR starts_with(path, '/f1/') THEN 0 WHEN contains(path, '/f1') THEN 1 END FROM n) SELECT q, id, path FROM b WHERE c = (SELECT min(c) FROM b o WHERE o.q = b.q)")
+def path_lookup(t: Tables):
+    """A folder, and a part of a path that is none."""
+    n = _nodes(t)
+    one = lambda q: V.by_path(n, q).select(F.lit(q).alias("q"), "id", "path")
+    return one("pkg3").unionByName(one("/f1"))
+
+
+@registry.add(f"WITH {_N} SELECT id, path FROM n WHERE contains(lower(path), 'kg12/') OR contains(lower(path), '/kg12.')")
+def package_lookup(t: Tables):
+    return V.by_package(_nodes(t), "kg12").select("id", "path")
+
+
+@registry.add("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_trace(t: Tables):
+    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("x")
+    return t.events.groupBy("user_id").agg(last, F.max("ts").alias("ts")).select("user_id", "x.event_id", "x.event_type", "ts")
+
+
+@registry.add("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT user_id, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS p FROM c) SELECT user_id, round(sum(-p * log2(p)), 6) AS entropy FROM p GROUP BY user_id")
+def shannon_entropy(t: Tables):
+    c = t.events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return c.groupBy("user_id").agg(F.collect_list(F.col("n").cast("double")).alias("n")).select("user_id", F.round(T.entropy(F.col("n")), 6).alias("entropy"))  # a few types a user
+
+
+@registry.add("SELECT event_id, ts + INTERVAL 36 HOUR AS due, date_trunc('week', ts)::DATE AS week, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, floor(epoch(ts) / 3600)::BIGINT AS hour FROM events")
+def interval_arithmetic(t: Tables):
+    ts = F.col("ts")
+    return t.events.select("event_id", (ts + F.expr("INTERVAL 36 HOURS")).alias("due"), F.date_trunc("week", ts).cast("date").alias("week"), F.datediff(ts.cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("day"), F.floor(F.unix_micros(ts.cast("timestamp")) / 3600000000).cast("long").alias("hour"))
+
+
+@registry.add(f"WITH {_E}, k AS (SELECT DISTINCT src, dst FROM e WHERE kind IN ('call', 'import')), a AS (SELECT DISTINCT dst AS id FROM k WHERE src = 0), b AS (SELECT DISTINCT dst AS id FROM a JOIN k ON src = id) SELECT 0::BIGINT AS id, 0 AS depth UNION ALL SELECT id, 1 FROM a WHERE id <> 0 UNION ALL SELECT id, 2 FROM b WHERE id <> 0 AND id NOT IN (SELECT id FROM a)")
+def dependency_closure(t: Tables):
+    """What a node depends on, along edges of given kinds only."""
+    e = _edges(t).where(F.col("kind").isin("call", "import")).select("src", "dst").distinct()
+    return G.closure(e, t.literal([(0,)], "id long"), 2)

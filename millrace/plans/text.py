@@ -264,15 +264,14 @@ def normalize_identifier(t: Tables):
 _TRI = "[substr(lower(trim(p_name)), i::INTEGER, 3) for i in generate_series(1, length(trim(p_name)) - 2)]"
 
 
-@registry.add(f"""
-WITH q AS (SELECT ['red', 'wid', 'idg', 'dge', 'get'] AS q), p AS (SELECT p_partkey, p_name, CASE WHEN length(trim(p_name)) < 3 THEN [] ELSE list_distinct({_TRI}) END AS t FROM part)
-SELECT p_partkey, len(list_intersect(t, q)) AS matched, round(0.6 * len(list_intersect(t, q)) / 5 + CASE WHEN contains(lower(p_name), 'widget') THEN 0.15 ELSE 0 END, 6) AS score FROM p, q WHERE len(list_intersect(t, q)) > 0
+@registry.add("""
+WITH q AS (SELECT ['red', 'wid', 'idg', 'dge', 'get'] AS q), p AS (SELECT p_partkey, list_filter([instr(lower(trim(p_name)), x) for x in q], lambda y: y > 0) AS p FROM part, q)
+SELECT p_partkey, len(p) AS matched, round(0.6 * len(p) / 5 + CASE WHEN len(p) > 1 THEN 0.25 * list_sum([CASE WHEN p[i + 1] - p[i] BETWEEN 1 AND 5 THEN 1.0::DOUBLE / (p[i + 1] - p[i]) ELSE 0 END for i in generate_series(1, len(p) - 1)]) / (len(p) - 1) ELSE 0 END + 0.15, 6)::DOUBLE AS score FROM p WHERE len(p) > 0
 """)
 def trigram_match(t: Tables):
-    """Coverage and exactness of the trigram score; its 0.25 proximity part, which needs positions, is not built."""
+    """0.60 coverage of the query's trigrams, 0.25 proximity of those that follow each other within five places, 0.15."""
     q = F.array(*[F.lit(x) for x in ("red", "wid", "idg", "dge", "get")])
-    p = t.part.select("p_partkey", "p_name", F.size(F.array_intersect(T.trigrams(F.col("p_name")), q)).cast("long").alias("matched")).where("matched > 0")
-    return p.select("p_partkey", "matched", F.round(0.6 * F.col("matched") / 5 + F.when(F.lower("p_name").contains("widget"), 0.15).otherwise(0.0), 6).alias("score"))
+    return t.part.select("p_partkey", T.trigram_score(F.col("p_name"), q).alias("x")).select("p_partkey", "x.*").where("matched > 0")
 
 
 @registry.add(f"""
@@ -310,6 +309,18 @@ def weighted_rrf(t: Tables):
     return r.select("doc_id", F.round(R.weighted_rrf([(F.col("lexical"), F.col("lexical_rank"), 1.0), (F.col("affinity"), F.col("affinity_rank"), 0.5), (F.col("semantic"), F.col("semantic_rank"), 2.0)]), 9).alias("fused"))
 
 
+@registry.add("""
+WITH p AS (SELECT term, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term ORDER BY doc_id), 0) AS gap FROM (SELECT doc_id, unnest(list_distinct(list_filter(TOK, lambda x: list_contains(LIST, x)))) AS term FROM documents)),
+b AS (SELECT term, gap, CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 ELSE 4 END AS n FROM p)
+SELECT term, gap, n AS n_bytes, upper(array_to_string([printf('%02x', ((gap >> (7 * i)) & 127) + CASE WHEN i < n - 1 THEN 128 ELSE 0 END) for i in generate_series(0, n - 1)], '')) AS varint FROM b
+""".replace("TOK", _TOK).replace("LIST", _LIST))
+def varint_gaps(t: Tables):
+    """Gaps of the document ids of each term's postings as bytes of seven bits, the lowest first."""
+    p = t.documents.select("doc_id", F.explode(F.filter(T.tokens(F.col("text")), lambda x: x.isin(TERMS))).alias("term"))
+    gap = (F.col("doc_id") - F.coalesce(F.lag("doc_id").over(Window.partitionBy("term").orderBy("doc_id")), F.lit(0))).alias("gap")
+    return p.select("term", gap).select("term", "gap", (F.length(T.varint(F.col("gap"))) / 2).cast("int").alias("n_bytes"), T.varint(F.col("gap")).alias("varint"))
+
+
 _CAND = """
 WITH c AS (SELECT source AS path, CASE doc_id % 5 WHEN 0 THEN 'lexical' WHEN 1 THEN 'semantic' WHEN 2 THEN 'symbol' WHEN 3 THEN 'path' ELSE 'graph' END AS channel, round(n_chars % 97 / 97.0, 6)::DOUBLE AS score, doc_id % 4 AS tier FROM documents)
 """

@@ -108,3 +108,11 @@ def test_belief_folds_all_events(spark):
 def test_idf_of_all_terms(spark):
     got = same(spark, "inverse_document_frequency", (" WHERE df >= 5", ""))
     assert len(got) == catalog.queries()["document_frequency"](spark, DATA).count()
+
+
+@needs_tables
+def test_sketch_is_near_the_exact_count(spark):
+    c = duckdb.connect()
+    want = dict(c.execute(f"SELECT l_returnflag, count(DISTINCT l_partkey) FROM '{DATA}/lineitem.parquet' GROUP BY 1").fetchall())
+    got = {r["l_returnflag"]: r["distinct_parts"] for r in catalog.queries()["approximate_distinct"](spark, DATA).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) <= 0.08 * want[k] for k in want)
