@@ -103,6 +103,8 @@ def top_k(df: DataFrame, score: str, tie: str, k: int) -> DataFrame:
 
 def ranks(df: DataFrame, tie: str, *scores: str, by: str | None = None) -> DataFrame:
     """A 1-based rank column <score>_rank for each score, ties by `tie`; with no `by`, over all rows."""
+    if not by:
+        df = table(df, "scores")  # read by each rank twice: for the ranges, and for the rows
     for s in scores:
         if by:
             df = df.withColumn(f"{s}_rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(s), F.asc(tie))))

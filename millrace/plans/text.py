@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import ranking as R
 from millrace.registry import Registry, Tables
+from millrace.sources.work import spread
 
 registry = Registry()
 
@@ -292,7 +293,7 @@ r AS (SELECT *, row_number() OVER (ORDER BY lexical DESC, doc_id) AS lr, row_num
 
 
 def _signals(t: Tables):
-    d = t.documents.select("doc_id", F.size(T.all_tokens(F.col("text"))).alias("dlen"), F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*[F.lit(x) for x in TERMS]))).alias("hit"))
+    d = spread(t.documents.select("doc_id", "text")).select("doc_id", F.size(T.all_tokens(F.col("text"))).alias("dlen"), F.size(F.array_intersect(T.tokens(F.col("text")), F.array(*[F.lit(x) for x in TERMS]))).alias("hit"))
     s = d.select("doc_id", (F.col("hit") / F.lit(float(len(TERMS)))).alias("lexical"), (1.0 / (1 + F.abs(F.col("dlen") - 400))).alias("semantic"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("affinity"))
     return R.ranks(s, "doc_id", "lexical", "semantic", "affinity")
 
