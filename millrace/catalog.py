@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import evidence, graphs, memories, relational, retrieval, selection, statistics, text, usage
+from millrace.plans import assess, evidence, graphs, memories, relational, retrieval, selection, statistics, text, usage
 
 FLAGSHIP = "bm25_topk"
-MODULES = (text, memories, graphs, statistics, usage, evidence, relational, selection, retrieval)
+MODULES = (text, memories, graphs, statistics, usage, evidence, relational, selection, retrieval, assess)
 
 
 def queries() -> dict:

@@ -73,7 +73,7 @@ class Engine:
         """place, id, part (prefix or variable), tokens, score, content of what fits the budget."""
         ranked = self.rank(task, revision, changed)
         cands = ranked.select(F.lit(0).alias("one"), "id", "tokens", F.col("fused").alias("score"), "density")
-        chosen = P.singleton_rescue(cands, "one", budget).select(F.posexplode("chosen").alias("n", "id"))  # one query's few rows
+        chosen = P.singleton_rescue(cands, "one", budget, fill=True).select(F.posexplode("chosen").alias("n", "id"))  # one query's few rows
         part = F.when(F.col("kind").isin(*STABLE), "prefix").otherwise("variable")
         w = Window.orderBy("part", "n")
         return ranked.join(F.broadcast(chosen), "id").withColumn("part", part).select(F.row_number().over(w).alias("place"), "id", "part", "kind", "tokens", F.col("fused").alias("score"), "content")

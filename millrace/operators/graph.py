@@ -29,12 +29,15 @@ def proximity(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return all_.groupBy("id").agg(F.max("p").alias("proximity"))
 
 
-def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 10, cut=None) -> DataFrame:
+def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.15, iterations: int = 10, cut=None, tolerance: float | None = None) -> DataFrame:
     """id, rank, scaled so that the largest is 1. nodes: id; edges: src, dst, weight; seeds: id, weight.
 
     Mass of nodes without out-edges goes back to the seeds. `cut`, a function of a DataFrame, may break the lineage
-    between rounds (a checkpoint) when there are many.
+    between rounds (a checkpoint) when there are many. With a tolerance, which needs a cut, the rounds end once the ranks
+    move by less than it in all; only that sum comes to the driver.
     """
+    if tolerance is not None and cut is None:
+        raise ValueError("a tolerance reads each round's ranks: give a cut")
     total = seeds.join(nodes, "id", "left_semi").agg(F.sum("weight").alias("t"))
     s = seeds.join(nodes, "id", "left_semi").crossJoin(F.broadcast(total)).select("id", (F.col("weight") / F.col("t")).alias("s"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
@@ -44,13 +47,24 @@ def personalised_pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame,
     for _ in range(iterations):
         lost = r.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("r"))), F.lit(0.0)).alias("lost"))
         flow = r.join(prob, r["id"] == prob["src"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("p")).alias("f"))
-        r = r.join(flow, r["id"] == flow["dst"], "left").crossJoin(F.broadcast(lost)).select("id", "s", "linked", (alpha * F.col("s") + (1 - alpha) * (F.coalesce("f", F.lit(0.0)) + F.col("lost") * F.col("s"))).alias("r"))
+        r = r.join(flow, r["id"] == flow["dst"], "left").crossJoin(F.broadcast(lost))
+        new = alpha * F.col("s") + (1 - alpha) * (F.coalesce("f", F.lit(0.0)) + F.col("lost") * F.col("s"))
+        r = r.select("id", "s", "linked", new.alias("r"), *([F.abs(new - F.col("r")).alias("moved")] if tolerance is not None else []))
         if cut is not None:
             r = cut(r)
+        if tolerance is not None:
+            moved, r = r.agg(F.sum("moved").alias("m")).first()["m"], r.drop("moved")
+            if (moved or 0.0) < tolerance:
+                break
     top = r.agg(F.max("r").alias("m"))
     return r.crossJoin(F.broadcast(top)).select("id", F.when(F.col("m") > 0, F.col("r") / F.col("m")).otherwise(0.0).alias("rank"))
 
 
+def composite(rank, degree_norm, flags, near):
+    """A node's score: 0.50 of its rank, 0.20 of its degree, 0.15 each of its marked edges and its nearness, in [0, 1]."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.50 * rank + 0.20 * degree_norm + 0.15 * flags + 0.15 * near))
+
+
 def closure(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """id, depth: nodes reached from seeds along edges in at most `depth` steps, with the least number of steps."""
     found = seeds.select("id", F.lit(0).alias("depth")).distinct()

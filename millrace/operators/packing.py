@@ -1,18 +1,31 @@
 """Budgeted selection: order-dependent folds over the ranked items of a group.
 
 Items that do not fit are skipped and the fold goes on, so a running sum is not
-enough. Groups are queries' candidate lists, cut to a top-N before they are
-folded; the greedy forms stay in the JVM as an aggregate over a sorted array, the
-ones that compare items with what is chosen are grouped-map functions.
+enough. Before a group is gathered it is cut to what a fold could choose
+(`fitting`), which a budget bounds whatever the group's size; the greedy forms stay
+in the JVM as an aggregate over a sorted array, the ones that compare items with
+what is chosen are grouped-map functions over a query's top-N.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fitting(cands: DataFrame, groups: list[str], budget: int, *order: Column) -> DataFrame:
+    """The items that a greedy fold in this order could choose: of each group the first budget / n ones of n tokens.
+
+    What is spent never falls, so where an item fits, all items of its size before it did and were chosen: those further
+    back cannot be. About budget * ln(budget) items a group are left, and a hot group is spread by its sizes. Items of no
+    tokens are as items of one; the order must not leave ties."""
+    n = F.greatest(F.lit(1), F.col("tokens"))
+    fit = cands.where(F.col("tokens") <= budget).withColumn("_n", n)
+    fit = fit.withColumn("_r", F.row_number().over(Window.partitionBy(*groups, "_n").orderBy(*order)))
+    return fit.where((F.col("_r") <= budget) & (F.col("_r") * F.col("_n") <= budget)).drop("_n", "_r")
+
+
 def greedy(items: Column, budget: Column | int) -> Column:
     """items: array<struct<.., id, tokens>> in order. Struct<spent, chosen ids>."""
     budget = F.lit(budget).cast("long") if isinstance(budget, int) else budget
@@ -29,27 +42,33 @@ def greedy(items: Column, budget: Column | int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def greedy_pack(cands: DataFrame, group: str, budget: int) -> DataFrame:
-    """group, spent, chosen, score of a density greedy. cands: group, id, tokens, score, density (null: rejected)."""
-    kept = cands.where("density is not null")
+def _folded(kept: DataFrame, group: str, budget: int) -> DataFrame:
+    """group, _items (in order of density, those that could be chosen), _fold of the greedy."""
     items = F.array_sort(F.collect_list(F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))))
-    return kept.groupBy(group).agg(items.alias("_items")).select(group, greedy(F.col("_items"), budget).alias("_fold")).select(group, "_fold.spent", "_fold.chosen", "_fold.score")
+    rows = fitting(kept.where("tokens > 0"), [group], budget, F.desc("density"), F.col("id"))
+    # a group whose items are all too large still has a row
+    rows = kept.select(group).distinct().join(rows.groupBy(group).agg(items.alias("_items")), group, "left")
+    return rows.withColumn("_items", F.coalesce("_items", F.array().cast(rows.schema["_items"].dataType))).withColumn("_fold", greedy(F.col("_items"), budget))
 
 
-def singleton_rescue(cands: DataFrame, group: str, budget: int) -> DataFrame:
-    """As greedy_pack, but the best single item that fits replaces a selection of smaller total score."""
+def greedy_pack(cands: DataFrame, group: str, budget: int) -> DataFrame:
+    """group, spent, chosen, score of a density greedy. cands: group (not null), id, tokens, score, density (null: rejected)."""
+    return _folded(cands.where("density is not null"), group, budget).select(group, "_fold.spent", "_fold.chosen", "_fold.score")
+
+
+def singleton_rescue(cands: DataFrame, group: str, budget: int, fill: bool = False) -> DataFrame:
+    """As greedy_pack, but the best single item that fits replaces a selection of smaller total score; with `fill`, what
+    budget that item leaves is filled by density (after the greedy itself nothing that is left fits)."""
     kept = cands.where("density is not null")
-    items = F.array_sort(F.collect_list(F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))))
     best = F.max(F.when((F.col("tokens") > 0) & (F.col("tokens") <= budget), F.struct(F.col("score").cast("double").alias("score"), (-F.col("id")).cast("long").alias("neg"), F.col("tokens").cast("long").alias("tokens"))))
-    rows = kept.groupBy(group).agg(items.alias("_items"), best.alias("_best")).withColumn("_fold", greedy(F.col("_items"), budget))
-    rescue = F.col("_best").isNotNull() & (F.col("_best.score") > F.col("_fold.score"))
-    return rows.select(
-        group,
-        F.when(rescue, F.col("_best.tokens")).otherwise(F.col("_fold.spent")).alias("spent"),
-        F.when(rescue, F.array(-F.col("_best.neg"))).otherwise(F.col("_fold.chosen")).alias("chosen"),
-        F.when(rescue, F.col("_best.score")).otherwise(F.col("_fold.score")).alias("score"),
-        rescue.alias("rescued"),
-    )
+    rows = _folded(kept, group, budget).join(kept.groupBy(group).agg(best.alias("_best")), group)
+    rescue = F.coalesce(F.col("_best.score") > F.col("_fold.score"), F.lit(False))
+    one = F.struct(F.col("_best.tokens").alias("spent"), F.array(-F.col("_best.neg")).alias("chosen"), F.col("_best.score").alias("score"))
+    if fill:
+        more = greedy(F.filter("_items", lambda x: x["id"] != -F.col("_best.neg")), F.lit(budget).cast("long") - F.col("_best.tokens"))
+        one = F.struct((one["spent"] + more["spent"]).alias("spent"), F.concat(one["chosen"], more["chosen"]).alias("chosen"), (one["score"] + more["score"]).alias("score"))
+    got = F.when(rescue, one).otherwise(F.col("_fold"))
+    return rows.select(group, got.alias("_got"), rescue.alias("rescued")).select(group, "_got.spent", "_got.chosen", "_got.score", "rescued")
 
 
 def _overlap(a: frozenset, b: frozenset) -> float:

@@ -140,17 +140,6 @@ def claim_rates(t: Tables):
     return _verified(t).agg(F.count("*").alias("total"), r("SUPPORTED").alias("precision"), r("UNKNOWN", "PARTIAL").alias("unsupported"), r("CONTRADICTED").alias("contradiction"))
 
 
-@registry.add("""
-WITH o AS (SELECT o_orderkey AS k, o_orderkey % 11 = 0 AS contra, o_orderkey % 3 <> 0 AS suff, o_orderkey % 5 AS missing, (o_orderkey % 4) / 4::DOUBLE AS cov, CASE WHEN o_orderkey % 13 = 0 THEN 0.1 ELSE 0 END AS cr, (o_orderkey % 10) / 10::DOUBLE AS ur, (o_orderkey % 8) / 8::DOUBLE AS pr FROM orders)
-SELECT k, CASE WHEN contra THEN 'INVESTIGATE_CONFLICT' WHEN NOT suff THEN CASE WHEN missing > 2 OR cov = 0 THEN 'ABSTAIN' ELSE 'RETRIEVE_MORE' END WHEN cr > 0 THEN 'INVESTIGATE_CONFLICT' WHEN ur > 0.4 THEN 'ABSTAIN' WHEN pr < 0.6 THEN 'RETRIEVE_MORE' ELSE 'ANSWER' END AS action,
-CASE WHEN contra THEN 'R5' WHEN NOT suff THEN 'R4' WHEN cr > 0 THEN 'R5' WHEN ur > 0.4 OR pr < 0.6 THEN 'R7' ELSE '' END AS code FROM o
-""")
-def answer_gate(t: Tables):
-    k = F.col("o_orderkey")
-    g = E.answer_gate(k % 11 == 0, k % 3 != 0, k % 5, (k % 4) / F.lit(4.0), F.when(k % 13 == 0, 0.1).otherwise(0.0), (k % 10) / F.lit(10.0), (k % 8) / F.lit(8.0), F.lit(3))
-    return t.orders.select(k.alias("k"), g.alias("g")).select("k", "g.action", "g.code")
-
-
 @registry.add("""
 WITH r AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) > 3))) AS w FROM benchmark),
 d AS (SELECT DISTINCT unnest(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) > 3)) AS w FROM documents),
@@ -165,17 +154,6 @@ def evidence_sufficiency(t: Tables):
     return c.select("item_id", "n", "hit", F.round(F.col("hit") / F.col("n"), 6).alias("coverage"), (F.col("hit") / F.col("n") >= 0.5).alias("sufficient"))
 
 
-@registry.add("""
-SELECT item_id, CASE WHEN starts_with(lower(text), 'where is') THEN 'definition' WHEN regexp_matches(text, '(?i)\\b(fix|bug|test)') THEN 'local_edit' WHEN length(text) > 250 THEN 'analysis' ELSE 'simple_lookup' END AS class,
-greatest(256, least(1024, round((256 + 768 * (0.6 * 0.2 + 0.4 * (item_id % 10) / 10.0)) / 256) * 256))::BIGINT AS budget FROM benchmark
-""")
-def query_class_and_budget(t: Tables):
-    x = F.col("text")
-    cls = F.when(F.lower(x).startswith("where is"), "definition").when(x.rlike(r"(?i)\b(fix|bug|test)"), "local_edit").when(F.length(x) > 250, "analysis").otherwise("simple_lookup")
-    b = F.greatest(F.lit(256), F.least(F.lit(1024), F.round((256 + 768 * (0.6 * 0.2 + 0.4 * (F.col("item_id") % 10) / 10.0)) / 256) * 256)).cast("long")
-    return t.benchmark.select("item_id", cls.alias("class"), b.alias("budget"))
-
-
 @registry.add("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, len(string_split(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/')) - 1 AS depth, list_filter(regexp_extract_all(url, '[?&]([^=&#]+)=', 1), lambda x: true) AS params FROM pages")
 def url_parts(t: Tables):
     u = F.col("url")

@@ -67,15 +67,36 @@ _STEP = """, r{n} AS (SELECT id, s, linked, 0.15 * s + 0.85 * (coalesce(f, 0) +
   FROM r{m} LEFT JOIN (SELECT dst, sum(r * weight / o) AS f FROM r{m} JOIN ed ON ed.src = r{m}.id JOIN ow ON ow.src = ed.src GROUP BY dst) ON dst = id)"""
 
 
-@registry.add(
+_PPR = (
     _TREE
     + ", ow AS (SELECT src, sum(weight) AS o FROM ed GROUP BY src), sd AS (SELECT 'n1' AS id, 0.4::DOUBLE AS s UNION ALL SELECT 'n7', 0.6), r0 AS (SELECT nd.id, coalesce(s, 0) AS s, ow.src IS NOT NULL AS linked, coalesce(s, 0) AS r FROM nd LEFT JOIN sd USING (id) LEFT JOIN ow ON ow.src = nd.id)"
     + "".join(_STEP.format(n=i + 1, m=i) for i in range(5))
-    + " SELECT id, round(r / (SELECT max(r) FROM r5), 6) AS rank FROM r5"
 )
+
+
+def _ppr(t: Tables, e):
+    return G.personalised_pagerank(_nodes(e), e, t.literal([("n1", 2.0), ("n7", 3.0)], "id string, weight double"), iterations=5, cut=table)
+
+
+@registry.add(_PPR + " SELECT id, round(r / (SELECT max(r) FROM r5), 6) AS rank FROM r5")
 def ppr_5_iterations(t: Tables):
+    return _ppr(t, _tree(t)).select("id", F.round("rank", 6).alias("rank"))
+
+
+@registry.add(
+    _PPR
+    + """, dg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY id), fl AS (SELECT src AS id, least(1.0, 0.33 * count(*)) AS flags FROM ed WHERE starts_with(dst, 's') GROUP BY src),
+u AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed), s0 AS (SELECT id FROM sd), o1 AS (SELECT DISTINCT dst AS id FROM u JOIN s0 ON src = id), o2 AS (SELECT DISTINCT dst AS id FROM u JOIN o1 ON src = id), px AS (SELECT id, max(p) AS near FROM (SELECT id, 1.0 AS p FROM s0 UNION ALL SELECT id, 0.7 FROM o1 UNION ALL SELECT id, 0.4 FROM o2) GROUP BY id)
+SELECT r5.id, round(greatest(0.0, least(1.0, 0.50 * r / (SELECT max(r) FROM r5) + 0.20 * ln(1 + degree) / ln(1 + (SELECT max(degree) FROM dg)) + 0.15 * coalesce(flags, 0) + 0.15 * coalesce(near, 0))), 6)::DOUBLE AS score FROM r5 JOIN dg USING (id) LEFT JOIN fl USING (id) LEFT JOIN px USING (id)"""
+)
+def composite_score(t: Tables):
+    """Rank, degree, edges to suppliers and nearness to the seeds of each node of one graph, in one score."""
     e = _tree(t)
-    return G.personalised_pagerank(_nodes(e), e, t.literal([("n1", 2.0), ("n7", 3.0)], "id string, weight double"), iterations=5, cut=table).select("id", F.round("rank", 6).alias("rank"))
+    d = G.degrees(e).select("id", "degree")
+    flags = e.where(F.col("dst").startswith("s")).groupBy(F.col("src").alias("id")).agg(F.least(F.lit(1.0), 0.33 * F.count("*")).alias("flags"))
+    near = G.proximity(e.select("src", "dst"), t.literal([("n1",), ("n7",)], "id string"))
+    j = _ppr(t, e).join(d, "id").crossJoin(F.broadcast(d.agg(F.max("degree").alias("m")))).join(flags, "id", "left").join(near, "id", "left").fillna({"flags": 0.0, "proximity": 0.0})
+    return j.select("id", F.round(G.composite(F.col("rank"), F.log1p("degree") / F.log1p("m"), F.col("flags"), F.col("proximity")), 6).alias("score"))
 
 
 @registry.add(_TREE.replace("WITH e", "WITH RECURSIVE e") + ", b AS (SELECT 'r0' AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM b JOIN ed ON src = id WHERE depth < 3) SELECT id, min(depth) AS depth FROM b GROUP BY id")

@@ -264,7 +264,8 @@ def baseline_packs(t: Tables):
     m = t.documents.select("source", F.col("doc_id").alias("id"), T.estimate_tokens(F.col("text")).alias("tokens"), hit.alias("hit"))
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), k.cast("long").alias("o")) for a, k in (("B0", F.col("id")), ("B1", -F.col("id")), ("B2", -F.col("hit")))])
     items = F.array_sort(F.collect_list(F.struct("o", "id", "tokens", F.lit(0.0).alias("score"))))
-    g = m.select("source", "id", "tokens", F.explode(arms).alias("x")).select("source", "id", "tokens", "x.*").groupBy("source", "arm").agg(P.greedy(items, 2048).alias("g"))
+    x = m.select("source", "id", "tokens", F.explode(arms).alias("x")).select("source", "id", "tokens", "x.*")
+    g = P.fitting(x, ["source", "arm"], 2048, F.col("o"), F.col("id")).groupBy("source", "arm").agg(P.greedy(items, 2048).alias("g"))
     return g.select("source", "arm", "g.spent", F.size("g.chosen").cast("long").alias("taken"))
 
 

@@ -31,8 +31,8 @@ SELECT source, arg_max(spent, n) AS spent, arg_max(taken, n) AS taken, round(1 -
 @registry.add(_NOISY)
 def noisy_or_pack(t: Tables):
     o = F.round(F.col("semantic") * (1 + 0.2 * F.col("re")) / F.greatest(F.lit(1), F.col("tokens")), 12)
-    items = F.array_sort(F.collect_list(F.struct((-o).alias("o"), "id", "tokens", F.col("semantic").alias("score"))))
-    return _ranked(t).groupBy("source").agg(P.noisy_or(items, 2000).alias("g")).select("source", "g.spent", F.size("g.chosen").cast("long").alias("taken"), F.round(1 - F.col("g.wrong"), 6).alias("correct"))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("o")).alias("o"), "id", "tokens", F.col("semantic").alias("score"))))
+    return P.fitting(_ranked(t).withColumn("o", o), ["source"], 2000, F.desc("o"), F.col("id")).groupBy("source").agg(P.noisy_or(items, 2000).alias("g")).select("source", "g.spent", F.size("g.chosen").cast("long").alias("taken"), F.round(1 - F.col("g.wrong"), 6).alias("correct"))
 
 
 @registry.add("""
@@ -113,32 +113,6 @@ def context_units(t: Tables):
     return d.select("doc_id", F.explode(u).alias("u")).select("doc_id", "u.*")
 
 
-@registry.add("""
-WITH c AS (SELECT page_id, lower(url) AS path, (page_id % 10) / 10::DOUBLE AS base FROM pages),
-r AS (SELECT page_id, path, base + CASE WHEN contains(path, 'blog') THEN 0.35 ELSE 0 END + CASE WHEN contains(path, 'utm_source') THEN 0.30 ELSE 0 END + CASE WHEN contains(path, '/test/') THEN -0.15 + 0.1 * 0.5 ELSE 0.1 END AS s FROM c),
-n AS (SELECT page_id, path, CASE WHEN contains(path, 'casino') THEN s * 0.05 ELSE s END AS s FROM r) SELECT page_id, round(s, 6) AS score FROM n ORDER BY round(s, 6) DESC, path, page_id LIMIT 30
-""")
-def task_aware_rerank(t: Tables):
-    """Bonuses for entities and identifiers in the path, penalties for tests and negated terms."""
-    path = F.lower("url")
-    s = (F.col("page_id") % 10) / F.lit(10.0) + F.when(path.contains("blog"), 0.35).otherwise(0.0) + F.when(path.contains("utm_source"), 0.30).otherwise(0.0) + F.when(path.contains("/test/"), -0.15 + 0.1 * 0.5).otherwise(0.1)
-    s = F.when(path.contains("casino"), s * 0.05).otherwise(s)
-    return t.pages.select("page_id", path.alias("path"), F.round(s, 6).alias("score")).orderBy(F.desc("score"), "path", "page_id").limit(30).select("page_id", "score")
-
-
-@registry.add("""
-WITH e AS (SELECT source, lang, count(*) AS n, count(*) FILTER (contains(lower(text), 'licensed')) AS lic, max(doc_id) AS rev FROM documents GROUP BY ALL),
-l AS (SELECT source, lang, n > 5 AS l0, least(1.0, n / 20.0) AS l1, least(1.0, n / 15.0) AS l2, lic = 0 AS l3, rev % 2 = 0 AS l4, n >= 16 AS l5 FROM e)
-SELECT source, lang, round(0.15 * l0::INT + 0.25 * l1 + 0.20 * l2 + 0.15 * l3::INT + 0.10 * l4::INT + 0.15 * l5::INT, 6)::DOUBLE AS composite, l0 AND l1 >= 0.8 AND l2 >= 0.8 AND l3 AND l4 AND l5 AS sufficient FROM l
-""")
-def layered_sufficiency(t: Tables):
-    e = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.lower("text").contains("licensed")).alias("lic"), F.max("doc_id").alias("rev"))
-    n = F.col("n")
-    l0, l1, l2, l3, l4, l5 = n > 5, F.least(F.lit(1.0), n / 20.0), F.least(F.lit(1.0), n / 15.0), F.col("lic") == 0, F.col("rev") % 2 == 0, n >= 16
-    i = lambda c: c.cast("int")
-    return e.select("source", "lang", F.round(0.15 * i(l0) + 0.25 * l1 + 0.20 * l2 + 0.15 * i(l3) + 0.10 * i(l4) + 0.15 * i(l5), 6).alias("composite"), (l0 & (l1 >= 0.8) & (l2 >= 0.8) & l3 & l4 & l5).alias("sufficient"))
-
-
 @registry.add("WITH c AS (SELECT o_custkey AS key, o_orderkey AS id, o_orderdate AS created, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) SELECT key, id FROM c WHERE n <= 256 AND created >= (SELECT max(created) FROM c) - INTERVAL 60 DAYS")
 def cache_eviction(t: Tables):
     """The newest 256 entries that have not outlived their time."""
@@ -178,19 +152,6 @@ def rubric_score(t: Tables):
     return t.conversations.withColumn("p", parts).select("conv_id", "turn", F.round(q, 6).alias("quality"), ((F.element_at("p", F.lit("role")) >= 1) & (F.length("text") > 0)).alias("success"))
 
 
-_WORDS = {"auth": 0.4, "race": 0.4, "delete": 0.3, "on": 0.1}
-
-
-@registry.add("SELECT item_id, round(least(1.0, 0.1 + " + " + ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {v} ELSE 0 END" for k, v in _WORDS.items()) + "), 6)::DOUBLE AS risk, round(least(1.0, 0.2 + CASE WHEN length(text) < 150 THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(text), 'how|why|investigate') THEN 0.3 ELSE 0 END), 6)::DOUBLE AS ambiguity FROM benchmark")
-def task_profile(t: Tables):
-    x = F.lower("text")
-    risk = F.lit(0.1)
-    for k, v in _WORDS.items():
-        risk = risk + F.when(x.contains(k), v).otherwise(0.0)
-    amb = 0.2 + F.when(F.length("text") < 150, 0.3).otherwise(0.0) + F.when(x.rlike("how|why|investigate"), 0.3).otherwise(0.0)
-    return t.benchmark.select("item_id", F.round(F.least(F.lit(1.0), risk), 6).alias("risk"), F.round(F.least(F.lit(1.0), amb), 6).alias("ambiguity"))
-
-
 @registry.add()
 def hash_embeddings(t: Tables):
     """Both hash embeddings of each item; vectors of 64-bit hashes are not for SQL. Tested against a plain reading."""
@@ -280,17 +241,6 @@ def seed_extraction(t: Tables):
     return t.supplier.select("s_suppkey", s.alias("seed"))
 
 
-@registry.add("""
-WITH d AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r, max(l_quantity) / 50 AS p FROM lineitem GROUP BY 1)
-SELECT l_suppkey, round(least(1.0, greatest(0.0, 0.50 * p + 0.20 * ln(1 + n) / ln(1 + (SELECT max(n) FROM d)) + 0.15 * least(1.0, 0.33 * r) + 0.15 * (CASE WHEN l_suppkey % 4 = 0 THEN 0.7 ELSE 0.4 END))), 6)::DOUBLE AS score FROM d
-""")
-def composite_score(t: Tables):
-    d = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("r"), (F.max("l_quantity") / 50).alias("p"))
-    top = d.agg(F.max("n").alias("m"))
-    s = 0.50 * F.col("p") + 0.20 * F.log1p("n") / F.log1p("m") + 0.15 * F.least(F.lit(1.0), 0.33 * F.col("r")) + 0.15 * F.when(F.col("l_suppkey") % 4 == 0, 0.7).otherwise(0.4)
-    return d.crossJoin(F.broadcast(top)).select("l_suppkey", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), s)), 6).alias("score"))
-
-
 @registry.add(f"""
 WITH w AS (SELECT source, lang, doc_id, unnest(list_distinct({_TOKEN_SQL})) AS term FROM documents), q AS (SELECT * FROM w WHERE list_contains(['the','and','licensed','under','version','that','die','les'], term)),
 f AS (SELECT source, term, min(doc_id) AS first FROM q GROUP BY ALL), r AS (SELECT source, first, row_number() OVER (PARTITION BY source ORDER BY first, term) AS n FROM f)
@@ -327,19 +277,6 @@ def joint_context_compute(t: Tables):
     return x.select("difficulty", "ctx", cost.alias("cost"), risk.alias("risk")).groupBy("difficulty").agg(F.coalesce(F.min_by("ctx", F.when(F.col("risk") <= 0.10, F.col("cost"))), F.min_by("ctx", "cost")).alias("ctx"))
 
 
-@registry.add("""
-WITH s AS (SELECT o_orderkey, (o_orderkey % 10) / 10::DOUBLE AS conf, (o_orderkey % 7) / 7::DOUBLE AS risk FROM orders), a AS (SELECT o_orderkey, unnest(['answer', 'retrieve', 'verify', 'escalate']) AS action, unnest([0.0, 0.25 * (1 - conf), 0.5 * risk, 0.4 * (1 - conf) + 0.3 * risk]) AS gain, unnest([0.0, 0.05, 0.10, 0.20]) AS cost FROM s)
-SELECT o_orderkey, arg_max(action, (round(gain - cost, 9), action)) AS action, round(max(gain - cost), 6)::DOUBLE AS voi FROM a GROUP BY o_orderkey
-""")
-def best_action(t: Tables):
-    """The action of the largest value of information, less its cost."""
-    k = F.col("o_orderkey")
-    conf, risk = (k % 10) / F.lit(10.0), (k % 7) / F.lit(7.0)
-    row = lambda n, g, c: F.struct(F.round(g - c, 9).alias("voi"), F.lit(n).alias("action"))
-    a = F.array(row("answer", F.lit(0.0), 0.0), row("retrieve", 0.25 * (1 - conf), 0.05), row("verify", 0.5 * risk, 0.10), row("escalate", 0.4 * (1 - conf) + 0.3 * risk, 0.20))
-    return t.orders.select(k, F.array_max(a).alias("b")).select("o_orderkey", "b.action", F.round("b.voi", 6).alias("voi"))
-
-
 def _policy_rows(t: Tables):
     return _ranked(t).select("semantic", "lexical", "affinity", "auth", "re", "risk", (F.col("id") % 5 == 0).alias("relevant"))
 
