@@ -229,3 +229,23 @@ def stability(queries: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     union = F.col("n1") + F.col("n2") - F.col("both")
     mean = p.groupBy("family").agg(F.avg(F.when(union > 0, F.col("both") / union).otherwise(1.0)).alias("psi"))
     return q.groupBy("family").agg(F.count("*").alias("queries")).join(mean, "family", "left").fillna({"psi": 1.0})
+
+
+_EXT = "go|py|ts|tsx|js|jsx|java|rs|rb|kt|swift|c|cc|cpp|h|hpp"
+#: What a query asks for, by the first rule that its text meets; then three words are lexical and fewer conceptual.
+QUERY_CLASSES = (
+    ("path", rf"(?i)[\w.-]+(?:/[\w.-]+)*/[\w.-]+\.(?:{_EXT})(?:\W|$)"),
+    ("file", rf"(?i)(?:^|[^\w/])[\w-]+\.(?:{_EXT})(?:\W|$)"),
+    ("qualified_symbol", r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*){2,}"),
+    ("relation", r"(?i)(?:^|\W)(?:calls?|callers?|callees?|imports?|depends?|implements?|references?|uses)(?:\W|$)"),
+    ("symbol", r"(?:^|\W)[A-Z]\w*[a-z]\w*[A-Z]\w*"),
+    ("identifier", r"(?:^|\W)[a-z][a-z0-9]*(?:_[a-z0-9]+)+(?:\W|$)"),
+    ("lexical", r"\S\s+\S+\s+\S"),
+)
+
+
+def query_class(text: Column) -> Column:
+    """One of eight classes; a null or blank query is conceptual."""
+    text = F.coalesce(text, F.lit(""))
+    out = reduce(lambda a, r: a.when(text.rlike(r[1]), r[0]), QUERY_CLASSES[1:], F.when(text.rlike(QUERY_CLASSES[0][1]), QUERY_CLASSES[0][0]))
+    return out.otherwise("conceptual")

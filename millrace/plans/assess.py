@@ -215,3 +215,11 @@ def dependency_hash(t: Tables):
     n = _nodes(t).select("id", "path")
     d = _edges(t).join(n.select(F.col("id").alias("src"), "path"), "src").join(n.select(F.col("id").alias("dst"), F.col("path").alias("dep")), "dst").where("path <> dep").select("path", "dep").distinct()
     return d.groupBy("path").agg(F.count("*").alias("deps"), F.sha2(F.array_join(F.array_sort(F.collect_list("dep")), "|"), 256).alias("hash"))
+
+
+@registry.add("WITH q AS (SELECT 'page' AS origin, page_id AS id, regexp_replace(coalesce(url, ''), '^[a-z]+://', '') AS text FROM pages UNION ALL SELECT 'item', item_id, coalesce(text, '') FROM benchmark UNION ALL SELECT 'part', p_partkey, coalesce(p_type, '') FROM part) SELECT origin, id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in A.QUERY_CLASSES) + " ELSE 'conceptual' END AS class FROM q")
+def query_class(t: Tables):
+    """What each page's address, item and kind of part asks for, read as a query."""
+    q = lambda df, origin, id_, text: df.select(F.lit(origin).alias("origin"), F.col(id_).alias("id"), A.query_class(text).alias("class"))
+    pages = q(t.pages, "page", "page_id", F.regexp_replace("url", "^[a-z]+://", ""))
+    return pages.unionByName(q(t.benchmark, "item", "item_id", F.col("text"))).unionByName(q(t.part, "part", "p_partkey", F.col("p_type")))

@@ -143,3 +143,9 @@ def test_pagerank_ends_when_ranks_rest(spark):
     assert short == pytest.approx(long)
     with pytest.raises(ValueError):
         G.personalised_pagerank(n, e, s, tolerance=0.1)
+
+
+def test_query_classes(spark):
+    rows = ["internal/store/db.go", "open db.py now", "store.Db.Open", "what calls HandlePlan?", "HandlePlan", "attach_policy", "how is it done", "why so", "", None]
+    got = [r["c"] for r in spark.createDataFrame([(x,) for x in rows], "q string").select(A.query_class(F.col("q")).alias("c")).collect()]
+    assert got == ["path", "file", "qualified_symbol", "relation", "symbol", "identifier", "lexical", "conceptual", "conceptual", "conceptual"]
