@@ -42,17 +42,18 @@ def greedy(items: Column, budget: Column | int) -> Column:
     return F.aggregate(items, start, step)
 
 
-def _folded(kept: DataFrame, group: str, budget: int) -> DataFrame:
-    """group, _items (in order of density, those that could be chosen), _fold of the greedy."""
-    items = F.array_sort(F.collect_list(F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))))
-    rows = fitting(kept.where("tokens > 0"), [group], budget, F.desc("density"), F.col("id"))
-    # a group whose items are all too large still has a row
-    rows = kept.select(group).distinct().join(rows.groupBy(group).agg(items.alias("_items")), group, "left")
-    return rows.withColumn("_items", F.coalesce("_items", F.array().cast(rows.schema["_items"].dataType))).withColumn("_fold", greedy(F.col("_items"), budget))
+def _folded(kept: DataFrame, group: str, budget: int, *more: Column) -> DataFrame:
+    """group, _items (in order of density, those that could be chosen: see `fitting`), further aggregates, _fold of the greedy.
+    One pass over the candidates, as they are costly to make; a group whose items are all too large keeps its row."""
+    order = Window.partitionBy(group, "tokens").orderBy(F.desc("density"), "id")
+    rows = kept.withColumn("_r", F.row_number().over(order))
+    item = F.struct((-F.col("density")).alias("o"), F.col("id").cast("long").alias("id"), F.col("tokens").cast("long").alias("tokens"), F.col("score").cast("double").alias("score"))
+    items = F.array_sort(F.collect_list(F.when((F.col("tokens") > 0) & (F.col("_r") * F.col("tokens") <= budget), item)))  # nulls are left out
+    return rows.groupBy(group).agg(items.alias("_items"), *more).withColumn("_fold", greedy(F.col("_items"), budget))
 
 
 def greedy_pack(cands: DataFrame, group: str, budget: int) -> DataFrame:
-    """group, spent, chosen, score of a density greedy. cands: group (not null), id, tokens, score, density (null: rejected)."""
+    """group, spent, chosen, score of a density greedy. cands: group, id, tokens, score, density (null: rejected)."""
     return _folded(cands.where("density is not null"), group, budget).select(group, "_fold.spent", "_fold.chosen", "_fold.score")
 
 
@@ -61,7 +62,7 @@ def singleton_rescue(cands: DataFrame, group: str, budget: int, fill: bool = Fal
     budget that item leaves is filled by density (after the greedy itself nothing that is left fits)."""
     kept = cands.where("density is not null")
     best = F.max(F.when((F.col("tokens") > 0) & (F.col("tokens") <= budget), F.struct(F.col("score").cast("double").alias("score"), (-F.col("id")).cast("long").alias("neg"), F.col("tokens").cast("long").alias("tokens"))))
-    rows = _folded(kept, group, budget).join(kept.groupBy(group).agg(best.alias("_best")), group)
+    rows = _folded(kept, group, budget, best.alias("_best"))
     rescue = F.coalesce(F.col("_best.score") > F.col("_fold.score"), F.lit(False))
     one = F.struct(F.col("_best.tokens").alias("spent"), F.array(-F.col("_best.neg")).alias("chosen"), F.col("_best.score").alias("score"))
     if fill:
