@@ -78,7 +78,8 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DI
 
 OP6 = (
     r"""
-WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT rid, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g, least(5, len(w)) AS m FROM (SELECT rid, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 l AS MATERIALIZED (
@@ -91,5 +92,72 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c
 )
 
 
+_ASSIGN = """
+d{r} AS MATERIALIZED (SELECT rid, x.part, x, min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)) * 256 + e)::BIGINT AS m FROM x JOIN c{r} c USING (part) GROUP BY rid, x.part, x),
+"""
+_UPDATE = """
+s{r} AS (SELECT part, e, list(s ORDER BY pos) AS m FROM (
+  SELECT part, m % 256 AS e, pos, floor(sum(x[pos]) / count(*)) AS s FROM d{r}, range(1, len(x) + 1) t(pos) GROUP BY ALL) GROUP BY ALL),
+c{n} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m, c) AS c FROM c{r} c LEFT JOIN s{r} USING (part, e)),
+"""
+
+#: For vectors of one length that four divides.
+OP11 = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM v, range(4) t(part)),
+c0 AS (SELECT part, rid - 1 AS e, x AS c FROM x WHERE rid <= 256),"""
+    + "".join(_ASSIGN.format(r=r) + _UPDATE.format(r=r, n=r + 1) for r in range(4))
+    + _ASSIGN.format(r=4)
+    + """
+k AS (SELECT rid, string_agg(printf('%02x', m % 256), '' ORDER BY part) AS code, sum(m // 256)::BIGINT AS error FROM d4 GROUP BY rid),
+b AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY part, e)) AS h FROM c4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN k USING (rid), b
+"""
+)
+
+
+def _crc_table() -> list[int]:
+    """The table of the checksum by its rule: eight steps of the reflected polynomial 0xEDB88320 for each byte."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+OP12 = (
+    """
+WITH RECURSIVE t AS (SELECT """
+    + str(_crc_table())
+    + """::BIGINT[] AS crc),
+r AS (
+  SELECT id, run, count(*) AS c FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL),
+y AS (SELECT run, c, flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [(192 + unicode(ch) // 64)::BIGINT, (128 + unicode(ch) % 64)::BIGINT] END)) AS bytes FROM r),
+h AS (SELECT run, c, xor(list_reduce(bytes, lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM y, t),
+n AS MATERIALIZED (
+  SELECT w AS word, sum(c)::BIGINT AS n FROM (SELECT c, CASE WHEN h % 97 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS w FROM h)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(c) >= 3),
+g AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM n)),
+p AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, n.word, n.n FROM g JOIN n ON n.word = g.rest
+  UNION SELECT n.word, g.word, g.n FROM g JOIN n ON n.word = g.rest),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m FROM p GROUP BY word),
+f AS MATERIALIZED (
+  SELECT n.word, n.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN b.m >= 2 * n.n THEN b.m END AS form_n,
+    CASE WHEN b.m >= 2 * n.n THEN (SELECT min(other) FROM p WHERE p.word = n.word AND p.m = b.m) END AS form
+  FROM n LEFT JOIN b USING (word)),
+w AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT w.word, f.form, step + 1 FROM w JOIN f ON f.word = w.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM w GROUP BY word) USING (word)
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1, "op2_decontaminate": OP2, "op5_embeddings": OP5, "op6_jaccard": OP6}
+    return {"op1_secrets": OP1, "op2_decontaminate": OP2, "op5_embeddings": OP5, "op6_jaccard": OP6, "op11_codes": OP11, "op12_spelling": OP12}

@@ -25,6 +25,12 @@ from millrace.llm.jaccard import near_duplicates
 
 from millrace.llm.embeddings import near_vectors
 
+from millrace.llm.codes import books_hash, compress, with_label_errors
+
+from millrace.llm.spelling import count_words, group_variants
+
+from millrace.llm.neighbours import nearest
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,8 +104,25 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = compress(_read(spark, sf_dir, "embeddings"))
+    got = with_label_errors(codes)
+    return got.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_hash(books)).alias("codebooks_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(_read(spark, sf_dir, "documents")))
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {
+        "op11_codes": op11_codes,
+        "op12_spelling": op12_spelling,
+        "op13_neighbours": op13_neighbours,
         "op5_embeddings": op5_embeddings,
         "op6_jaccard": op6_jaccard,
         "op4_html": op4_html,
