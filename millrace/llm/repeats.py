@@ -414,7 +414,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = spans[0]
     for more in spans[1:]:
         found = found.unionByName(more)
-    per = found.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).select(F.col("k").alias("k0"), F.col("h").alias("h0"), "spans")
+    # rows equal in id and text have the same spans: a set, so that they are gathered (and joined to each such row) once
+    per = found.groupBy("k", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select(F.col("k").alias("k0"), F.col("h").alias("h0"), "spans")
     rows = src.join(per, src["k"].eqNullSafe(per["k0"]) & (src["h"] == per["h0"]), "left").select("k", "h", "t", "spans")
     kind = src.schema["k"].dataType.simpleString()
     out = rows.mapInArrow(_cut_out, f"k {kind}, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -31,12 +31,49 @@ def test_html_parts():
         ('<body><div class="site-header">Logo</div><div id="page-footer">end</div><article><p>x</p><div class="related-posts">more</div><div class="comment-list">hi</div><div class="share-buttons">s</div></article>', "x"),
         ("<div>" * 300 + '<article><header><h1>deep</h1></header>' + "<div>" * 100 + "<p>text</p>" + "</div>" * 400, "deep text"),
         ("<article><p>" + "<b>" * 50 + "bold<p>next</article>", "bold next"),
+        ('<article><p>One</p><section id="discussion"><h2>Discussion</h2><p>Two</p></section></article>', "One Discussion Two"),
+        ('<article><p title="a hidden gem">One</p><p class="teaser">Two</p><div class="alert"><p>Three</p></div><h2 class="widget">Four</h2><p class="banner">Five</p></article>', "One Two Three Four Five"),
+        ('<body><div class="content"><div class="content-header"><h1>Title</h1></div><p>Body text here</p></div></body>', "Title Body text here"),
+        ('<body><div><div class="page-header"><h1>Title</h1></div><p>Body text here</p></div></body>', "Title Body text here"),
+        ('<body><div class="page-header">Site</div><div><h1>Title</h1><p>Body text here</p></div></body>', "Title Body text here"),
+        ("<article><p>x</p>" + "".join(f'<div class="{c}">buy <b>now</b></div>' for c in ("ad-300x250", "google-ad", "ad-leaderboard", "dfp-ad-unit", "adsbygoogle", "user-comments", "usercomments")) + "<div hidden>no</div><div aria-hidden='true'>no</div><p>y</p></article>", "x y"),
+        ("<article><p>a<textarea>x<p>b</article>", "a"),
     ],
 )
 def test_html_keeps_content(page, text):
     assert html.extract(page)[0] == text
 
 
+def test_html_long_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<" + "a" * 1_000_000 + "<b>x", "<p " + "a=" * 500_000 + ">x", "<p " + 'a="' * 300_000, "<!" + "x" * 1_000_000, "<select>" * 20_000 + "x", "<p>" + "<" * 300_000 + "x", "<p " + "a " * 500_000 + ">x"):
+        html.extract(page)
+    assert time.perf_counter() - start < 20
+
+
+@pytest.mark.parametrize("bound", [100, 0])
+def test_html_of_generated_hosts(spark, bound):
+    """Known articles under templates of hosts: a name that may mark either is boilerplate on a host that repeats its text, and article elsewhere."""
+    import random
+
+    r = random.Random(3)
+    rows, want = [], {}
+    for i in range(120):
+        host = i % 4
+        paras = [words(r.randrange(5, 40), i * 31 + j) for j in range(r.randrange(2, 6))]
+        box = words(12, 7000 + (i if host < 2 else host))  # hosts 2 and 3 show one text on all pages
+        links = "".join(f'<a href="/{j}">{words(2, j)}</a>' for j in range(8))
+        mid = f'<div class="{("teaser", "alert widget", "banner", "promo")[host]}"><p>{box}</p></div>'
+        body = f'<h1>Title {i}</h1><p>{paras[0]}</p>{mid}' + "".join(f"<p>{p}</p>" for p in paras[1:]) + f'<div class="recommended">{links}</div><div class="ad ad-{i}x{i}">{words(9, i)}</div><div class="comment-list">{words(30, i + 1)}</div>'
+        shell = ('<div class="content p{i}">{b}</div>', "<article>{b}</article>", '<main><div class="entry">{b}</div></main>', "<table><tr><td>{b}</td></tr></table>")[host]
+        rows.append((i, f"http://h{host}.example/{i}", f'<body><div class="site-header">Site</div><nav>{links}</nav>' + shell.format(i=i, b=body) + '<div class="sidebar"><p>' + words(60, 1) + "</p></div><footer>f</footer></body>"))
+        want[i] = " ".join([f"Title {i}", paras[0], *([box] if host < 2 else []), *paras[1:]])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x["page_id"]: x["text"] for x in html.extract_pages(pages, broadcast_hosts=bound).collect()} == want
+
+
 def test_html_votes_equal_a_plain_count(spark):
     import random
     from collections import Counter

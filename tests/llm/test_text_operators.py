@@ -120,6 +120,17 @@ def test_refine_is_exact():
     assert (repeats.refine(data, valid) == want).all()
 
 
+def test_spans_of_many_repeated_rows_are_gathered_once(spark):
+    from pyspark.sql import functions as F
+
+    text = words(900, 77) + "q" * 900
+    rows = docs(spark, [text]).select("*", F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("again")).drop("again").unionByName(docs(spark, [words(300, 5)]).withColumn("doc_id", F.lit(7).cast("long")))
+    got = {tuple(r) for r in repeats.remove_repeats(rows).collect() if r["doc_id"] == 0}
+    n = len(text.encode())
+    assert got == {(0, n, n, 1, hashlib.sha256(b"").hexdigest())}
+    assert repeats.remove_repeats(rows).where("doc_id = 0").count() == 2000
+
+
 def test_repeats_of_repeated_rows_and_empty(spark):
     t = words(150, 14, 10**6)
     rows = spark.createDataFrame([(1, t), (1, t), (None, t), (2, None)], "doc_id long, text string")
