@@ -96,7 +96,7 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
 def group_variants(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """word, form, root, n, n_near, form_n of words (word, n; distinct, no nulls)."""
     words = table(words.select("word", "n"), "words")
-    pairs = near_pairs(words, block)
+    pairs = table(near_pairs(words, block), "pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n"))
     both = both.unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
