@@ -98,7 +98,7 @@ def lazy_greedy(rows: list[tuple], budget: int, penalty: float = 0.35) -> list[i
     """As submodular, but gains are only brought up to date when they come to the top of a heap."""
     import heapq
 
-    heap = [(-score / n, i, 0) for i, (_, n, score, *_) in enumerate(rows) if 0 < n <= budget]
+    heap = [(-score / n, i, 0) for i, (_, n, score, *_) in enumerate(rows) if 0 < n <= budget and score > 0]
     heapq.heapify(heap)
     chosen, spent = [], 0
     while heap:

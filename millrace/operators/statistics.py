@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import global_rank
+
 
 def ir_metrics(ranked: DataFrame, by: str, k: int) -> DataFrame:
     """ranked: by, place (1-based), relevant (boolean), for whole rankings. recall@k, mrr, ndcg@k, map per group."""
@@ -55,11 +59,11 @@ def order_statistic(values: str, place: Column) -> Column:
 
 
 def conformal_cutoff(df: DataFrame, score: str, alpha: float) -> DataFrame:
-    """The value of rank ceil((n + 1) alpha), by a window over ranks rather than a gathered array."""
-    ranked = df.select(F.col(score).alias("s")).withColumn("r", F.row_number().over(Window.orderBy("s")))
-    n = df.agg(F.count(score).alias("n"))
-    at = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil((F.col("n") + 1) * alpha)))
-    return ranked.crossJoin(F.broadcast(n)).where(F.col("r") == at).select(F.col("s").alias("cutoff"))
+    """The value of rank ceil((n + 1) alpha), by ranks over ranges: no task holds all rows."""
+    scores = df.select(F.col(score).alias("s"))
+    n = scores.where("s is not null").count()
+    at = min(n, max(1, math.ceil(round((n + 1) * alpha, 9))))
+    return global_rank(scores.where("s is not null"), "r", F.col("s")).where(F.col("r") == at).select(F.col("s").alias("cutoff"))
 
 
 def cliffs_delta(d: Column) -> Column:
@@ -113,25 +117,49 @@ def pareto(points: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     return points.join(free, [*up, *down], "left").withColumn("dominated", F.col("_free").isNull()).drop("_free")
 
 
-def bootstrap_interval(values: DataFrame, value: str, resamples: int = 200, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """lower, upper of the mean: each resample weighs every row by a hashed Poisson(1) number, so rows are read once and nothing is drawn by index."""
-    v = values.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("i"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "i", "b"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-    n = F.lit(0)
-    for c in cdf:
-        n = n + (F.col("u") > c).cast("int")
-    each = v.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("u", u).withColumn("n", n)
-    means = each.groupBy("b").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
+def _draws(values: DataFrame, value: str, key: str | None) -> DataFrame:
+    """v, h: values that are not null, with a hash of the row's key; without a key, of the value and its number among equal ones. No hash depends on the layout."""
+    v = values.where(F.col(value).isNotNull())
+    if key is not None:
+        return v.select(F.col(value).cast("double").alias("v"), F.xxhash64(key).alias("h"))
+    equal = v.groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    return equal.select("v", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("i")).select("v", F.xxhash64("v", "i").alias("h"))
+
+
+def _repeats(draws: DataFrame, repeats: int, seed: int, weigh) -> DataFrame:
+    """b, s, n: for each repeat the weighted sum of values and the sum of weights; a task gives a row for each repeat, however many rows it reads."""
+    seeds = np.random.default_rng(seed).integers(0, 1 << 63, repeats, dtype=np.uint64)
+
+    def run(batches):
+        s, n, seen = np.zeros(repeats), np.zeros(repeats), False
+        for batch in batches:
+            v, h = batch.column("v").to_numpy(), batch.column("h").to_numpy().view(np.uint64)
+            seen = seen or len(v) > 0
+            for b, x in enumerate(seeds):
+                z = h ^ x  # spread the bits: multiply and shift
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = weigh((z ^ (z >> np.uint64(31))) >> np.uint64(11))
+                s[b] += w @ v
+                n[b] += w.sum()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(repeats, dtype=np.int32)), pa.array(s), pa.array(n)], names=["b", "s", "n"])
+
+    return draws.mapInArrow(run, "b int, s double, n double").groupBy("b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def bootstrap_interval(values: DataFrame, value: str, resamples: int = 200, confidence: float = 0.95, seed: int = 42, key: str | None = None) -> DataFrame:
+    """lower, upper of the mean: each resample weighs every row by a hashed Poisson(1) number. Rows are read once; which
+    tasks read them does not matter (sums of doubles may differ in their last digits)."""
+    cdf = np.cumsum([math.exp(-1) / math.factorial(j) for j in range(12)])
+    means = _repeats(_draws(values, value, key), resamples, seed, lambda x: np.searchsorted(cdf, x / float(1 << 53)).astype(float)).select((F.col("s") / F.nullif("n", F.lit(0.0))).alias("m"))
     lo, hi = math.floor((1 - confidence) / 2 * resamples), min(resamples - 1, math.ceil((1 + confidence) / 2 * resamples))
     return means.agg(order_statistic("m", F.lit(lo)).alias("lower"), order_statistic("m", F.lit(hi)).alias("upper"))
 
 
-def permutation_p(values: DataFrame, value: str, permutations: int = 200, seed: int = 42) -> DataFrame:
+def permutation_p(values: DataFrame, value: str, permutations: int = 200, seed: int = 42, key: str | None = None) -> DataFrame:
     """p of |mean| under random signs, signs by hash."""
-    v = values.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("i"))
-    each = v.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "i", "b"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    null = each.groupBy("b").agg(F.abs(F.sum(sign * F.col("v"))).alias("s"))
-    seen = v.agg(F.abs(F.sum("v")).alias("o"))
-    return null.crossJoin(F.broadcast(seen)).agg((F.count_if(F.col("s") >= F.col("o") - 1e-9) / F.count("*")).alias("p"))
+    draws = _draws(values, value, key)
+    null = _repeats(draws, permutations, seed, lambda x: np.where(x & np.uint64(1), 1.0, -1.0))
+    seen = draws.agg(F.abs(F.sum("v")).alias("o"))
+    return null.crossJoin(F.broadcast(seen)).agg((F.count_if(F.abs("s") >= F.col("o") - 1e-9) / F.count("*")).alias("p"))
\ No newline at end of file

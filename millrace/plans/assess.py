@@ -153,7 +153,7 @@ av AS (SELECT task, 'stop' AS action, 0 AS f, 0::DOUBLE AS voi FROM st2
  UNION ALL SELECT task, 'verify', -3, round(least(0.99, conf + 0.05) - conf - 0.035 - 0.05 * 0.8 + 2 * risk * 0.75, 9) FROM st2 WHERE coverage >= 0.65 AND risk > 0.10
  UNION ALL SELECT task, 'escalate', -4, round(least(0.99, conf + 0.30 * difficulty) - conf - 0.25 - 0.05 * 4.0 + 2 * risk * 0.6, 9) FROM st2 WHERE difficulty > 0.60),
 bs AS (SELECT task, max(voi) AS voi, arg_max(action, (voi, f)) AS action FROM av GROUP BY task)
-SELECT task, round(conf, 6) AS confidence, round(risk, 6) AS risk, action, round(voi, 6) AS voi, CASE WHEN risk <= 0.05 AND coverage >= 0.85 AND voi <= 0 THEN 'target' WHEN voi <= 0 AND conf >= 0.7 THEN 'returns' END AS stop FROM st2 JOIN bs USING (task)""")
+SELECT task, floor(conf * 1e6 + 0.5) / 1e6 AS confidence, floor(risk * 1e6 + 0.5) / 1e6 AS risk, action, floor(voi * 1e6 + 0.5) / 1e6 AS voi, CASE WHEN risk <= 0.05 AND coverage >= 0.85 AND voi <= 0 THEN 'target' WHEN voi <= 0 AND conf >= 0.7 THEN 'returns' END AS stop FROM st2 JOIN bs USING (task)""")
 def best_action(t: Tables):
     """Calibrated confidence and risk of each task, the action worth most, and why a loop would stop."""
     c = F.col
@@ -162,7 +162,9 @@ def best_action(t: Tables):
     s = s.withColumn("risk", A.residual_risk(c("confidence"), c("p.risk")))
     s = s.withColumn("a", A.best_action(c("confidence"), c("risk"), c("coverage"), c("p.difficulty"), F.lit(_DOLLARS), F.lit(_TOKENS), F.lit(_HIT), F.lit(_PENALTY)))
     stop = A.stop_reason(F.lit(0), F.lit(_DOLLARS), c("risk"), c("coverage"), c("confidence"), c("a.voi"))
-    return s.select("task", F.round("confidence", 6).alias("confidence"), F.round("risk", 6).alias("risk"), "a.action", F.round("a.voi", 6).alias("voi"), stop.alias("stop"))
+    # halves go up by arithmetic, the same in any engine: round() of a number already rounded may go either way
+    six = lambda x: F.floor(c(x) * 1e6 + 0.5) / 1e6
+    return s.select("task", six("confidence").alias("confidence"), six("risk").alias("risk"), "a.action", six("a.voi").alias("voi"), stop.alias("stop"))
 
 
 def _asked(task):

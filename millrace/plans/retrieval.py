@@ -165,14 +165,14 @@ def frontier_expansion(t: Tables):
 
 
 @registry.add(f"""WITH rq AS (SELECT item_id, unnest(list_filter(list_distinct({_TOK}), lambda x: length(x) > 3)) AS need FROM benchmark),
-d AS (SELECT DISTINCT unnest(list_distinct({_TOK})) AS need, contains(lower(text), 'licensed') AS conflict FROM documents WHERE source = 'src1'),
+d AS (SELECT DISTINCT unnest(list_distinct({_TOK})) AS need, contains(lower(text), 'licensed') AS conflict FROM documents),
 aq AS (SELECT item_id, need, conflict FROM rq JOIN d USING (need)), ok AS (SELECT DISTINCT item_id, need FROM aq WHERE NOT conflict),
 c AS (SELECT rq.item_id, sum(length(rq.need))::DOUBLE AS w, coalesce(sum(length(rq.need)) FILTER (ok.need IS NOT NULL), 0)::DOUBLE AS s, count(*) FILTER (ok.need IS NULL) AS missing FROM rq LEFT JOIN ok ON ok.item_id = rq.item_id AND ok.need = rq.need GROUP BY rq.item_id)
 SELECT c.item_id AS key, round(s / w, 6) AS coverage, missing, round(coalesce(f, 0), 6)::DOUBLE AS conflict FROM c LEFT JOIN (SELECT item_id, avg(conflict::INT) AS f FROM aq GROUP BY item_id) USING (item_id)""")
 def weighted_coverage(t: Tables):
-    """What one source's documents meet of the terms of each item, weighed by length; licensed ones are in conflict."""
+    """What the documents meet of the terms of each item, weighed by length; licensed ones are in conflict."""
     need = t.benchmark.select(F.col("item_id").alias("key"), F.explode(F.filter(T.tokens(F.col("text")), lambda x: F.length(x) > 3)).alias("need")).withColumn("weight", F.length("need"))
-    d = t.documents.where("source = 'src1'").select(F.explode(T.tokens(F.col("text"))).alias("need"), F.lower("text").contains("licensed").alias("conflict")).distinct()
+    d = t.documents.select(F.explode(T.tokens(F.col("text"))).alias("need"), F.lower("text").contains("licensed").alias("conflict")).distinct()
     got = V.weighted_coverage(need, need.join(d, "need").select("key", "need", "weight", "conflict"))
     return got.select("key", F.round("coverage", 6).alias("coverage"), "missing", F.round("conflict", 6).alias("conflict"))
 

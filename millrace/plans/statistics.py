@@ -93,13 +93,13 @@ def paired_delta(t: Tables):
 @registry.add()
 def bootstrap_ci(t: Tables):
     """Rows only: resamples are hashed draws."""
-    return S.bootstrap_interval(t.orders.select("o_totalprice"), "o_totalprice", 200)
+    return S.bootstrap_interval(t.orders, "o_totalprice", 200, key="o_orderkey")
 
 
 @registry.add()
 def permutation_test(t: Tables):
-    d = t.supplier.select((F.col("s_acctbal") - 4500.0).alias("d"))
-    return S.permutation_p(d, "d", 200)
+    d = t.supplier.select("s_suppkey", (F.col("s_acctbal") - 4500.0).alias("d"))
+    return S.permutation_p(d, "d", 200, key="s_suppkey")
 
 
 @registry.add("""

@@ -172,6 +172,48 @@ def test_symbols_by_keyword(spark):
     assert got == [(i + 1, k, n) for i, (k, n) in enumerate(zip(kinds, want, strict=True))]
 
 
+def test_symbols_of_languages(spark):
+    files = [
+        ("a.go", "func (s *Store[T]) Load(x int) {\nclass No {\nfunc Map[T any](x T)\ntype S interface {"),
+        ("b.py", "async def go(x):\nclass K(Base):\nfunction no(x) {\ndef nothing"),
+        ("c.rs", "pub(crate) async fn run<T>(x: T) {\npub struct Point {\nimpl Trait for X\nlet fn_ = 1;"),
+        ("d.rb", "def each\nmodule Tools\nend"),
+        ("e.kt", "private sealed interface Shape\nrecord Pair(int a)\npublic int size() {"),
+        ("f.ts", "export default class App {\nexport enum Color {\ndeclare function f<T>(x: T)\nfunction () {"),
+        (None, None),
+        ("g.md", ""),
+    ]
+    d = spark.createDataFrame(files, "p string, t string")
+    got = sorted((r["path"], r["line"], r["kind"], r["name"]) for r in evidence.symbols(d, "p", "t").collect())
+    assert got == [
+        ("a.go", 1, "function", "Load"), ("a.go", 3, "function", "Map"), ("a.go", 4, "type", "S"), ("b.py", 1, "function", "go"), ("b.py", 2, "class", "K"),
+        ("c.rs", 1, "function", "run"), ("c.rs", 2, "type", "Point"), ("d.rb", 1, "function", "each"), ("d.rb", 2, "type", "Tools"),
+        ("e.kt", 1, "type", "Shape"), ("e.kt", 2, "type", "Pair"), ("f.ts", 1, "class", "App"), ("f.ts", 2, "type", "Color"), ("f.ts", 3, "function", "f"),
+    ]
+
+
+def test_draws_do_not_depend_on_the_layout(spark):
+    rows = [(i, float((i * 7919) % 101)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "k long, x double")
+    for f in (statistics.bootstrap_interval, statistics.permutation_p):
+        for key in ("k", None):
+            a, b = (f(d.repartition(n, "x"), "x", 60, key=key).collect()[0] for n in (1, 5))
+            assert [round(v, 9) for v in a] == [round(v, 9) for v in b]
+
+
+def test_lazy_greedy_equals_the_eager_form():
+    import random
+
+    from millrace.operators import packing
+
+    r = random.Random(1)
+    for _ in range(500):
+        rows = [(i, r.randrange(0, 9), r.choice([-1.0, 0.0, 0.5, 1.0, 2.5, 3.0]), frozenset(r.sample("abcdefgh", r.randrange(5)))) for i in range(r.randrange(1, 9))]
+        budget = r.randrange(1, 30)
+        lazy, eager = packing.lazy_greedy(rows, budget), packing.submodular(rows, budget)
+        assert lazy == eager
+
+
 def test_token_classes(spark):
     from millrace.functions import text as T
 
