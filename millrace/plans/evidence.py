@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+from millrace.operators import claims as claim_operators
 from millrace.operators import evidence as E
+from millrace.operators import mentions as mention_operators
+from millrace.plans.text import _TOK
 from millrace.registry import Registry, Tables
 
 registry = Registry()
@@ -166,3 +170,45 @@ def normalise_events(t: Tables):
 
     e = normalise(t.events, "props", {"key": ["session", "k"]})
     return e.select("event_id", "key", F.when(F.col("event_type") == "error", "failure").otherwise("observation").alias("kind"))
+
+
+_ROUNDS = 8  # of the statement below: chains of claims that turn on each other are shorter in these tables
+
+
+def _resolved() -> str:
+    """CTEs k0.. of decided claims (id, kept): each round decides those whose earlier ones tell."""
+    out = "k0 AS MATERIALIZED (SELECT DISTINCT a AS id, true AS kept FROM pr WHERE a NOT IN (SELECT b FROM pr))"
+    for r in range(1, _ROUNDS):
+        out += f""", k{r} AS MATERIALIZED (SELECT * FROM k{r - 1} UNION ALL SELECT b, NOT coalesce(bool_or(kept), false) FROM pr LEFT JOIN k{r - 1} ON id = a WHERE b NOT IN (SELECT id FROM k{r - 1}) GROUP BY b HAVING coalesce(bool_or(kept), false) OR count(kept) = count(*))"""
+    return out
+
+
+@registry.add(f"""
+WITH c AS (SELECT coalesce(lang, '') AS scope, doc_id AS ord, source, n_chars, list_sort(list_distinct({_TOK})) AS w, lower(coalesce(text, '')) AS low FROM documents),
+f AS MATERIALIZED (SELECT *, min(ord) OVER (PARTITION BY scope, CASE WHEN len(w) > 0 THEN 'w ' || array_to_string(w, ' ') ELSE 't ' || low END) AS first FROM c),
+x AS MATERIALIZED (SELECT scope, ord, len(w) AS n, unnest(w) AS word FROM f WHERE first = ord),
+pr AS MATERIALIZED (SELECT a.ord AS a, b.ord AS b FROM x a JOIN x b ON a.scope = b.scope AND a.word = b.word AND a.ord < b.ord GROUP BY a.ord, b.ord HAVING count(*)::DOUBLE / max(a.n) > 0.85),
+{_resolved()},
+kp AS (SELECT b, min(a) AS keeper FROM pr JOIN k{_ROUNDS - 1} ON id = a AND kept GROUP BY b)
+SELECT scope, coalesce(keeper, first) AS ord, count(*) AS claims, count(DISTINCT source) AS evidence, max(n_chars) AS confidence FROM f LEFT JOIN kp ON b = first GROUP BY ALL
+""")
+def merged_claims(t: Tables):
+    """Documents as claims of their language, in order of their ids: those that an earlier one already makes join it."""
+    d = t.documents.select(F.col("lang").alias("scope"), F.col("doc_id").alias("ord"), F.col("text").alias("claim"), F.col("source").alias("evidence"), F.col("n_chars").alias("confidence"))
+    return claim_operators.merge(d)
+
+
+_WORDS_OF = "list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)"
+
+
+@registry.add(f"""
+WITH n AS (SELECT item_id, ' ' || array_to_string({_WORDS_OF.format(c='text')}[1:4], ' ') || ' ' AS name, len({_WORDS_OF.format(c='text')}[1:4]) AS size FROM benchmark),
+d AS (SELECT doc_id, ' ' || array_to_string({_WORDS_OF.format(c='text')}, ' ') || ' ' AS said, {_WORDS_OF.format(c='text')} AS w FROM documents),
+h AS (SELECT * FROM d JOIN n ON size > 0 AND contains(said, name))
+SELECT doc_id, item_id, len(list_filter(range(1, len(w) + 1), lambda i: ' ' || array_to_string(w[i:i + size - 1], ' ') || ' ' = name)) AS times FROM h
+""")
+def name_mentions(t: Tables):
+    """Which documents hold the first four words of which items, as whole words in a row."""
+    names = t.benchmark.select(F.col("item_id").alias("id"), F.array_join(F.slice(T.all_tokens(F.col("text")), 1, 4), " ").alias("name"))
+    got = mention_operators.mentions(t.documents.select(F.col("doc_id").alias("id"), "text"), names, drop_own=False)
+    return got.select(F.col("text_id").alias("doc_id"), F.col("name_id").alias("item_id"), "times")

@@ -7,7 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import expansion as X
 from millrace.operators import graph as G
+from millrace.operators import mentions as M
 from millrace.operators import packing as P
 from millrace.operators import ranking as R
 from millrace.operators import retrieval as V
@@ -354,3 +356,29 @@ def dependency_closure(t: Tables):
     """What a node depends on, along edges of given kinds only."""
     e = _edges(t).where(F.col("kind").isin("call", "import")).select("src", "dst").distinct()
     return G.closure(e, t.literal([(0,)], "id long"), 2)
+
+
+@registry.add()
+def bounded_expansion(t: Tables):
+    """Best-first expansion of every task from the three best of its retrieval, 30 nodes and 50 edges at most; held against a plain heap in tests."""
+    degree = _edges(t).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.least(F.lit(1.0), F.count("*") / 100).alias("centrality"))
+    seeds = _hybrid(t).where("place <= 3").select("task", "id", "score").join(degree, "id", "left")
+    edges = _edges(t).select("src", "dst", V.edge_weight(F.col("kind")).alias("weight"), "kind")
+    got = X.best_first(seeds, edges, cost=0.05)
+    return got.select("task", "id", F.round("score", 9).alias("score"), "place", "ended")
+
+
+_SAID = "' ' || array_to_string(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2), ' ') || ' '"
+
+
+@registry.add(_HYBRID + f""", cq AS (SELECT hy.task, hy.id, path, CASE WHEN revision > 40 THEN 'decision' WHEN revision < 5 THEN 'failure' ELSE 'code' END AS kind, ends_with(path, '_test.go') AS test, {_SAID.format(c='name')} AS called, {_SAID.format(c="name || ' ' || content")} AS said FROM hy JOIN n USING (id) WHERE place <= 10),
+tq AS (SELECT a.task, a.id AS a, b.id AS b, CASE WHEN (a.kind = 'decision' AND b.kind = 'code') OR (b.kind = 'decision' AND a.kind = 'code') THEN 'decision+source' WHEN (a.kind = 'decision' AND b.kind = 'failure') OR (b.kind = 'decision' AND a.kind = 'failure') THEN 'failure+fix'
+ WHEN a.test <> b.test THEN 'source+test' WHEN (trim(b.called) <> '' AND contains(a.said, b.called)) OR (trim(a.called) <> '' AND contains(b.said, a.called)) THEN 'caller+callee' END AS type FROM cq a JOIN cq b ON a.task = b.task AND a.id < b.id)
+SELECT * FROM tq WHERE type IS NOT NULL""")
+def typed_pairs(t: Tables):
+    """What the first ten results of each task are to each other: sources and tests, and those whose text names another."""
+    n = _nodes(t)
+    first = _hybrid(t).where("place <= 10").select("task", "id").join(n, "id")
+    kind = F.when(F.col("revision") > 40, "decision").when(F.col("revision") < 5, "failure").otherwise("code")
+    cands = first.select("task", "id", kind.alias("kind"), "path", "name", F.concat_ws(" ", "name", "content").alias("text"))
+    return M.typed_pairs(cands, "task")

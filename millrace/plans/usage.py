@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.registry import Registry, Tables
+from millrace.streaming import sessions as session_operators
 
 registry = Registry()
 
@@ -227,6 +228,31 @@ def session_event_stats(t: Tables):
     return e.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.countDistinct(F.when(F.col("n") <= 50, F.col("model"))).alias("models"))
 
 
+_AGENT_EVENTS = """a AS (SELECT user_id AS repo, event_id, ts, CASE WHEN json_extract_string(props, '$.k')::INT < 10 THEN 'reviewer' ELSE 'coder' END AS agent,
+ CASE event_type WHEN 'signup' THEN 'userprompt' WHEN 'error' THEN 'toolfailure' WHEN 'purchase' THEN CASE WHEN value > 50 THEN 'sessionend' ELSE 'stop' END ELSE 'tooluse' END AS event_type, event_type AS tool, 'fact: ' || json_extract_string(props, '$.k') AS text FROM events)"""
+
+
+def _agent_events(t: Tables):
+    """The events read as those of an agent: a user is a repository, signups are prompts, errors failed tools, purchases stops (dear ones end the session)."""
+    kind = F.when(F.col("event_type") == "signup", "userprompt").when(F.col("event_type") == "error", "toolfailure").when((F.col("event_type") == "purchase") & (F.col("value") > 50), "sessionend").when(F.col("event_type") == "purchase", "stop").otherwise("tooluse")
+    k = F.get_json_object("props", "$.k")
+    return t.events.select(F.col("user_id").alias("repo"), "event_id", "ts", F.when(k.cast("int") < 10, "reviewer").otherwise("coder").alias("agent"), kind.alias("event_type"), F.col("event_type").alias("tool"), F.concat(F.lit("fact: "), k).alias("text"))
+
+
+@registry.add("WITH " + _AGENT_EVENTS + """,
+o AS (SELECT *, coalesce(lag(agent) OVER w <> agent OR lag(event_type) OVER w = 'sessionend', true) AS opened FROM a WINDOW w AS (PARTITION BY repo ORDER BY ts, event_id)),
+s AS (SELECT *, sum(opened::INT) OVER w AS session, min(CASE WHEN event_type = 'userprompt' THEN (ts, event_id, text) END) OVER w AS asked FROM o WINDOW w AS (PARTITION BY repo ORDER BY ts, event_id)),
+n AS (SELECT *, row_number() OVER w AS at, first_value(asked) OVER w AS work FROM s WINDOW w AS (PARTITION BY repo, session ORDER BY ts, event_id)),
+c AS (SELECT n.repo, n.text, min((x.ts, x.event_id)) AS first FROM n JOIN n x ON x.repo = n.repo AND x.session = n.session AND x.at >= n.at AND x.at - n.at < 50 AND x.event_type IN ('stop', 'sessionend') GROUP BY n.repo, n.text),
+k AS (SELECT repo, first[2] AS event_id, count(*) AS n FROM c GROUP BY ALL)
+SELECT repo::VARCHAR AS repo, n.event_id, session::INT AS session, opened, work[3] AS work_item, CASE event_type WHEN 'toolfailure' THEN 'failure' WHEN 'userprompt' THEN 'observation' END AS kind,
+ CASE event_type WHEN 'toolfailure' THEN tool || ' failed: ' || text WHEN 'userprompt' THEN 'User task: ' || text END AS content, coalesce(k.n, 0)::BIGINT AS consolidated FROM n LEFT JOIN k USING (repo, event_id)
+""")
+def session_ingest(t: Tables):
+    """Sessions, work items, memories and consolidations of all events: the batch form of the stateful stream."""
+    return session_operators.batch(_agent_events(t)).drop("ts")
+
+
 @registry.add("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_windows(t: Tables):
     e = t.events.withColumn("w", F.window("ts", "1 hour"))
