@@ -13,6 +13,7 @@ from millrace.operators import mentions as M
 from millrace.operators import packing as P
 from millrace.operators import ranking as R
 from millrace.operators import retrieval as V
+from millrace.operators import search as Q
 from millrace.plans.memories import _PACK, _RANKED, _pack_input, _top
 from millrace.plans.text import _BM25, _LIST, _TF, _TOK, TERMS
 from millrace.registry import Registry, Tables
@@ -382,3 +383,54 @@ def typed_pairs(t: Tables):
     kind = F.when(F.col("revision") > 40, "decision").when(F.col("revision") < 5, "failure").otherwise("code")
     cands = first.select("task", "id", kind.alias("kind"), "path", "name", F.concat_ws(" ", "name", "content").alias("text"))
     return M.typed_pairs(cands, "task")
+
+
+_LOOKUPS = f"""WITH {_N}, {_E}, g AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id),
+nd AS (SELECT n.id, replace(name, ' ', '_') AS name, path, name || ' ' || content AS text, coalesce(degree, 0) AS weight FROM n LEFT JOIN g ON g.id = n.id),
+qs AS (SELECT DISTINCT 'w ' || p_name AS query, p_name AS text FROM part UNION SELECT DISTINCT 's ' || p_type, replace(p_name, ' ', '_') || ' of ' || p_type FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_type)
+ UNION SELECT 'p ' || p_brand, 'see ' || min(path) || ' please' FROM part JOIN n ON n.id = p_partkey GROUP BY p_brand UNION SELECT 'e ' || r_name, '?! .' FROM region)"""
+
+
+def _lookups(t: Tables):
+    n, p = _nodes(t), t.part
+    name = F.regexp_replace("p_name", " ", "_")
+    least = p.groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey")).join(p.select("p_partkey", "p_name"), "p_partkey")
+    q = p.select(F.concat(F.lit("w "), "p_name").alias("query"), F.col("p_name").alias("text"))
+    q = q.unionByName(least.select(F.concat(F.lit("s "), "p_type").alias("query"), F.concat(name, F.lit(" of "), "p_type").alias("text")))
+    brands = p.join(n, F.col("id") == F.col("p_partkey")).groupBy("p_brand").agg(F.min("path").alias("path"))
+    q = q.unionByName(brands.select(F.concat(F.lit("p "), "p_brand").alias("query"), F.concat(F.lit("see "), "path", F.lit(" please")).alias("text")))
+    q = q.unionByName(t.region.select(F.concat(F.lit("e "), "r_name").alias("query"), F.lit("?! .").alias("text")))
+    degree = _edges(t).select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("weight"))
+    nodes = n.join(degree, "id", "left").select("id", F.regexp_replace("name", " ", "_").alias("name"), "path", F.concat_ws(" ", "name", "content").alias("text"), F.coalesce("weight", F.lit(0)).alias("weight"))
+    return q.distinct(), nodes
+
+
+_TIER = "t{k} AS MATERIALIZED (SELECT query, id, {k} AS tier FROM (SELECT x.query, x.id, x.weight, row_number() OVER (PARTITION BY x.query ORDER BY x.weight DESC, x.id) AS n, coalesce(c, 0) AS has FROM ({find}) x LEFT JOIN (SELECT query, count(*) AS c FROM h{k} GROUP BY query) c ON c.query = x.query WHERE coalesce(c, 0) < {full} AND NOT EXISTS (SELECT 1 FROM h{k} h WHERE h.query = x.query AND h.id = x.id)) WHERE n + has <= 12 AND n <= {most})"
+
+
+@registry.add(_LOOKUPS + """, tk AS (SELECT query, token, CASE WHEN contains(token, '/') THEN 'path' WHEN regexp_matches(token, '_|[0-9]|[a-z][A-Z]') THEN 'symbol' ELSE 'word' END AS class FROM (SELECT DISTINCT query, regexp_replace(unnest(regexp_split_to_array(text, '\\s+')), '^[^A-Za-z0-9_]+|[^A-Za-z0-9_]+$', '', 'g') AS token FROM qs) WHERE length(token) >= 2),
+ex AS (SELECT query, token, row_number() OVER (PARTITION BY query ORDER BY class <> 'symbol', length(token) DESC, token) AS spot FROM tk WHERE class <> 'path'),
+px AS (SELECT query, lower(token) AS token, row_number() OVER (PARTITION BY query ORDER BY class <> 'symbol', length(token) DESC, token) AS spot FROM tk WHERE class <> 'path' AND length(token) >= 3),
+wx AS (SELECT query, lower(token) AS token, row_number() OVER (PARTITION BY query ORDER BY length(token) DESC, token) AS spot FROM tk WHERE class = 'word' AND length(token) >= 3),
+h0 AS (SELECT '' AS query, -1 AS id WHERE false), """
++ _TIER.format(k=0, full=12, most=12, find="SELECT DISTINCT query, id, weight FROM tk JOIN nd ON nd.path = token OR lower(nd.name) = lower(string_split(token, '/')[-1]) WHERE class = 'path'") + ", h1 AS (SELECT query, id FROM t0), "
++ _TIER.format(k=1, full=12, most=12, find="SELECT DISTINCT query, id, weight FROM ex JOIN nd ON nd.name = token WHERE spot <= 16") + ", h2 AS (SELECT query, id FROM t0 UNION ALL SELECT query, id FROM t1), "
++ _TIER.format(k=2, full=12, most=12, find="SELECT DISTINCT query, id, weight FROM px JOIN nd ON starts_with(lower(nd.name), token) OR contains(lower(nd.path), '/' || token) WHERE spot <= 6") + ", h3 AS (SELECT query, id FROM h2 UNION ALL SELECT query, id FROM t2), "
++ _TIER.format(k=3, full=10, most=10, find="SELECT DISTINCT query, id, weight FROM wx JOIN nd ON contains(lower(nd.text), token) OR contains(lower(nd.path), token) WHERE spot <= 2")
++ """ SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3
+UNION ALL SELECT query, id, 4 FROM (SELECT DISTINCT query FROM qs WHERE query NOT IN (SELECT query FROM tk)), (SELECT id FROM nd ORDER BY weight DESC, id LIMIT 12)""")
+def cascaded_search(t: Tables):
+    """Names, kinds and files looked up among the nodes, twelve for each query, tier by tier while it is open."""
+    q, nodes = _lookups(t)
+    return Q.cascade(q, nodes, 12)
+
+
+@registry.add("""WITH q AS (SELECT item_id AS query, unnest(list_filter(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)), lambda x: length(x) >= 4)) AS word FROM benchmark),
+w AS MATERIALIZED (SELECT doc_id AS id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2))) AS term FROM documents),
+v AS (SELECT word, term FROM (SELECT DISTINCT word FROM q) JOIN (SELECT DISTINCT term FROM w) ON starts_with(term, word)), p AS (SELECT DISTINCT word, id FROM v JOIN w USING (term)),
+r AS (SELECT word, ln(1 + (SELECT count(*) FROM documents) / count(*)) AS rarity FROM p GROUP BY word), s AS (SELECT query, id, round(sum(rarity), 6) AS score FROM q JOIN p USING (word) JOIN r USING (word) GROUP BY ALL),
+b AS (SELECT query, id, score, true AS found FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id DESC) AS n FROM s) WHERE n <= 10)
+SELECT * FROM b UNION ALL SELECT item_id, d.doc_id, 0, false FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 10) d WHERE item_id NOT IN (SELECT query FROM b)""")
+def ranked_prefix_search(t: Tables):
+    """The ten best documents for each item by the words that its words begin; the latest ones where there is none."""
+    return Q.prefix_search(t.benchmark.select(F.col("item_id").alias("query"), "text"), t.documents.select(F.col("doc_id").alias("id"), "text"))
