@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.work import table
 
 #: Words that raise the risk of a task, its ambiguity, scope and depth, with what each group adds.
 RISK = ((("auth", "security", "permission"), 0.4), (("race", "deadlock", "concurrency"), 0.4), (("delete", "drop", "migrate"), 0.3))
@@ -136,6 +137,50 @@ def layers() -> Column:
     return F.struct(F.round(composite, 6).alias("composite"), failure.isNull().alias("sufficient"), failure.alias("failure"))
 
 
+def ladder(tasks: DataFrame, evidence: DataFrame, required: DataFrame, claims: DataFrame, enough: float = ENOUGH) -> DataFrame:
+    """The least prefix of each task's evidence that suffices: contexts nested in order of place, each judged by `layers`.
+
+    evidence: task, id, place (1.. in order), path, text, tokens, conflict, stale; required and claims as for `contract`.
+    A row for each task with evidence: rung (the first whose layers suffice with a composite of `enough`, else the last),
+    rungs, tokens of it, compression (all tokens by these), composite, sufficient, minimality (the share of the rung's
+    pieces that cannot be left out without a lower composite or losing sufficiency).
+
+    Nothing is judged again from the start: what a rung covers is a running sum over the places where each path, claim,
+    conflict or stale piece first appears, and what a piece alone covers is what has one provider up to the rung.
+    """
+    e = evidence.select("task", "id", "place", F.lower("path").alias("path"), "text", "tokens", "conflict", "stale")
+    paths = required.select("task", F.lower("path").alias("path")).distinct()
+    wants = claims.select("task", "claim").distinct().withColumn("w", T.tokens(F.col("claim")))
+    words = wants.select("task", "claim", F.size("w").alias("n"), F.explode("w").alias("term"))
+    held = e.select("task", "place", F.explode(T.tokens(F.col("text"))).alias("term"))
+    meets = words.join(held, ["task", "term"]).groupBy("task", "claim", "place").agg((F.count("*") / F.max("n")).alias("o")).where("o >= 0.5").select("task", F.concat(F.lit("c "), "claim").alias("what"), "place")
+    has = paths.join(e.select("task", "path", "place"), ["task", "path"]).select("task", F.concat(F.lit("p "), "path").alias("what"), "place").distinct()
+    gives = table(meets.unionByName(has), "gives")  # task, what (a claim or path), place of each piece that provides it
+    first = gives.groupBy("task", "what").agg(F.min("place").alias("place"))
+    new = first.groupBy("task", "place").agg(F.count_if(F.col("what").startswith("c ")).alias("new_claims"), F.count_if(F.col("what").startswith("p ")).alias("new_paths"))
+    asked = tasks.select("task").distinct().join(paths.groupBy("task").agg(F.count("*").alias("required")), "task", "left").join(wants.groupBy("task").agg(F.count("*").alias("claims")), "task", "left").fillna({"required": 0, "claims": 0})
+    upto = Window.partitionBy("task").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rungs = e.join(new, ["task", "place"], "left").join(asked, "task").fillna({"new_claims": 0, "new_paths": 0})
+    run = lambda c: F.sum(c).over(upto)
+    rungs = rungs.select("task", "place", "required", "claims", F.count("*").over(upto).alias("evidence"), run("new_paths").alias("matched"), run("new_claims").alias("met"), run(F.col("conflict").cast("int")).alias("conflicts"), run(F.col("stale").cast("int")).alias("stales"), run("tokens").alias("tokens"))
+    judged = table(_judged(rungs).select("*", ((F.col("l.composite") >= enough) & F.col("l.sufficient")).alias("enough")), "rungs")
+    at = judged.groupBy("task").agg(F.coalesce(F.min(F.when(F.col("enough"), F.col("place"))), F.max("place")).alias("place"), F.count("*").alias("rungs"), F.max("tokens").alias("full"))
+    base = judged.join(at, ["task", "place"]).withColumnRenamed("place", "rung")
+    inside = gives.join(base.select("task", "rung"), "task").where("place <= rung")
+    alone = inside.groupBy("task", "what").agg(F.count("*").alias("c"), F.min("place").alias("place")).where("c = 1")
+    own = alone.groupBy("task", "place").agg(F.count_if(F.col("what").startswith("c ")).alias("own_claims"), F.count_if(F.col("what").startswith("p ")).alias("own_paths"))
+    less = base.withColumn("was", F.col("l")).drop("l").join(e.select("task", "place", "conflict", "stale"), "task").where("place <= rung").join(own, ["task", "place"], "left").fillna({"own_claims": 0, "own_paths": 0})
+    less = less.select("task", "required", "claims", "was", (F.col("evidence") - 1).alias("evidence"), (F.col("matched") - F.col("own_paths")).alias("matched"), (F.col("met") - F.col("own_claims")).alias("met"), (F.col("conflicts") - F.col("conflict").cast("int")).alias("conflicts"), (F.col("stales") - F.col("stale").cast("int")).alias("stales"))
+    needed = _judged(less).groupBy("task").agg(F.avg(((F.col("l.composite") < F.col("was.composite")) | ~F.col("l.sufficient")).cast("int")).alias("minimality"))
+    return base.join(needed, "task").select("task", "rung", "rungs", "tokens", F.when(F.col("tokens") > 0, F.col("full") / F.col("tokens")).otherwise(1.0).alias("compression"), "l.composite", "l.sufficient", "minimality")
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows with l: the layers of counts (evidence, required, matched, claims, met, conflicts, stales)."""
+    r = rows.withColumn("conflict", F.col("conflicts") > 0).withColumn("stale", F.col("stales") > 0).withColumn("missing", F.col("claims") - F.col("met"))
+    return r.withColumn("coverage", F.when(F.col("claims") > 0, F.col("met") / F.col("claims")).otherwise(1.0)).withColumn("l", layers()).drop("conflict", "stale", "missing", "coverage")
+
+
 def calibrated(confidence: Column, difficulty: Column, coverage: Column, conflict: Column) -> Column:
     """Confidence less what is not covered, in conflict or hard, shrunk by a quarter towards one half."""
     c = confidence - 0.40 * (1 - coverage) - 0.35 * conflict - 0.20 * difficulty

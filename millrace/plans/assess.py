@@ -225,3 +225,37 @@ def query_class(t: Tables):
     q = lambda df, origin, id_, text: df.select(F.lit(origin).alias("origin"), F.col(id_).alias("id"), A.query_class(text).alias("class"))
     pages = q(t.pages, "page", "page_id", F.regexp_replace("url", "^[a-z]+://", ""))
     return pages.unionByName(q(t.benchmark, "item", "item_id", F.col("text"))).unionByName(q(t.part, "part", "p_partkey", F.col("p_type")))
+
+
+_COMPOSITE = "CASE WHEN ev = 0 OR (required > 0 AND matched = 0) THEN 0 ELSE 0.15 + 0.25 * coverage + 0.20 * CASE WHEN required > 0 THEN matched::DOUBLE / required ELSE 1 END + 0.15 * (conflicts = 0)::INT + 0.10 * (stales = 0)::INT + 0.15 * (met = claims AND coverage >= 0.8)::INT END::DOUBLE"
+_FINE = "NOT (ev = 0 OR (required > 0 AND matched = 0)) AND stales = 0 AND conflicts = 0 AND coverage >= 0.8 AND (required = 0 OR matched >= 0.8 * required) AND met = claims"
+
+
+def _subset(name: str, source: str, keys: str) -> str:
+    """CTEs that judge the pieces of each group of `source` (task, keys.., place) anew."""
+    return f"""{name}a AS (SELECT {keys}, count(*) AS ev, sum(conflict::INT) AS conflicts, sum(stale::INT) AS stales, sum(tokens) AS tokens FROM {source} JOIN pc USING (task, place) GROUP BY ALL),
+{name}b AS (SELECT {keys}, count(DISTINCT what) FILTER (what[1:1] = 'c') AS met, count(DISTINCT what) FILTER (what[1:1] = 'p') AS matched FROM {source} JOIN gv USING (task, place) GROUP BY ALL),
+{name} AS (SELECT *, round({_COMPOSITE}, 6) AS composite, {_FINE} AS fine FROM (SELECT a.*, coalesce(met, 0) AS met, coalesce(matched, 0) AS matched, coalesce(required, 0) AS required, coalesce(claims, 0) AS claims, CASE WHEN coalesce(claims, 0) > 0 THEN coalesce(met, 0)::DOUBLE / claims ELSE 1 END AS coverage
+ FROM {name}a a LEFT JOIN {name}b USING ({keys}) LEFT JOIN wr USING (task) LEFT JOIN wc USING (task)))"""
+
+
+@registry.add(_CONTRACT + f""",
+pc AS MATERIALIZED (SELECT hy.task, hy.place, n.path, n.name || ' ' || n.content AS text, contains(n.content, '{CONFLICT}') AS conflict, n.revision < {STALE} AS stale, 10 + length(n.name) AS tokens FROM hy JOIN n USING (id) WHERE hy.place <= 20),
+wr AS (SELECT task, count(DISTINCT path) AS required FROM rq GROUP BY task), wc AS (SELECT task, count(*) AS claims FROM cs GROUP BY task),
+ph AS (SELECT task, place, unnest({_BAG.format('text')}) AS term FROM pc),
+gv AS MATERIALIZED (SELECT task, 'c ' || claim AS what, place FROM (SELECT task, claim, place, count(*)::DOUBLE / max(n) AS o FROM cw JOIN ph USING (task, term) GROUP BY ALL) WHERE o >= 0.5 UNION ALL SELECT DISTINCT rq.task, 'p ' || rq.path, place FROM rq JOIN pc ON pc.task = rq.task AND pc.path = rq.path),
+rs AS (SELECT a.task, a.place AS rung, b.place FROM pc a JOIN pc b ON a.task = b.task AND b.place <= a.place), {_subset('rg', 'rs', 'task, rung')},
+mr AS (SELECT task, coalesce(min(rung) FILTER (fine AND composite >= 0.8), max(rung)) AS rung, count(*) AS rungs, max(tokens) AS full_ FROM rg GROUP BY task),
+rl AS (SELECT mr.task, o.place AS leave, b.place FROM mr JOIN pc o ON o.task = mr.task AND o.place <= mr.rung JOIN pc b ON b.task = mr.task AND b.place <= mr.rung AND b.place <> o.place), {_subset('lo', 'rl', 'task, leave')},
+mn AS (SELECT mr.task, avg((coalesce(lo.composite, 0) < g.composite OR NOT coalesce(lo.fine, false))::INT) AS minimality FROM mr JOIN rg g USING (task, rung) JOIN pc o ON o.task = mr.task AND o.place <= mr.rung LEFT JOIN lo ON lo.task = mr.task AND lo.leave = o.place GROUP BY mr.task)
+SELECT task, rung, rungs, rg.tokens::BIGINT AS tokens, round(CASE WHEN rg.tokens > 0 THEN full_::DOUBLE / rg.tokens ELSE 1 END, 6)::DOUBLE AS compression, composite, fine AS sufficient, round(minimality, 6)::DOUBLE AS minimality FROM mr JOIN rg USING (task, rung) JOIN mn USING (task)""")
+def contract_ladder(t: Tables):
+    """The least prefix of what retrieval finds for each task that meets its contract, and what of it could be left out."""
+    n = _nodes(t)
+    got = _hybrid(t).select("task", "id", "place").join(n, "id")
+    ev = got.select("task", "id", "place", "path", F.concat_ws(" ", "name", "content").alias("text"), (10 + F.length("name")).alias("tokens"), F.col("content").contains(CONFLICT).alias("conflict"), (F.col("revision") < STALE).alias("stale"))
+    target = n.join(_tasks(t), F.col("name") == F.col("task")).groupBy("task").agg(F.max("id").alias("src"))
+    calls = _edges(t).where("kind = 'call'").select("src", F.col("dst").alias("id"))
+    rq = target.join(calls, "src").join(n.select("id", "path", F.col("name").alias("claim")), "id")
+    out = A.ladder(_tasks(t), ev, rq.select("task", "path"), rq.select("task", "claim"))
+    return out.select("task", "rung", "rungs", "tokens", F.round("compression", 6).alias("compression"), "composite", "sufficient", F.round("minimality", 6).alias("minimality"))

@@ -149,3 +149,48 @@ def test_query_classes(spark):
     rows = ["internal/store/db.go", "open db.py now", "store.Db.Open", "what calls HandlePlan?", "HandlePlan", "attach_policy", "how is it done", "why so", "", None]
     got = [r["c"] for r in spark.createDataFrame([(x,) for x in rows], "q string").select(A.query_class(F.col("q")).alias("c")).collect()]
     assert got == ["path", "file", "qualified_symbol", "relation", "symbol", "identifier", "lexical", "conceptual", "conceptual", "conceptual"]
+
+
+def test_ladder_equals_judging_every_prefix(spark):
+    """Each prefix, and each prefix less one piece, is judged from the start by `contract` and `layers`."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from millrace.operators import assess
+
+    r = random.Random(5)
+    ev, req, cl = [], [], []
+    for t in range(12):
+        names = [f"p{t}_{i}" for i in range(4)]
+        req += [(f"t{t}", f"F/{n}.go") for n in r.sample(names, r.randrange(0, 3))]
+        cl += [(f"t{t}", f"alpha{n} beta{n}") for n in r.sample(names, r.randrange(0, 4))]
+        for place in range(1, r.randrange(2, 7)):
+            n = r.choice(names)
+            ev.append((f"t{t}", place, place, f"f/{n}.go", " ".join(r.sample([f"alpha{x} beta{x}" for x in names], 2)), r.randrange(0, 30), r.random() < 0.05, r.random() < 0.05))
+    E = "task string, id long, place int, path string, text string, tokens int, conflict boolean, stale boolean"
+    tasks = spark.createDataFrame([(f"t{t}",) for t in range(13)], "task string")
+    required, claims = spark.createDataFrame(req, "task string, path string"), spark.createDataFrame(cl, "task string, claim string")
+    sets = []  # (task, rung, left out, piece)
+    for t in {e[0] for e in ev}:
+        mine = [e for e in ev if e[0] == t]
+        for rung in range(1, len(mine) + 1):
+            for out in range(rung + 1):
+                sets += [(f"{t}|{rung}|{out}", *e[1:]) for e in mine if e[2] <= rung and e[2] != out]
+    names = sorted({s[0] for s in sets} | {f"{e[0]}|1|1" for e in ev})
+    many = spark.createDataFrame([(n, n.split("|")[0]) for n in names], "name string, task string")
+    again = lambda df: df.join(many, "task").drop("task").withColumnRenamed("name", "task")
+    judged = assess.contract(many.select(F.col("name").alias("task")), spark.createDataFrame(sets, E), again(required), again(claims)).select("task", assess.layers().alias("l")).select("task", "l.*")
+    got = {tuple(x["task"].split("|")): (x["composite"], x["sufficient"]) for x in judged.collect()}
+    want = {}
+    for t in {e[0] for e in ev}:
+        mine = sorted(e for e in ev if e[0] == t)
+        n = len(mine)
+        rung = next((k for k in range(1, n + 1) if got[t, str(k), "0"][1] and got[t, str(k), "0"][0] >= 0.8), n)
+        base = got[t, str(rung), "0"]
+        need = sum(got[t, str(rung), str(k)][0] < base[0] or not got[t, str(rung), str(k)][1] for k in range(1, rung + 1))
+        tokens, full = sum(e[5] for e in mine[:rung]), sum(e[5] for e in mine)
+        want[t] = (rung, n, tokens, round(full / tokens if tokens else 1.0, 9), *base, round(need / rung, 9))
+    rows = assess.ladder(tasks, spark.createDataFrame(ev, E), required, claims).collect()
+    assert {x["task"]: (x["rung"], x["rungs"], x["tokens"], round(x["compression"], 9), x["composite"], x["sufficient"], round(x["minimality"], 9)) for x in rows} == want
+    assert any(x["sufficient"] for x in rows) and not all(x["sufficient"] for x in rows)
