@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions.embedding import bag_vector, embedding, positional_vector
+from millrace.operators import asks as K
 from millrace.operators import packing as P
 from millrace.plans.memories import _RANKED, _ranked, _top
 from millrace.registry import Registry, Tables
@@ -319,3 +320,50 @@ def prefix_token_search(t: Tables):
 
     hit = F.exists(tokens(F.col("text")), lambda x: x.startswith("licen") | x.startswith("vers") | x.startswith("onedas"))
     return t.documents.where(hit).select("doc_id")
+
+
+def _said(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_STEM = "CASE WHEN ends_with(low, 'ies') THEN low[:-4] || 'y' WHEN ends_with(low, 's') AND length(low) > 3 THEN low[:-2] ELSE low END"
+_ASKS = f"""WITH q AS (SELECT 'page ' || page_id AS query, regexp_replace(url, '^[a-z]+://', '') AS text FROM pages UNION ALL SELECT 'item ' || item_id, text FROM benchmark UNION ALL SELECT 'turn ' || conv_id || ' ' || turn, text FROM conversations WHERE role = 'user'),
+tk AS (SELECT query, regexp_extract_all(coalesce(text, ''), '{K.TOKEN}') AS w FROM q), ps AS (SELECT query, w, unnest(range(len(w))) AS spot FROM tk),
+lo AS (SELECT query, spot, w[spot + 1] AS token, lower(w[spot + 1]) AS low, coalesce(spot > 0 AND (lower(w[spot]) IN ({_said(K.EXCLUDING)}) OR (lower(w[spot]) IN ({_said(K.ARTICLES)}) AND spot > 1 AND lower(w[spot - 1]) IN ({_said(K.EXCLUDING)}))), false) AS negated FROM ps),
+kd AS (SELECT *, CASE WHEN low IN ({_said(K.NEGATIONS)}) THEN 'negation' WHEN regexp_matches(token, '{K.PATH}') THEN 'path' WHEN regexp_matches(token, '{K.ACRONYM}') THEN 'entity' WHEN regexp_matches(token, '{K.SYMBOL}') THEN 'symbol'
+ WHEN {_STEM} IN ({_said(K.ACTIONS)}) THEN 'action' WHEN {_STEM} IN ({_said(K.ARTIFACTS)}) THEN 'artifact' WHEN regexp_matches(token, '[_-]') THEN 'identifier' WHEN length(token) >= 4 THEN 'concept' END AS kind FROM lo),
+sp AS (SELECT query, spot, token, kind, round(CASE WHEN negated THEN 0 WHEN kind = 'concept' THEN 0.4 * least(1.0, length(token) / 8) {" ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in K.SALIENCE.items() if k != "concept")} END, 6)::DOUBLE AS salience, negated FROM kd WHERE kind IS NOT NULL)"""
+
+
+def _asks(t: Tables):
+    """Addresses of pages, items and what users say in conversations, read as queries."""
+    q = lambda df, name, text: df.select(name.alias("query"), text.alias("text"))
+    pages = q(t.pages, F.concat(F.lit("page "), F.col("page_id").cast("string")), F.regexp_replace("url", "^[a-z]+://", ""))
+    items = q(t.benchmark, F.concat(F.lit("item "), F.col("item_id").cast("string")), F.col("text"))
+    turns = q(t.conversations.where("role = 'user'"), F.concat_ws(" ", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.col("text"))
+    return pages.unionByName(items).unionByName(turns)
+
+
+@registry.add(_ASKS + " SELECT query, spot::INT AS \"at\", token, kind, salience, negated FROM sp")
+def query_spans(t: Tables):
+    """Typed spans of every query with their salience and negation."""
+    return K.spans(_asks(t))
+
+
+_INTENT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in words) + f" THEN '{name}'" for name, words in K.INTENTS[:-1]) + " ELSE 'lookup' END"
+_OF = "coalesce(list(token ORDER BY spot) FILTER (kind = '{k}' AND NOT negated), [])"
+
+
+@registry.add(_ASKS + f""", f AS (SELECT query, token, kind, negated, min(spot) AS spot, max(salience) AS salience FROM sp GROUP BY ALL),
+a AS (SELECT query, {", ".join(f"{_OF.format(k=k)} AS {k}s" for k in ("path", "symbol", "identifier", "action"))}, coalesce(list(token ORDER BY spot) FILTER (negated), []) AS exclusions, coalesce(list(token ORDER BY salience DESC, spot) FILTER (kind IN ('entity', 'symbol', 'identifier', 'concept') AND NOT negated), [])[1:10] AS entities, round(sum(salience), 6) AS salience FROM f GROUP BY query)
+SELECT query, {_INTENT} AS intent, {", ".join(f"array_to_string(coalesce({c}, []), ',') AS {c}" for c in ("paths", "symbols", "identifiers", "actions", "exclusions", "entities"))}, coalesce(salience, 0) AS salience FROM q LEFT JOIN a USING (query)""")
+def query_contracts(t: Tables):
+    """Intent and contract of every query, from its spans."""
+    c = K.contracts(_asks(t))
+    return c.select("query", "intent", *[F.array_join(x, ",").alias(x) for x in ("paths", "symbols", "identifiers", "actions", "exclusions", "entities")], "salience")
+
+
+@registry.add(_ASKS + f""", i AS (SELECT query, {_INTENT} AS intent FROM q), p AS (SELECT * FROM (VALUES {", ".join(f"('{k}', " + ", ".join(f"{x}::DOUBLE" for x in v[:7]) + f", {v[7]}, {v[8]}::DOUBLE)" for k, v in K.PROFILES.items())}) AS v(intent, {", ".join(K.CHANNELS)}, authority, depth, floor)) SELECT * FROM i JOIN p USING (intent)""")
+def intent_routing(t: Tables):
+    """The channel weights, authority, depth and floor that each query's intent asks for: all seven profiles."""
+    return K.route(K.contracts(_asks(t)).select("query", "intent"))

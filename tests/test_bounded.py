@@ -133,3 +133,20 @@ def test_best_first_equals_a_heap(spark, limits):
 
 def test_best_first_of_no_task(spark):
     assert expansion.best_first(spark.createDataFrame([], "task string, id long, score double, centrality double"), spark.createDataFrame([(1, 2, 1.0, "a")], "src long, dst long, weight double, kind string")).count() == 0
+
+
+def test_spans_and_contract_of_a_query(spark):
+    from millrace.operators import asks
+
+    rows = [("a", "Trace calls from pkg/io/load.go to LoadFile and v2 without the sqlite cache_layer, then fix policies for DRMC"), ("b", None), ("c", "why no tests?"), ("d", "compare fooBar with a.b.c")]
+    q = spark.createDataFrame(rows, "query string, text string")
+    got = {(r["query"], r["token"]): (r["kind"], r["salience"], r["negated"]) for r in asks.spans(q).collect()}
+    assert got["a", "pkg/io/load.go"] == ("path", 1.0, False) and got["a", "LoadFile"] == ("symbol", 0.9, False) and got["a", "v2"][0] == "symbol"
+    assert got["a", "Trace"][0] == "action" and got["a", "calls"][0] == "action" and got["a", "without"] == ("negation", 0.0, False) and got["a", "sqlite"] == ("concept", 0.0, True)
+    assert got["a", "cache_layer"] == ("identifier", 0.8, False) and got["a", "policies"][0] == "artifact" and got["a", "DRMC"] == ("entity", 1.0, False) and ("a", "to") not in got
+    assert got["c", "tests"] == ("artifact", 0.0, True) and got["d", "a.b.c"][0] == "symbol"
+    c = {r["query"]: r for r in asks.contracts(q).collect()}
+    assert [c[k]["intent"] for k in "abcd"] == ["trace", "lookup", "debug", "comparison"]
+    assert c["a"]["paths"] == ["pkg/io/load.go"] and c["a"]["exclusions"] == ["sqlite"] and c["a"]["entities"][:2] == ["DRMC", "LoadFile"] and c["b"]["entities"] == [] and c["b"]["salience"] == 0
+    assert {r["query"]: r["depth"] for r in asks.route(asks.contracts(q)).collect()} == {"a": 3, "b": 1, "c": 2, "d": 1}
+    assert all(abs(sum(p[:6]) - 1) < 1e-9 for p in asks.PROFILES.values())
