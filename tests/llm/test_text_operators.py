@@ -247,6 +247,67 @@ def test_pieces_change_nothing():
         assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
 
 
+def test_ftrl_equals_a_plain_loop():
+    """The updates coordinate by coordinate, in the same order of rows."""
+    import math
+    import random
+
+    r = random.Random(2)
+    rows = []
+    for _ in range(80):
+        idx = sorted(r.sample(range(300), r.randrange(0, 12)))
+        rows.append((np.array(idx, np.int64), np.array([r.random() * 3 for _ in idx]), float(r.random() < 0.4)))
+    z, n = {}, {}
+    bias = 1 << quality.BITS
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= quality.L1 else -(zi - math.copysign(quality.L1, zi)) / ((quality.BETA + math.sqrt(n.get(i, 0.0))) / quality.ALPHA + quality.L2)
+
+    for epoch in range(3):
+        for at in np.random.default_rng(epoch).permutation(len(rows)):
+            idx, val, y = rows[at]
+            x = dict(zip(idx.tolist(), val.tolist(), strict=True)) | {bias: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, before = (p - y) * v, n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / quality.ALPHA * w[i]
+    got = quality.ftrl(rows, 3)
+    want = np.zeros(len(got))
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-12) and (want != 0).sum() > 50
+
+
+def test_features_count_words_and_pairs():
+    """Slots are hashes; which words and pairs share one, and how often, is not."""
+    text = "The cat the CAT sat. the cat"
+    slots, valid, rows = quality.features(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    w = text.lower().split()
+    assert rows.tolist() == [0, len(w)]
+    for kind, k in ((0, 1), (1, 2)):
+        grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        got = slots[kind][valid[kind]].tolist()
+        assert len(got) == len(grams) and all((got[i] == got[j]) == (grams[i] == grams[j]) for i in range(len(got)) for j in range(len(got)))
+
+
+def test_quality_of_odd_rows(spark):
+    texts = [None, "", words(60_000, 1), *["good plain words here " * 5] * 4, *["x9 !! $$ %% " * 9] * 4, *[words(30, i) for i in range(40)]]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(len(texts))] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    d = docs(spark, texts)
+    twice = d.unionByName(d.limit(9)).unionByName(d.limit(1).selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "n_chars"))
+    got = quality.classify(clash(twice), labels).collect()
+    assert len(got) == len(texts) + 10 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in by.values()) and by[None] == by[0]
+    assert {r["held_out"] for r in got if r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0} == {True}
+    assert quality.classify(docs(spark, []), labels).count() == 0
+
+
 def test_quality(spark):
     good, bad = [words(60, i, 3000) for i in range(60)], [" ".join(f"{w}%%%" for w in words(60, 100 + i, 3000).split()) for i in range(40)]
     texts = good + bad + ["", None]
