@@ -178,9 +178,9 @@ def by_utility(rows: list[tuple], budget: int, utility) -> list[int]:
     return [c[0] for c in chosen]
 
 
-def noisy_or(items: Column, budget: int, target: float = 0.85, floor: int = 200) -> Column:
+def noisy_or(items: Column, budget: int, target: float = 0.85, floor: int = 200, ids: str = "bigint") -> Column:
     """items in order of value per token: array<struct<.., id, tokens, score>>. Takes what fits until the chance that
-    all are wrong, each by 1 - 0.8 score, is under 1 - target. Struct<spent, chosen, wrong, done>."""
+    all are wrong, each by 1 - 0.8 score, is under 1 - target. Struct<spent, chosen, wrong, done>; ids: the type of an id."""
 
     def step(a, x):
         n = F.greatest(F.lit(1), x["tokens"]).cast("long")
@@ -188,7 +188,7 @@ def noisy_or(items: Column, budget: int, target: float = 0.85, floor: int = 200)
         spent, wrong = F.when(take, a["spent"] + n).otherwise(a["spent"]), F.when(take, a["wrong"] * (1 - x["score"] * 0.8)).otherwise(a["wrong"])
         return F.struct(spent.alias("spent"), F.when(take, F.concat(a["chosen"], F.array(x["id"]))).otherwise(a["chosen"]).alias("chosen"), wrong.alias("wrong"), (a["done"] | (take & (1 - wrong >= target) & (spent >= floor))).alias("done"))
 
-    zero = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("chosen"), F.lit(1.0).alias("wrong"), F.lit(False).alias("done"))
+    zero = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<{ids}>").alias("chosen"), F.lit(1.0).alias("wrong"), F.lit(False).alias("done"))
     return F.aggregate(items, zero, step)
 
 
