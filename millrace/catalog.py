@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.plans import assess, evidence, graphs, memories, relational, retrieval, scope, selection, statistics, text, usage
+from millrace.plans import assess, changes, evidence, graphs, memories, relational, retrieval, scope, selection, statistics, text, usage
 
 FLAGSHIP = "bm25_topk"
-MODULES = (text, memories, graphs, statistics, usage, evidence, relational, selection, retrieval, scope, assess)
+MODULES = (text, memories, graphs, statistics, usage, evidence, relational, selection, retrieval, scope, changes, assess)
 
 
 def queries() -> dict:

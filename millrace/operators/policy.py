@@ -9,6 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Risks from which a level of verification is asked, dollars that the model-based levels 3 and 4 need, the
+#: spending of a task and its share for verification, and calls to tools beyond those that are expected.
+LEVELS = (0.15, 0.40, 0.70)
+CHEAP_CHECK, STRONG_CHECK = 0.005, 0.050
+MOST_DOLLARS, RESERVE, SPARE_CALLS = 2.00, 0.20, 5
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model that a task may go to: the hardest difficulty it is trusted with, dollars for a million tokens in and out."""
+
+    name: str
+    capability: float
+    dollars_in: float
+    dollars_out: float
+
+
 @dataclass(frozen=True)
 class Policy:
     semantic: float = 1.15
@@ -80,3 +97,30 @@ def minimum_evidence(rows: list[tuple], needed: frozenset, budget: int, coverage
             break
     least = [r for r in chosen if not enough([c for c in chosen if c is not r])]
     return [r[0] for r in (least if least and enough(least) else chosen)]
+
+
+def verification_level(risk: Column, bypass: Column, dollars: Column) -> Column:
+    """0 deterministic, 2 consistency of evidence, 3 a cheap model, 4 a strong one: by risk, no dearer than what is left."""
+    cheap = F.when(dollars >= CHEAP_CHECK, 3).otherwise(2)
+    low, middle, high = LEVELS
+    return F.when(bypass | (risk < low), 0).when(risk < middle, 2).when(risk < high, cheap).when(dollars >= STRONG_CHECK, 4).otherwise(cheap)
+
+
+def compute_plan(profile: Column, tokens: Column, models: list[Model], answer: int = 500) -> Column:
+    """Struct model, dollars, calls, left, level: how a task of this profile (of assess.task_profile) and so many tokens of
+    context is worked on. The cheapest model that is trusted with its difficulty, else the most capable; no model for class
+    T0. `left` is what the budget keeps for verification: its reserve, or less where the work is dear. Models are a few
+    values of a request and stand in the expression, so nothing is joined."""
+    if not models:
+        raise ValueError("no models")
+    order = sorted(models, key=lambda m: (m.dollars_in + m.dollars_out, m.name))
+    most = max(order, key=lambda m: m.capability)
+    row = lambda m: F.struct(F.lit(m.name).alias("name"), F.lit(float(m.capability)).alias("capability"), F.lit(float(m.dollars_in)).alias("in"), F.lit(float(m.dollars_out)).alias("out"))
+    fit = F.filter(F.array(*[row(m) for m in order]), lambda x: x["capability"] >= profile["difficulty"])
+    bypass = profile["class"] == "T0"
+    m = F.when(F.size(fit) > 0, F.get(fit, F.lit(0))).otherwise(row(most))
+    dollars = F.when(bypass, 0.0).otherwise(F.round((tokens * m["in"] + answer * m["out"]) / 1e6, 9))
+    left = F.round(F.greatest(F.lit(0.0), F.least(F.lit(MOST_DOLLARS * RESERVE), MOST_DOLLARS - dollars)), 9)
+    calls = F.when(bypass, 0).otherwise(profile["calls"] + SPARE_CALLS)
+    level = verification_level(profile["risk"], bypass, left)
+    return F.struct(F.when(~bypass, m["name"]).alias("model"), dollars.alias("dollars"), calls.alias("calls"), left.alias("left"), level.alias("level"))

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import estimate_tokens
 from millrace.operators import assess as A
 from millrace.operators import evidence as E
 from millrace.operators import packing as P
+from millrace.operators import policy
 from millrace.plans.memories import _PACK, _RANKED, _pack_input, _ranked
 from millrace.plans.retrieval import _BAG, _E, _HYBRID, _N, _edges, _hybrid, _nodes, _tasks
 from millrace.plans.text import _WORDS
@@ -46,6 +48,24 @@ def task_profile(t: Tables):
     return t.conversations.select("conv_id", "turn", A.task_profile(F.col("text")).alias("p")).select("conv_id", "turn", "p.*")
 
 
+#: Models of a request: name, difficulty they are trusted with, dollars for a million tokens in and out.
+MODELS = [policy.Model("large", 0.9, 3.0, 15.0), policy.Model("small", 0.3, 0.25, 1.25), policy.Model("local", 0.24, 0.0, 0.0)]
+_BY_PRICE = sorted(MODELS, key=lambda m: m.dollars_in + m.dollars_out)
+_MODEL_SQL = "CASE WHEN class = 'T0' THEN NULL " + " ".join(f"WHEN difficulty <= {m.capability} THEN {{{i}}}" for i, m in enumerate(_BY_PRICE)) + f" ELSE {{{len(_BY_PRICE)}}} END"
+_COSTLY = max(_BY_PRICE, key=lambda m: m.capability)
+_DOLLARS = [f"round((toks * {m.dollars_in} + 500 * {m.dollars_out}) / 1e6, 9)" for m in [*_BY_PRICE, _COSTLY]]
+
+
+@registry.add(f"""WITH x AS (SELECT conv_id, turn, row_number() OVER () AS key, text, CASE WHEN len({_WORDS}) = 0 THEN 1 ELSE floor(len({_WORDS}) * 1.3 + 0.999) END::BIGINT AS toks FROM conversations), {_profile_sql('x')},
+j AS (SELECT x.conv_id, x.turn, class, round(pf.risk, 6) AS risk, {_MODEL_SQL.format(*[f"'{m.name}'" for m in [*_BY_PRICE, _COSTLY]])} AS model, coalesce({_MODEL_SQL.format(*_DOLLARS)}, 0)::DOUBLE AS dollars, CASE WHEN class = 'T0' THEN 0 ELSE calls + {policy.SPARE_CALLS} END AS calls FROM pf JOIN x USING (key)),
+b AS (SELECT *, round(greatest(0, least({policy.MOST_DOLLARS * policy.RESERVE}, {policy.MOST_DOLLARS} - dollars)), 9)::DOUBLE AS spare FROM j)
+SELECT conv_id, turn, class, risk, model, dollars, calls, CASE WHEN class = 'T0' OR risk < 0.15 THEN 0 WHEN risk < 0.40 THEN 2 WHEN risk < 0.70 THEN CASE WHEN spare >= 0.005 THEN 3 ELSE 2 END WHEN spare >= 0.05 THEN 4 WHEN spare >= 0.005 THEN 3 ELSE 2 END AS level FROM b""")
+def compute_plans(t: Tables):
+    """Every turn as a task: model, dollars, calls and level of verification, by its assessed difficulty and risk."""
+    c = t.conversations.withColumn("p", A.task_profile(F.col("text"))).withColumn("c", policy.compute_plan(F.col("p"), estimate_tokens(F.col("text")), MODELS))
+    return c.select("conv_id", "turn", "p.class", "p.risk", "c.model", "c.dollars", "c.calls", "c.level")
+
+
 @registry.add("""
 WITH m AS (SELECT conv_id, min(turn) AS turn, count(*) AS turns, avg((role = 'user')::INT) AS u FROM conversations GROUP BY conv_id), x AS (SELECT m.*, lower(coalesce(text, '')) AS low FROM m JOIN conversations USING (conv_id, turn)),
 k AS (SELECT *, CASE """ + " ".join(
