@@ -35,23 +35,29 @@ def _base(path: Column) -> Column:
     return F.regexp_extract(path, "([^/]*)$", 1)
 
 
-def built_on(contexts: DataFrame, changed: DataFrame) -> DataFrame:
-    """key: the contexts (key, path: what each was built on) of which a path ends with a changed one (path), or the other way.
+def endings(paths: DataFrame, others: DataFrame) -> DataFrame:
+    """p, f: pairs of a path (path) and another one (path) of which one ends with the other, each pair once.
 
     Every ending would be a row for each character of a path. Here the shorter one either has a slash, then both have the
     same last name, or it has none, then it is an ending of the other's last name; both are joins by equality. Empty and
     null paths match nothing."""
-    c = contexts.where("path <> ''").select("key", F.col("path").alias("p"))
-    f = changed.where("path <> ''").select(F.col("path").alias("f")).distinct()
+    c = paths.where("path <> ''").select(F.col("path").alias("p")).distinct()
+    f = others.where("path <> ''").select(F.col("path").alias("f")).distinct()
     either = F.col("p").endswith(F.col("f")) | F.col("f").endswith(F.col("p"))
-    same = c.withColumn("b", _base(F.col("p"))).join(f.withColumn("b", _base(F.col("f"))), "b").where(either).select("key")
+    same = c.withColumn("b", _base(F.col("p"))).join(f.withColumn("b", _base(F.col("f"))), "b").where(either).select("p", "f")
     ends = lambda d, x: d.withColumn("b", _base(F.col(x))).where("b <> ''").withColumn("i", F.explode(F.sequence(F.lit(1), F.length("b")))).withColumn("e", F.right("b", F.col("i")))
     bare = lambda d, x: d.where(~F.col(x).contains("/")).withColumn("e", F.col(x))
-    longer = ends(c, "p").join(bare(f, "f"), "e").select("key")
-    shorter = bare(c, "p").join(ends(f, "f"), "e").select("key")
+    longer = ends(c, "p").join(bare(f, "f"), "e").select("p", "f")
+    shorter = bare(c, "p").join(ends(f, "f"), "e").select("p", "f")
     return same.unionByName(longer).unionByName(shorter).distinct()
 
 
+def built_on(contexts: DataFrame, changed: DataFrame) -> DataFrame:
+    """key: the contexts (key, path: what each was built on) of which a path ends with a changed one (path), or the other way."""
+    hit = endings(contexts, changed).select(F.col("p").alias("path")).distinct()
+    return contexts.join(hit, "path", "left_semi").select("key").distinct()
+
+
 def touched(memories: DataFrame, changed: DataFrame) -> DataFrame:
     """id, files: memories (id, location) at, above or below a changed path (path), and the number of such paths. Locations
     and paths are exploded into the folders above them, so only what shares one is joined."""
