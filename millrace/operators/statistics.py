@@ -100,6 +100,12 @@ def power_size(least: float, sigma: float, alpha: float = 0.05, power: float = 0
     return math.ceil(2 * ((za + zb) * sigma / least) ** 2)
 
 
+def power_sizes(least: Column, sigma: Column, alpha: float = 0.05, power: float = 0.80) -> Column:
+    """As power_size, for a column of deviations; null where the deviation is."""
+    unit = math.sqrt(2) * ((2.576 if alpha <= 0.01 else 1.645 if alpha >= 0.10 else 1.96) + (1.282 if power >= 0.90 else 0.84))
+    return F.when((least <= 0) | (sigma <= 0), F.lit(1).cast("long")).otherwise(F.ceil(F.round(F.pow(unit * sigma / least, 2), 6)))
+
+
 def pareto(points: DataFrame, up: list[str], down: list[str]) -> DataFrame:
     """points with dominated. A point of which another is no worse in all and better in one is dominated.
 

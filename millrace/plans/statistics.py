@@ -126,6 +126,17 @@ def power_analysis(t: Tables):
     return t.literal([(x, S.power_size(0.05, x)) for x in (0.1, 0.25, 0.5)], "sigma double, n long")
 
 
+@registry.add("""
+WITH s AS (SELECT l_suppkey, count(*) AS seen, round(stddev_samp(l_discount), 9) AS sigma FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, seen, sigma, CASE WHEN sigma <= 0 THEN 1 ELSE ceil(round(pow(sqrt(2) * 2.8 * sigma / 0.005, 2), 6)) END::BIGINT AS needed, seen >= CASE WHEN sigma <= 0 THEN 1 ELSE ceil(round(pow(sqrt(2) * 2.8 * sigma / 0.005, 2), 6)) END AS enough FROM s
+""")
+def power_by_supplier(t: Tables):
+    """How many rows of each supplier a difference of half a per cent in discount needs, and whether they are there."""
+    s = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("seen"), F.round(F.stddev_samp("l_discount"), 9).alias("sigma"))
+    needed = S.power_sizes(F.lit(0.005), F.col("sigma"))
+    return s.withColumn("needed", needed).withColumn("enough", F.col("seen") >= F.col("needed"))
+
+
 @registry.add("""
 WITH p AS (SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R')::DOUBLE / count(*) AS success, round(avg(l_extendedprice), 2) AS cost, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY 1)
 SELECT a.l_suppkey, EXISTS (SELECT 1 FROM p b WHERE b.success >= a.success AND b.cost <= a.cost AND b.tax <= a.tax AND (b.success > a.success OR b.cost < a.cost OR b.tax < a.tax)) AS dominated FROM p a

@@ -32,13 +32,14 @@ def read_table(spark: SparkSession, url: str, name: str, key: str | None = None,
 
 
 def scan_tree(spark: SparkSession, root: str, tracked: bool = True) -> DataFrame:
-    """path (below root), hash, lines, content, class and admission of the files of a tree that are not excluded or too large."""
+    """path (below root), hash, lines, content, class and admission of the files of a tree that are not excluded or too large.
+    As with every file source of Spark, files and folders whose names begin with a dot or an underscore are not seen."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     path = F.expr("substring(p, length(base) + 2)")
     f = f.where(F.col("length") <= MAX_FILE).withColumn("base", base).withColumn("p", F.regexp_replace("path", "^file:/*", "/")).withColumn("path", path)
     f = f.where(~evidence.is_excluded(F.col("path"))).withColumn("text", F.decode("content", "UTF-8"))
-    cls = evidence.classify(F.col("path"))
+    cls = evidence.classify(F.col("path"), F.col("text"))
     return f.select("path", F.sha2("content", 256).alias("hash"), F.size(F.split("text", "\n")).alias("lines"), "text", cls.alias("class"), evidence.admit(cls, F.lit(tracked)).alias("admission"))
 
 

@@ -52,12 +52,29 @@ def test_files(spark, tmp_path):
         files.append_json_lines(spark.createDataFrame([(n,)], "x long"), str(tmp_path / "lines"))
     assert files.read_json_lines(spark, str(tmp_path / "lines"), "x long").count() == 2
     tree = tmp_path / "tree"
-    for name, text in {"src/main.go": "package a\nfunc Run() {}\n", "docs/x.md": "text", "vendor/v.go": "x", "a.log": "x"}.items():
+    for name, text in {"src/main.go": "package a\nfunc Run() {}\n", "docs/x.md": "text", "vendor/v.go": "x", "a.log": "x", ".cursor/worktrees/w/m.go": "x", "src/pb.go": "// Code generated by hand. DO NOT EDIT\n"}.items():
         (tree / name).parent.mkdir(parents=True, exist_ok=True)
         (tree / name).write_text(text)
     f = files.scan_tree(spark, str(tree))
-    assert {(r["path"], r["class"], r["admission"]["eligible"]) for r in f.collect()} == {("src/main.go", "authoritative", True), ("docs/x.md", "documentation", True)}
-    assert files.audit(f).agg(F.sum("n")).collect()[0][0] == 2
-    files.changed_files(f.where("path like 'docs%'"), f).collect()
+    assert {(r["path"], r["class"], r["admission"]["eligible"]) for r in f.collect()} == {("src/main.go", "authoritative", True), ("docs/x.md", "documentation", True), ("src/pb.go", "generated", False)}
+    assert files.audit(f).agg(F.sum("n")).collect()[0][0] == 3
+    before = f.where("path <> 'src/main.go'").withColumn("hash", F.when(F.col("path") == "docs/x.md", "old").otherwise(F.col("hash")))
+    assert {tuple(r) for r in files.changed_files(before, f.where("path <> 'src/pb.go'")).select("path", "status").collect()} == {("src/main.go", "A"), ("docs/x.md", "M"), ("src/pb.go", "D")}
     spark.range(5).write.parquet(str(tmp_path / "t"))
     assert files.migrate(spark, {"t": str(tmp_path / "t")}, str(tmp_path / "to")) == [("t", 5, 5)]
+
+
+def test_generated_and_worktrees(spark):
+    from millrace.operators import evidence as E
+
+    rows = [("a.go", "x" * 4090 + "# @generated", False, False), (".aider/worktrees", "", False, True), (".aider/worktreesx/a.go", None, False, False), ("x/.aider/worktrees/a.go", "/* @generated */", True, False), (None, None, False, False)]
+    d = spark.createDataFrame([r[:2] for r in rows], "p string, t string")
+    assert [tuple(r) for r in d.select(E.is_generated(F.col("t")), E.is_worktree(F.col("p"))).collect()] == [r[2:] for r in rows]
+
+
+def test_power_sizes(spark):
+    from millrace.operators import statistics as S
+
+    d = spark.createDataFrame([(0.1,), (0.25,), (0.5,), (0.0,), (None,)], "s double")
+    assert [r[0] for r in d.select(S.power_sizes(F.lit(0.05), F.col("s"))).collect()] == [S.power_size(0.05, x) for x in (0.1, 0.25, 0.5, 0.0)] + [None]
+    assert [r[0] for r in d.where("s > 0").select(S.power_sizes(F.lit(0.05), F.col("s"), 0.01, 0.9)).collect()] == [S.power_size(0.05, x, 0.01, 0.9) for x in (0.1, 0.25, 0.5)]
