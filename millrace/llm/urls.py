@@ -4,8 +4,7 @@ A rule names a host (all its subdomains too) and the start of a path; the
 longest rule that fits decides. The rest is judged by trees trained on labelled
 URLs: the query takes the URLs that a rule decides as the labelled ones
 (`labelled_by_rules`), so what the rules say of .org and .com is carried to hosts
-that they do not name; any table of labelled URLs can be passed instead. `judge`
-with no labels at all falls back on a word list over the host (BAD_WORDS).
+that they do not name; any table of labelled URLs can be passed instead.
 
 The features are built-in Columns: lengths, depth, digit ratios, entropy,
 hyphens, labels, parameter counts, and the smoothed block rates of the host's
@@ -41,8 +40,6 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Words of hosts that label a URL as unwanted.
-BAD_WORDS = ("spam", "casino", "pills", "bets", "adult", "xxx", "ads", "track", "porn", "viagra", "loan", "poker")
 TRAIN_ROWS = 20000
 TREES, DEPTH, BINS, RATE, LEAF, L2 = 60, 3, 32, 0.3, 5, 1.0
 
@@ -201,11 +198,9 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     return Model(got, got["y"].to_numpy(np.int64))
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, labelled: DataFrame | None = None, train_rows: int = TRAIN_ROWS, cut: float = 0.5) -> DataFrame:
-    """A row for each page: its id, host, path, rule, verdict, and score (0 to 1, the method's, rule or not)."""
+def judge(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, train_rows: int = TRAIN_ROWS, cut: float = 0.5) -> DataFrame:
+    """A row for each page: its id, host, path, rule, verdict, and score (0 to 1, the method's, rule or not). labelled: url, y (1: unwanted)."""
     u = pages[url].cast("string")
-    if labelled is None:
-        labelled = pages.select(u.alias("url"), host_of(u).rlike("|".join(BAD_WORDS)).cast("int").alias("y"))
     held = pages.sparkSession.sparkContext.broadcast(train(labelled, train_rows))  # trees and suffix rates of at most train_rows URLs
 
     def scored(it):

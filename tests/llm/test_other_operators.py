@@ -114,12 +114,13 @@ def test_urls(spark):
     rows = ["http://Example.ORG/es/1", "http://www.example.org/en/12", "http://x.org/fr", "http://example.org", "https://a.com/fr/1", "https://a.com/de/x?q=1#z", "https://casino-win.net/en/1", "https://plain.net/en/1", None, "", "no scheme", "http://myexample.org/es/"]
     rows += [f"http://cheap-pills{i}.example.net/en/{i}" for i in range(40)] + [f"http://good{i}.example.net/en/{i}" for i in range(160)]
     pages = clash(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"))
-    got = [tuple(r)[1:5] for r in urls.judge(pages).orderBy("page_id").collect()]
+    labelled = spark.createDataFrame([(u, int("pills" in u or "casino" in u)) for u in rows if u], "url string, y int")
+    got = [tuple(r)[1:5] for r in urls.judge(pages, labelled).orderBy("page_id").collect()]
     assert got[0] == ("example.org", "/es/1", "example.org/es/", "block") and got[1] == ("www.example.org", "/en/12", "example.org/en/1", "block")
     assert got[2][2:] == ("org/", "allow") and got[3][:3] == ("example.org", "", None) and got[4][2:] == ("com/fr/", "allow") and got[5] == ("a.com", "/de/x", "com/de/", "block")
     assert got[8][:3] == got[9][:3] == got[10][:3] == ("", "", None) and got[11][2:] == ("org/", "allow")
     assert np.mean([g[3] == "block" for g in got[12:52]]) > 0.9 and np.mean([g[3] == "allow" for g in got[52:]]) > 0.9
-    assert urls.judge(pages.limit(0)).count() == 0
+    assert urls.judge(pages.limit(0), labelled).count() == 0
 
 
 def features_by_hand(url):
