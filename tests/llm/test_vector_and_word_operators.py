@@ -197,6 +197,16 @@ def test_recall_of_the_default_search(spark):
     assert np.mean([len({x[1] for x in two[q]} & {x[1] for x in w}) / 10 for q, w in want.items()]) >= 0.9
 
 
+def test_default_search_is_exact_on_vectors_of_few_directions(spark):
+    g = np.random.default_rng(3)
+    x = g.normal(size=(4000, 6)) @ g.normal(size=(6, 64)) + 0.05 * g.normal(size=(4000, 64))
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    want = dict(brute(rows))
+    for k in ({}, {"divide": 64, "lists": 5, "ratio": 0.0, "tile": 100}):
+        got = found(neighbours.nearest(vectors(spark, rows), **k))
+        assert {q: [y[1] for y in v] for q, v in got.items()} == {q: [y[1] for y in v] for q, v in want.items()}
+
+
 def test_neighbours_of_odd_tables(spark):
     assert neighbours.nearest(vectors(spark, [])).count() == 0
     few = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], None), (None, [0.0, 1.0], 2), (100, [1.0, 2.0, 3.0], 1), (200, [0.0, 0.0], 1), (300, None, 1), (0, [1.0, 0.0], 1), (400, [], 1)]
