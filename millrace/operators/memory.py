@@ -136,7 +136,8 @@ def economics(kind: Column, reuse: Column, tokens: Column, age: Column) -> dict[
     h = lookup(kind, {k: v[0] for k, v in ECONOMICS.items()}, OTHER_ECONOMICS[0])
     value = lookup(kind, {k: v[1] for k, v in ECONOMICS.items()}, OTHER_ECONOMICS[1])
     survival = F.exp(-h * age)
-    gross = (reuse + 1) * 0.8 * survival * value
-    cost = 0.000005 * tokens + 0.000010 * age + (1 - survival) * 0.0050
+    # prices times counts are whole numbers divided once, as exact decimals are: persist turns on the last digit where gross meets cost
+    gross = (reuse + 1) * 8 / 10.0 * survival * value
+    cost = tokens * 5 / 1e6 + 0.000010 * age + (1 - survival) * 0.0050
     net = gross - cost
     return {"survival": survival, "net": net, "roi": F.when(cost > 0, gross / cost).otherwise(0.0), "persist": (net > 0) & (survival > 0.15)}

@@ -4,6 +4,7 @@ import heapq
 import random
 import re
 
+import pandas as pd
 import pytest
 
 from millrace.operators import claims, expansion, mentions
@@ -150,3 +151,19 @@ def test_spans_and_contract_of_a_query(spark):
     assert c["a"]["paths"] == ["pkg/io/load.go"] and c["a"]["exclusions"] == ["sqlite"] and c["a"]["entities"][:2] == ["DRMC", "LoadFile"] and c["b"]["entities"] == [] and c["b"]["salience"] == 0
     assert {r["query"]: r["depth"] for r in asks.route(asks.contracts(q)).collect()} == {"a": 3, "b": 1, "c": 2, "d": 1}
     assert all(abs(sum(p[:6]) - 1) < 1e-9 for p in asks.PROFILES.values())
+
+
+def test_break_even_memories_as_in_sql(spark):
+    """persist turns on the last digit where gross meets cost, as for four uses of a code memory."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from millrace.operators import memory as M
+
+    rows = [(k, r, tok, float(a)) for k in M.ECONOMICS for r in range(13) for tok in range(1, 6000) for a in (0, 4)]
+    case = lambda i, other: "CASE " + " ".join(f"WHEN kind = '{k}' THEN {v[i]}" for k, v in M.ECONOMICS.items()) + f" ELSE {other} END"
+    e = M.economics(F.col("kind"), F.col("reuse"), F.col("tokens"), F.col("age"))
+    here = pd.DataFrame(rows, columns=["kind", "reuse", "tokens", "age"])
+    want = duckdb.sql(f"""SELECT kind, reuse, tokens, age, (reuse + 1) * 0.8 * survival * val - (0.000005 * tokens + 0.000010 * age + (1 - survival) * 0.0050) > 0 AND survival > 0.15 AS persist
+        FROM (SELECT *, exp(-{case(0, 0.20)} * age) AS survival, {case(1, 0.0020)} AS val FROM here)""").fetchall()
+    assert sorted(map(tuple, spark.createDataFrame(here).select("kind", "reuse", "tokens", "age", e["persist"]).collect())) == sorted(want)
