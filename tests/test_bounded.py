@@ -160,7 +160,7 @@ def test_break_even_memories_as_in_sql(spark):
 
     from millrace.operators import memory as M
 
-    rows = [(k, r, tok, float(a)) for k in M.ECONOMICS for r in range(13) for tok in range(1, 6000) for a in (0, 4)]
+    rows = [(k, r, tok, float(a)) for k, (_, v) in M.ECONOMICS.items() for r in range(13) for tok in (round((r + 1) * 0.8 * v / 5e-6) + i for i in (-1, 0, 1)) for a in (0, 4)]
     case = lambda i, other: "CASE " + " ".join(f"WHEN kind = '{k}' THEN {v[i]}" for k, v in M.ECONOMICS.items()) + f" ELSE {other} END"
     e = M.economics(F.col("kind"), F.col("reuse"), F.col("tokens"), F.col("age"))
     here = pd.DataFrame(rows, columns=["kind", "reuse", "tokens", "age"])
@@ -175,6 +175,28 @@ def test_halves_are_rounded_as_in_sql(spark):
 
     from millrace.operators import ranking as R
 
-    here = pd.DataFrame([(k * 1e-9, n) for k in range(3124600, 3124700) for n in (400, 224, 240, 625)], columns=["f", "n"])
+    here = pd.DataFrame([(k * 1e-9, n) for k in range(3124630, 3124670) for n in (400, 224, 240, 625)], columns=["f", "n"])
     got = spark.createDataFrame(here).select("f", "n", R.rounded(F.col("f") / F.col("n"), 12).alias("d")).collect()
     assert sorted(map(tuple, got)) == sorted(duckdb.sql("SELECT f, n, round(f / n, 12) FROM here").fetchall())
+
+
+def test_channels_score_equal_nodes_once(spark):
+    """600 nodes of six texts: what is scored does not grow with the copies, and the lists are those of all nodes."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import retrieval as V
+
+    names = ["red ring", "red bolt", "big ring", None, "RED ring", ""]
+    nodes = [(i * 7 % 601, names[i % 6], None if i % 12 == 3 else "brand 16", "p", 1) for i in range(600)]
+    df = spark.createDataFrame(nodes, "id long, name string, content string, path string, revision int")
+    tasks = spark.createDataFrame([("red ring",), ("zzz",)], "task string")
+    texts = V._by_text(df, 4)
+    assert texts.count() == 4 * texts.where("id = text").count() == 4 * 6  # no name and an empty one are one text
+    got = {(r["task"], r["channel"], r["id"], r["score"]) for r in V.channels(tasks, df, 4).collect()}
+    want = set()
+    for c, f in {"exact": lambda n, c: float((n or "x").lower() == "red ring"), "lexical": lambda n, c: len({"red", "ring"} & set(bag(f"{n or ''} {c or ''}"))) / 2}.items():
+        best = sorted((-f(n, x), i) for i, n, x, *_ in nodes if f(n, x) > 0)[:4]
+        want |= {("red ring", c, i, -s) for s, i in best}
+    assert {x for x in got if x[1] != "semantic"} == want
+    assert len([x for x in got if x[1] == "semantic"]) == 4 and all(x[3] == 1.0 for x in got if x[1] == "semantic")
+    assert {r["task"] for r in V.exhaustive(tasks, df, limit=150).groupBy("task").agg(F.count("*").alias("n")).where("n = 150").collect()} == {"red ring"}
