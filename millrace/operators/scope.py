@@ -17,6 +17,8 @@ from millrace.sources.work import table
 #: What each signal adds to the confidence of a scope; bounds of a confidence.
 SIGNALS = {"explicit_path": 0.40, "changed_files": 0.25, "current_package": 0.15, "cwd_locality": 0.10, "exact_symbol": 0.10, "recent_files": 0.05, "dep_neighborhood": 0.05}
 LEAST, MOST = 0.10, 1.0
+#: At most so many pairs of packages are sent to all tasks; more are joined by a shuffle.
+FEW = 100_000
 #: Endings of files that a text may name.
 ENDINGS = ("go", "ts", "js", "py", "rs", "java", "cpp", "c", "h", "md", "json", "yaml", "yml", "sql")
 #: Fixed values of units: share of the score, cache reuse, place in the order of a prompt.
@@ -47,7 +49,7 @@ def _with_folder(rows: DataFrame, signal: str) -> DataFrame:
     return p.select("task", F.explode(both).alias("member"), F.lit(signal).alias("signal"), F.lit(True).alias("strong")).where("member <> ''")
 
 
-def infer(tasks: DataFrame, changed: DataFrame, recent: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def infer(tasks: DataFrame, changed: DataFrame, recent: DataFrame, deps: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(task, member, tier, signals) and (task, confidence, signals, members).
 
     changed and recent: task, path; deps: package, dependency. Paths that the text names, changed files and the folders of
@@ -62,9 +64,14 @@ def infer(tasks: DataFrame, changed: DataFrame, recent: DataFrame, deps: DataFra
     known = tasks.select("task").distinct()
     rows = table(rows.join(known, "task", "left_semi").groupBy("task", "member", "signal").agg(F.max("strong").alias("strong")), "scope")
     primary = rows.where("strong").select("task", "member").distinct()
-    near = primary.join(deps.select(F.col("package").alias("member"), "dependency").distinct(), "member").select("task", F.col("dependency").alias("member")).distinct()
-    near = near.join(primary, ["task", "member"], "left_anti").select("task", "member", F.lit("dep_neighborhood").alias("signal"), F.lit(False).alias("strong"))
-    every = table(rows.unionByName(near), "scope")
+    # few packages have most members: a shuffle by package would be as many tasks as packages, so few dependencies go to the tasks
+    deps = table(deps.select(F.col("package").alias("member"), "dependency").distinct(), "deps")
+    to = F.broadcast(deps) if deps.limit(few + 1).count() <= few else deps
+    near = primary.join(to, "member").select("task", F.col("dependency").alias("member"), F.lit("dep_neighborhood").alias("signal"), F.lit(False).alias("strong"))
+    # what is primary and depended on is told by one grouping, and no member is written twice
+    both = rows.unionByName(near).groupBy("task", "member").agg(F.max("strong").alias("strong"), F.collect_set("signal").alias("s"))
+    both = both.withColumn("s", F.when(F.col("strong"), F.array_except("s", F.array(F.lit("dep_neighborhood")))).otherwise(F.col("s")))
+    every = table(both.select("task", "member", "strong", F.explode("s").alias("signal")), "scope")
     names = F.array_join(F.array_sort(F.collect_set("signal")), ",")
     members = every.groupBy("task", "member").agg(F.when(F.max("strong"), "primary").otherwise("secondary").alias("tier"), names.alias("signals"))
     said = every.groupBy("task", "signal").agg(F.count("*").alias("n")).unionByName(tasks.where(names_symbol(F.col("text"))).select("task", F.lit("exact_symbol").alias("signal"), F.lit(0).cast("long").alias("n")).distinct())

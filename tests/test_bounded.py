@@ -200,3 +200,24 @@ def test_channels_score_equal_nodes_once(spark):
     assert {x for x in got if x[1] != "semantic"} == want
     assert len([x for x in got if x[1] == "semantic"]) == 4 and all(x[3] == 1.0 for x in got if x[1] == "semantic")
     assert {r["task"] for r in V.exhaustive(tasks, df, limit=150).groupBy("task").agg(F.count("*").alias("n")).where("n = 150").collect()} == {"red ring"}
+
+
+@pytest.mark.parametrize("name", ["joint_context_compute", "power_analysis"])
+def test_made_up_inputs_are_read_from_a_table(spark, name):
+    from millrace.catalog import queries
+
+    files = queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("lineitem" in f for f in files)
+
+
+def test_scope_joins_of_few_and_many_dependencies_agree(spark):
+    from millrace.operators import scope as S
+
+    tasks = spark.createDataFrame([(i, "fix a/x.go", f"p{i % 3}" if i % 2 else None, "p2") for i in range(40)], "task long, text string, package string, cwd string")
+    paths = spark.createDataFrame([(i, f"p{i % 4}/f.go") for i in range(0, 40, 3)], "task long, path string")
+    deps = spark.createDataFrame([("p0", "p1"), ("p1", "p2"), ("p2", "p0"), ("p2", "a"), ("a", "q")], "package string, dependency string")
+    few, many = (S.infer(tasks, paths, paths, deps, few=n) for n in (100, 0))
+    for a, b in zip(few, many, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert (1, "q") in {(r["task"], r["member"]) for r in few[0].where("signals = 'dep_neighborhood' and tier = 'secondary'").collect()}
+    assert few[0].where("tier = 'primary' and signals like '%dep_neighborhood%'").count() == 0
