@@ -6,37 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import ranking as R
 from millrace.sources.work import table
 
 #: Fixed value: an earlier claim is met if more than this share of its words stands in the later one.
 MET = 0.85
+#: So many keys are shared by pairs that are compared word by word.
+SHARED = 4
+#: So many numbers of classes are sent to all tasks; more are joined by a shuffle.
+FEW = 500_000
 
 
 def _classes(claims: DataFrame) -> DataFrame:
-    """claims with key: equal for claims that meet the same ones (equal word sets; without words, equal texts) in a scope."""
+    """claims with key: a hash, equal for claims that meet the same ones (equal word sets; without words, equal texts) in a scope."""
     words = F.array_sort(T.tokens(F.col("claim")))
     c = claims.withColumn("words", F.coalesce(words, F.array().cast("array<string>")))
-    return c.withColumn("key", F.when(F.size("words") > 0, F.concat(F.lit("w "), F.array_join("words", " "))).otherwise(F.concat(F.lit("t "), F.lower(F.coalesce("claim", F.lit(""))))))
+    return c.withColumn("key", F.sha2(F.when(F.size("words") > 0, F.concat(F.lit("w "), F.array_join("words", " "))).otherwise(F.concat(F.lit("t "), F.lower(F.coalesce("claim", F.lit(""))))), 256))
 
 
 def meeting_pairs(classes: DataFrame, met: float = MET) -> DataFrame:
     """classes: scope, first (a number, distinct), words. earlier, later: pairs of one scope of which the later holds more
     than `met` of the earlier one's words.
 
-    Of an earlier claim's words, rarest first, so many are keys that a claim without any of them cannot hold enough; a
-    later claim, which may be of any size, is looked up by all its words. Common words are no keys of long claims.
+    Of an earlier claim's words, rarest first, so many are keys that a claim without SHARED of them cannot hold enough; a later
+    claim, which must have as many words as that takes, is looked up by all its words. Common words are no keys of long claims.
+    Pairs that share SHARED keys (all, where a claim must be held whole and has fewer) are few; only these are read whole.
     """
-    each = classes.select("scope", "first", F.size("words").alias("size"), F.explode("words").alias("word"))
-    rare = each.groupBy("word").agg(F.count("*").alias("df"))
-    need = F.floor(F.col("size") * met + 1e-9) + 1  # the least number of words that is more than that share
-    ranked = each.join(rare, "word").groupBy("scope", "first", "size").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))  # the words of one claim
-    keys = ranked.where(need <= F.col("size")).select("scope", F.col("first").alias("earlier"), F.explode(F.slice("w", F.lit(1), (F.col("size") - need + 1).cast("int"))).alias("k"))
-    keys = keys.select("scope", "earlier", F.col("k.word").alias("word"))
-    later = each.select("scope", F.col("first").alias("later"), "word")
-    pairs = keys.join(later, ["scope", "word"]).where("earlier < later").select("earlier", "later").distinct()
-    sides = classes.select("first", "words")
-    pairs = pairs.join(sides.withColumnRenamed("first", "earlier").withColumnRenamed("words", "a"), "earlier").join(sides.withColumnRenamed("first", "later").withColumnRenamed("words", "b"), "later")
-    return pairs.where(F.size(F.array_intersect("a", "b")) / F.size("a") > met).select("earlier", "later")
+    c = table(R.rarest_first(classes.select("scope", "first", "words"), "words"), "ordered")
+    size, need = F.size("words"), F.floor(F.size("words") * met + 1e-9) + 1  # the least number of words that is more than that share
+    least = F.least(F.lit(SHARED), need).cast("int")
+    at = lambda w: F.xxhash64("scope", w)
+    keys = c.where(need <= size).select(F.col("first").alias("earlier"), need.cast("int").alias("need"), least.alias("least"), F.explode(F.slice("words", F.lit(1), F.least(size, size - need + least).cast("int"))).alias("w"), "scope")
+    later = c.select(F.col("first").alias("later"), size.alias("size"), F.explode("words").alias("w"), "scope")
+    shared = keys.select("earlier", "need", "least", at("w").alias("at")).join(later.select("later", "size", at("w").alias("at")), "at").where("earlier < later and size >= need")
+    pairs = table(shared.groupBy("earlier", "later", "least").agg(F.count("*").alias("n")).where("n >= least").select("earlier", "later"), "near")
+    sides = c.select("first", "scope", "words")
+    side = lambda of, s: sides.select(F.col("first").alias(of), F.col("scope").alias(f"scope_{s}"), F.col("words").alias(s))
+    both = pairs.join(side("earlier", "a"), "earlier").join(side("later", "b"), "later").where("scope_a = scope_b")
+    return both.where(F.size(F.array_intersect("a", "b")) / F.size("a") > met).select("earlier", "later")
 
 
 def resolve(pairs: DataFrame) -> DataFrame:
@@ -64,10 +71,12 @@ def resolve(pairs: DataFrame) -> DataFrame:
 def merge(claims: DataFrame, met: float = MET) -> DataFrame:
     """claims: scope, ord (distinct numbers in order of arrival), claim, evidence, confidence. A row for each claim kept:
     scope, ord, claims (merged into it, itself included), evidence (distinct, not null), confidence (the most)."""
-    c = table(_classes(claims.select(F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope"), F.col("ord").cast("long").alias("ord"), "claim", "evidence", "confidence")), "claims")
+    c = table(_classes(claims.select(F.coalesce(F.col("scope").cast("string"), F.lit("")).alias("scope"), F.col("ord").cast("long").alias("ord"), "claim", "evidence", "confidence")).drop("claim"), "claims")
     first = table(c.groupBy("scope", "key").agg(F.min("ord").alias("first")), "first")
-    classes = table(first.join(c.select(F.col("ord").alias("first"), "words"), "first"), "classes")
-    keeper = resolve(meeting_pairs(classes.select("scope", "first", "words"), met))
+    ords = first.select("first")
+    ords = F.broadcast(ords) if ords.limit(FEW + 1).count() <= FEW else ords  # word lists stay where they are
+    classes = c.select("scope", F.col("ord").alias("first"), "words").join(ords, "first", "left_semi")
+    keeper = resolve(meeting_pairs(classes, met))
     to = first.join(keeper.withColumnRenamed("later", "first"), "first", "left").select("scope", "key", F.coalesce("keeper", "first").alias("keeper"))
     merged = c.join(to, ["scope", "key"])
     by = merged.groupBy("scope", "keeper", "evidence").agg(F.count("*").alias("n"), F.max("confidence").alias("confidence"))  # pre-aggregates a hot keeper

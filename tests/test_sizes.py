@@ -60,7 +60,22 @@ def test_only_nearly_similar_pairs_are_written(spark, monkeypatch):
     from millrace.operators import ranking
 
     seen, write = {}, ranking.table
-    monkeypatch.setattr(ranking, "table", lambda df, name="t": seen.setdefault(name, write(df, name)))
+    monkeypatch.setattr(ranking, "table", lambda df, name="t": seen.__setitem__(name, write(df, name)) or seen[name])
     rows = [(1, i, [f"c{j}" for j in random.Random(i).sample(range(200), 40)]) for i in range(60)]
     assert ranking.similar_sets(spark.createDataFrame(rows, "g int, k long, t array<string>"), "g", "k", "t", 75).count() == 0
     assert seen["near"].count() < 60 * 59 / 2 / 10
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_claims_that_share_a_word_are_not_read_whole(spark, monkeypatch, few):
+    """Claims of 40 of 200 words share rare ones, but none meets another; two that do are found."""
+    from millrace.operators import claims
+
+    seen, write = {}, claims.table
+    monkeypatch.setattr(claims, "table", lambda df, name="t": seen.__setitem__(name, write(df, name)) or seen[name])
+    monkeypatch.setattr(claims, "FEW", few)
+    sets = [[f"c{j}" for j in random.Random(i).sample(range(200), 40)] for i in range(60)]
+    sets += [sets[0][:38] + ["x1", "x2"], sets[1] + ["x3"]]
+    got = claims.merge(spark.createDataFrame([("s", i, " ".join(w), "e", 1) for i, w in enumerate(sets)], "scope string, ord long, claim string, evidence string, confidence int"))
+    assert sorted(r["ord"] for r in got.where("claims = 2").collect()) == [0, 1] and got.count() == 60
+    assert 2 <= seen["near"].count() < 60 * 59 / 2 / 10
