@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.changes import endings
+from millrace.sources.work import shuffled, table
 
 #: A name met whole, a name or path that holds a token, a changed file, a failed test; what a learned term weighs.
 WHOLE, PART, CHANGED, FAILED = 1.0, 0.5, 1.2, 1.5
 LEARNED = 0.65
 GRAM = 3
+#: So many grams or patterns are sent to the tasks that read the texts; more are joined by a shuffle.
+FEW = 100_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -23,14 +26,22 @@ def holding(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """pattern, id: the texts (id, text) that hold a pattern (pattern) anywhere in them. Empty and null patterns hold nothing.
 
     A pattern is looked up by the one of its three-letter grams that the fewest texts have (a shorter one by itself), and
-    what that finds is verified; so common grams cost nothing unless a pattern has no other."""
+    what that finds is verified; so common grams cost nothing unless a pattern has no other. The texts are read twice, for
+    counts of the patterns' grams and for the texts of the chosen ones: a text goes nowhere for any other gram."""
     p = patterns.where("pattern <> ''").select("pattern").distinct()
-    own = p.select("pattern", F.explode(F.array_distinct(F.when(F.length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM)))).alias("g"))
+    own = table(p.select("pattern", F.explode(F.array_distinct(F.when(F.length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM)))).alias("g")), "grams")
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])))
-    g = texts.where("text is not null").select("id", "text", F.explode(every).alias("g")).join(own.select("g").distinct(), "g", "left_semi")
-    often = g.groupBy("g").agg(F.count("*").alias("n"))
+    g = texts.where("text is not null").select("id", "text", F.explode(every).alias("g"))
+    often = g.select("g").join(_side(own.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     rare = own.join(often, "g", "left").groupBy("pattern").agg(F.bool_and(F.col("n").isNotNull()).alias("ok"), F.min_by("g", F.struct("n", "g")).alias("g")).where("ok")
-    return g.join(rare.select("pattern", "g"), "g").where(F.col("text").contains(F.col("pattern"))).select("pattern", "id").distinct()
+    rare = table(rare.select("pattern", "g"), "rare")
+    found = g.join(_side(rare.select("g").distinct()), "g", "left_semi").join(_side(rare), "g")
+    return found.where(F.col("text").contains(F.col("pattern"))).select("pattern", "id").distinct()
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """df as the small side of a join: sent whole where its rows are few."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else shuffled(df)
 
 
 def seeds(tasks: DataFrame, nodes: DataFrame, changed: DataFrame, failures: DataFrame) -> DataFrame:
@@ -42,6 +53,7 @@ def seeds(tasks: DataFrame, nodes: DataFrame, changed: DataFrame, failures: Data
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z_][a-z0-9_]{2,}"), 0))
     t = tasks.select("task", F.explode(words).alias("w")).distinct()
     n = nodes.select("id", F.lower("name").alias("name"), F.lower("path").alias("path"), F.col("path").alias("raw"))
+    n = table(n, "nodes")  # read for names, paths and files
     both = n.select("id", F.col("name").alias("text")).unionByName(n.select("id", F.col("path").alias("text")))
     whole = t.join(n.select("id", F.col("name").alias("w")), "w").select("task", "id", F.lit(WHOLE).alias("s"))
     part = t.join(holding(t.select(F.col("w").alias("pattern")), both).withColumnRenamed("pattern", "w"), "w").select("task", "id", F.lit(PART).alias("s"))
