@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.changes import endings
-from millrace.sources.work import shuffled, table
+from millrace.sources.work import sent, table
 
 #: A name met whole, a name or path that holds a token, a changed file, a failed test; what a learned term weighs.
 WHOLE, PART, CHANGED, FAILED = 1.0, 0.5, 1.2, 1.5
@@ -32,18 +32,13 @@ def holding(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     own = table(p.select("pattern", F.explode(F.array_distinct(F.when(F.length("pattern") < GRAM, F.array("pattern")).otherwise(_grams(F.col("pattern"), GRAM)))).alias("g")), "grams")
     every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])))
     g = texts.where("text is not null").select("id", "text", F.explode(every).alias("g"))
-    often = g.select("g").join(_side(own.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
+    often = g.select("g").join(sent(own.select("g").distinct(), FEW), "g", "left_semi").groupBy("g").agg(F.count("*").alias("n"))
     rare = own.join(often, "g", "left").groupBy("pattern").agg(F.bool_and(F.col("n").isNotNull()).alias("ok"), F.min_by("g", F.struct("n", "g")).alias("g")).where("ok")
     rare = table(rare.select("pattern", "g"), "rare")
-    found = g.join(_side(rare.select("g").distinct()), "g", "left_semi").join(_side(rare), "g")
+    found = g.join(sent(rare.select("g").distinct(), FEW), "g", "left_semi").join(sent(rare, FEW), "g")
     return found.where(F.col("text").contains(F.col("pattern"))).select("pattern", "id").distinct()
 
 
-def _side(df: DataFrame) -> DataFrame:
-    """df as the small side of a join: sent whole where its rows are few."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else shuffled(df)
-
-
 def seeds(tasks: DataFrame, nodes: DataFrame, changed: DataFrame, failures: DataFrame) -> DataFrame:
     """task, id, seed. tasks: task, text; nodes: id, name, path; changed: task, path; failures: task, name.
 
