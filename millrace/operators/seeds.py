@@ -64,13 +64,24 @@ def seeds(tasks: DataFrame, nodes: DataFrame, changed: DataFrame, failures: Data
 def partners(texts: DataFrame, terms: DataFrame, least: int = 3, most: int = 3) -> DataFrame:
     """term, partner, dice, of the terms (term): those `most` that stand next to a term the most often for how often both
     occur (Dice coefficient over all texts), `least` times or more. Pairs of neighbours are as many as words, so nothing
-    grows with the square of a text, and both counts are summed within tasks before they are shuffled."""
-    w = texts.select(T.all_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    n = w.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.element_at("t", i).alias("a"), F.element_at("t", i + 1).alias("b")))
-    ab = w.where(F.size("t") > 1).select(F.explode(pairs).alias("x")).select("x.*").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    grows with the square of a text, and the counts are summed within tasks before they are shuffled.
+
+    The texts are read once: each word is a row with the next one, and both words of a pair get their counts from the pairs'.
+    A word's neighbour is left out where neither is asked for (and where it is the word itself), so such pairs are as few as words."""
+    asked = terms.select("term").distinct()
+    next_to = lambda t: F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.transform(F.array(T.all_tokens(F.col("text"))), next_to)[0]
+    w = texts.select(F.explode_outer(pairs).alias("x")).select("x.*").where("a is not null")  # outer: no filter that cuts each text again
+    if asked.limit(FEW + 1).count() <= FEW:
+        for c in "ab":
+            w = w.join(F.broadcast(asked.select(F.col("term").alias(c), F.lit(True).alias(f"is_{c}"))), c, "left")
+        w = w.select("a", F.when(F.col("is_a") | F.col("is_b"), F.col("b")).alias("b"))
+    lower, upper = F.least("a", "b"), F.greatest("a", "b")  # both the word itself where the other is null
+    g = table(w.groupBy(lower.alias("a"), upper.alias("b")).agg(F.count("*").alias("c"), F.count_if(F.col("a") == lower).alias("first")), "pairs")
+    n = g.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("first").alias("n")), F.struct(F.col("b").alias("term"), (F.col("c") - F.col("first")).alias("n")))).alias("x")).select("x.*").groupBy("term").agg(F.sum("n").alias("n"))
+    ab = g.where((F.col("a") != F.col("b")) & (F.col("c") >= least)).select("a", "b", "c")
     each = ab.select(F.explode(F.array(F.struct(F.col("a").alias("term"), F.col("b").alias("partner")), F.struct(F.col("b").alias("term"), F.col("a").alias("partner")))).alias("x"), "c").select("x.*", "c")
-    each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    each = each.join(asked, "term", "left_semi")
     d = each.join(n, "term").join(n.select(F.col("term").alias("partner"), F.col("n").alias("m")), "partner")
     d = d.withColumn("dice", F.round(2 * F.col("c") / (F.col("n") + F.col("m")), 9))
     r = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("dice"), "partner"))
