@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from millrace.operators import packing as P
 from millrace.operators.retrieval import folder
-from millrace.sources.work import table
+from millrace.sources.work import shuffled, table
 
 #: What each signal adds to the confidence of a scope; bounds of a confidence.
 SIGNALS = {"explicit_path": 0.40, "changed_files": 0.25, "current_package": 0.15, "cwd_locality": 0.10, "exact_symbol": 0.10, "recent_files": 0.05, "dep_neighborhood": 0.05}
 LEAST, MOST = 0.10, 1.0
 #: At most so many pairs of packages are sent to all tasks; more are joined by a shuffle.
 FEW = 100_000
+#: So many tasks are dealt to one of Spark's, which holds their members while it groups them.
+TASKS = 25_000
 #: Endings of files that a text may name.
 ENDINGS = ("go", "ts", "js", "py", "rs", "java", "cpp", "c", "h", "md", "json", "yaml", "yml", "sql")
 #: Fixed values of units: share of the score, cache reuse, place in the order of a prompt.
@@ -42,11 +44,21 @@ def names_symbol(text: Column) -> Column:
     return F.exists(words, lambda w: (w.rlike("^[A-Z]") & (F.length(w) >= 3)) | w.rlike("^[a-z]+[A-Z]"))
 
 
-def _with_folder(rows: DataFrame, signal: str) -> DataFrame:
-    """task, member, signal of rows (task, path): the path and its folder."""
-    p = rows.where("path is not null and path <> ''").withColumn("path", clean(F.col("path")))
-    both = F.array_distinct(F.array("path", folder(F.col("path"))))
-    return p.select("task", F.explode(both).alias("member"), F.lit(signal).alias("signal"), F.lit(True).alias("strong")).where("member <> ''")
+def _masks() -> tuple[Column, Column, Column]:
+    """Of the column mask: the tier, the names of its signals in order, and what they add up to."""
+    names = list(SIGNALS)
+    of = [[x for i, x in enumerate(names) if m >> i & 1] for m in range(2 ** len(names))]
+    at = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), F.col("mask") + 1)
+    return F.when(F.col("mask").bitwiseAND(F.lit(_STRONG)) > 0, "primary").otherwise("secondary"), at([",".join(sorted(x)) for x in of]), at([round(float(sum(SIGNALS[y] for y in x)), 6) for x in of])
+
+
+#: A bit for each signal; those that make a member primary.
+_BIT = {k: 1 << i for i, k in enumerate(SIGNALS)}
+_STRONG = _BIT["explicit_path"] | _BIT["changed_files"] | _BIT["current_package"] | _BIT["cwd_locality"]
+
+
+def _said(member: Column, signal: str) -> Column:
+    return F.struct(member.alias("member"), F.lit(_BIT[signal]).alias("mask"))
 
 
 def infer(tasks: DataFrame, changed: DataFrame, recent: DataFrame, deps: DataFrame, few: int = FEW) -> tuple[DataFrame, DataFrame]:
@@ -56,31 +68,42 @@ def infer(tasks: DataFrame, changed: DataFrame, recent: DataFrame, deps: DataFra
     both, and the current package (else the working folder) are primary; recent files and the packages that primary
     members depend on are secondary unless they are primary. A dependency counts as a signal where it adds or confirms a
     secondary member. A task without signals is there with the least confidence and no member.
+
+    Signals are bits. What is said of a task is dealt by the task, once and before dependencies, which make many rows of one,
+    are put in; these are grouped where they are made (with few dependencies), so members are neither shuffled nor written.
     """
-    named = tasks.select("task", F.explode(named_paths(F.col("text"))).alias("path"))
-    here = tasks.select("task", F.coalesce("package", "cwd").alias("member"), F.when(F.col("package").isNotNull(), "current_package").otherwise("cwd_locality").alias("signal"), F.lit(True).alias("strong")).where("member <> ''")
-    late = recent.where("path is not null and path <> ''").select("task", clean(F.col("path")).alias("member"), F.lit("recent_files").alias("signal"), F.lit(False).alias("strong"))
-    rows = _with_folder(named, "explicit_path").unionByName(_with_folder(changed, "changed_files")).unionByName(here).unionByName(late)
-    known = tasks.select("task").distinct()
-    rows = table(rows.join(known, "task", "left_semi").groupBy("task", "member", "signal").agg(F.max("strong").alias("strong")), "scope")
-    primary = rows.where("strong").select("task", "member").distinct()
+    # a row without member stands for the task itself
+    itself = F.struct(F.lit(None).cast("string").alias("member"), F.when(names_symbol(F.col("text")), _BIT["exact_symbol"]).otherwise(0).alias("mask"))
+    here = F.struct(F.coalesce("package", "cwd").alias("member"), F.when(F.col("package").isNotNull(), _BIT["current_package"]).otherwise(_BIT["cwd_locality"]).alias("mask"))
+    named = F.flatten(F.transform(named_paths(F.col("text")), lambda p: F.array(_said(p, "explicit_path"), _said(folder(p), "explicit_path"))))
+    own = tasks.select("task", F.explode(F.concat(F.array(itself), F.filter(F.concat(F.array(here), named), lambda x: x["member"] != ""))).alias("x"))
+    path = clean(F.col("path"))
+    there = lambda d: d.where("path is not null and path <> ''")
+    late = there(recent).select("task", _said(path, "recent_files").alias("x"))
+    touched = there(changed).select("task", F.explode(F.array(_said(path, "changed_files"), _said(folder(path), "changed_files"))).alias("x")).where("x.member <> ''")
+    known = table(tasks.select("task").distinct(), "tasks")
+    n = max(known.sparkSession.sparkContext.defaultParallelism, -(-known.count() // TASKS))
+    rows = own.unionByName(touched).unionByName(late).select("task", "x.member", "x.mask").repartition(n, "task")
+    rows = rows.join(shuffled(known.repartition(n, "task")), "task")  # a semi join would be put below the union, and deal rows twice
+    said = rows.groupBy("task", "member").agg(F.bit_or("mask").alias("mask"))
     # few packages have most members: a shuffle by package would be as many tasks as packages, so few dependencies go to the tasks
-    deps = table(deps.select(F.col("package").alias("member"), "dependency").distinct(), "deps")
-    to = F.broadcast(deps) if deps.limit(few + 1).count() <= few else deps
-    near = primary.join(to, "member").select("task", F.col("dependency").alias("member"), F.lit("dep_neighborhood").alias("signal"), F.lit(False).alias("strong"))
-    # what is primary and depended on is told by one grouping, and no member is written twice
-    both = rows.unionByName(near).groupBy("task", "member").agg(F.max("strong").alias("strong"), F.collect_set("signal").alias("s"))
-    both = both.withColumn("s", F.when(F.col("strong"), F.array_except("s", F.array(F.lit("dep_neighborhood")))).otherwise(F.col("s")))
-    every = table(both.select("task", "member", "strong", F.explode("s").alias("signal")), "scope")
-    names = F.array_join(F.array_sort(F.collect_set("signal")), ",")
-    members = every.groupBy("task", "member").agg(F.when(F.max("strong"), "primary").otherwise("secondary").alias("tier"), names.alias("signals"))
-    said = every.groupBy("task", "signal").agg(F.count("*").alias("n")).unionByName(tasks.where(names_symbol(F.col("text"))).select("task", F.lit("exact_symbol").alias("signal"), F.lit(0).cast("long").alias("n")).distinct())
-    sure = F.element_at(F.create_map(*[F.lit(x) for k, v in SIGNALS.items() for x in (k, v)]), F.col("signal"))
-    per = said.groupBy("task").agg(F.sum(sure).alias("s"), names.alias("signals"))
-    count = members.groupBy("task").agg(F.count("*").alias("members"))
-    c = F.round(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.coalesce("s", F.lit(0.0)))), 6)
-    sums = known.join(per, "task", "left").join(count, "task", "left").select("task", c.alias("confidence"), F.coalesce("signals", F.lit("")).alias("signals"), F.coalesce("members", F.lit(0)).alias("members"))
-    return members, sums
+    deps = table(deps.select(F.col("package").alias("member"), "dependency").where("dependency is not null").distinct(), "deps")
+    strong = F.col("mask").bitwiseAND(F.lit(_STRONG)) > 0
+    near = lambda y: _said(y, "dep_neighborhood")
+    if deps.limit(few + 1).count() <= few:
+        to = deps.groupBy("member").agg(F.collect_list("dependency").alias("to"))
+        with_near = F.concat(F.array(F.struct("member", "mask")), F.when(strong & F.col("to").isNotNull(), F.transform("to", near)).otherwise(F.array().cast("array<struct<member:string,mask:int>>")))
+        rows = said.join(F.broadcast(to), "member", "left").select("task", F.explode(with_near).alias("x")).select("task", "x.*")
+    else:
+        said = table(said, "scope")
+        rows = said.unionByName(said.where(strong).join(deps, "member").select("task", near(F.col("dependency")).alias("x")).select("task", "x.*"))
+    both = rows.groupBy("task", "member").agg(F.bit_or("mask").alias("mask"))
+    both = both.withColumn("mask", F.when(strong, F.col("mask").bitwiseAND(F.lit(~_BIT["dep_neighborhood"]))).otherwise(F.col("mask")))
+    tier, names, sure = _masks()
+    members = both.where("member is not null").select("task", "member", tier.alias("tier"), names.alias("signals"))
+    sums = both.groupBy("task").agg(F.bit_or("mask").alias("mask"), F.count("member").alias("members"))
+    c = F.round(F.greatest(F.lit(LEAST), F.least(F.lit(MOST), sure)), 6)
+    return members, sums.select("task", c.alias("confidence"), names.alias("signals"), "members")
 
 
 def folders_above(path: Column) -> Column:

@@ -119,3 +119,19 @@ def test_units(spark):
     assert got == [(1, 11, "signature", 1), (1, 10, "signature", 2), (1, 10, "definition", 3), (2, 13, "signature", 1)]
     tight = [(r["id"], r["unit"]) for r in S.plan_units(c.where("task = 1"), 5, 0.99, 0).collect()]
     assert tight == [(10, "signature")]
+
+
+def test_members_are_dealt_by_task_alone(spark, monkeypatch):
+    """Dependencies make many members of one: these are grouped where they are made, neither shuffled nor written."""
+    monkeypatch.setattr(S, "TASKS", 3, raising=False)
+    seen, write = {}, S.table
+    monkeypatch.setattr(S, "table", lambda df, name="t": seen.setdefault(name, write(df, name)))
+    tasks = spark.createDataFrame([(i, f"fix a/x{i}.go in Needle", f"p{i % 3}", None) for i in range(20)], "task long, text string, package string, cwd string")
+    paths = spark.createDataFrame([(i, f"p{i % 4}/f.go") for i in range(25)], "task long, path string")
+    deps = spark.createDataFrame([(f"p{i}", f"p{j}") for i in range(5) for j in range(30)], "package string, dependency string")
+    members, sums = S.infer(tasks, paths, paths, deps)
+    assert "scope" not in seen and "collect_set" not in members._jdf.queryExecution().toString()
+    for d in (members, sums):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(task") == 2 and ", member#" not in "".join(x.split("hashpartitioning")[1] for x in plan.splitlines() if "hashpartitioning" in x)
+    assert members.count() == sum(r["members"] for r in sums.collect()) == 20 * 33 and members.distinct().count() == 20 * 33
